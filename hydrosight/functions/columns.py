@@ -3,7 +3,7 @@ inside whole-stage codegen; none is a Python UDF."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # The Unicode White_Space characters (U+0009..U+000D, U+0020,
@@ -37,23 +37,51 @@ def days_between(end, begin, seconds_per_day: float) -> Column:
     return whole_seconds(end, begin) / F.lit(seconds_per_day)
 
 
-def parse_ts(c, fmt: str | None, what: str = "timestamp") -> Column:
-    """Text -> TIMESTAMP_NTZ, strict: unparseable non-null text fails the job
-    whatever ``spark.sql.ansi.enabled`` says."""
+def _ansi() -> bool:
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return True
+    return str(spark.conf.get("spark.sql.ansi.enabled", "true")).lower() == "true"
+
+
+def _fail(raw: Column, what: str, dtype: str) -> Column:
+    return F.raise_error(F.concat(F.lit(f"unparseable {what}: "), raw.cast("string"))).cast(dtype)
+
+
+# shortest text the ISO form accepts: 'yyyy-MM-dd HH:mm:ss'
+ISO_MIN_LENGTH = 19
+
+
+def parse_ts(c, fmt: str | None = None, what: str = "timestamp") -> Column:
+    """Text -> TIMESTAMP_NTZ, strict: unparseable non-null text fails the job.
+
+    ``fmt=None`` takes ISO text ('yyyy-MM-dd HH:mm:ss[.ffffff]', 'T' allowed)
+    through Spark's cast, the fastest parser; text shorter than a full date
+    and time (which the cast would accept as a partial date) fails. Under
+    ANSI (the default) the cast and ``to_timestamp_ntz`` raise on bad text
+    themselves; otherwise an explicit check raises.
+    """
     raw = _c(c)
-    parsed = F.to_timestamp_ntz(raw, F.lit(fmt)) if fmt else raw.cast("timestamp_ntz")
-    return F.when(raw.isNotNull() & parsed.isNull(),
-                  F.raise_error(F.concat(F.lit(f"unparseable {what}: "), raw))
-                  .cast("timestamp_ntz")).otherwise(parsed)
+    if fmt is None:
+        parsed = raw.cast("timestamp_ntz")
+        bad = F.length(raw) < ISO_MIN_LENGTH
+    else:
+        parsed = F.to_timestamp_ntz(raw, F.lit(fmt))
+        bad = F.lit(False)
+    if not _ansi():
+        bad = bad | (raw.isNotNull() & parsed.isNull())
+    if fmt is not None and _ansi():
+        return parsed
+    return F.when(bad, _fail(raw, what, "timestamp_ntz")).otherwise(parsed)
 
 
 def parse_double(c, what: str = "number") -> Column:
     """Text (or number) -> double, strict like ``parse_ts``."""
     raw = _c(c)
+    if _ansi():
+        return raw.cast("double")
     parsed = raw.try_cast("double")
-    return F.when(raw.isNotNull() & parsed.isNull(),
-                  F.raise_error(F.concat(F.lit(f"unparseable {what}: "), raw.cast("string")))
-                  .cast("double")).otherwise(parsed)
+    return F.when(raw.isNotNull() & parsed.isNull(), _fail(raw, what, "double")).otherwise(parsed)
 
 
 def round_half_even(c, digits: int) -> Column:

@@ -42,16 +42,28 @@ def typed_bills(raw: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 
 def drop_null_bills(df: DataFrame) -> DataFrame:
-    """nulls only (a NaN quantity stays, unlike ``dropna``)."""
+    """nulls only (a NaN quantity stays, unlike ``dropna``).
+
+    Applied to the raw text: stripping keeps null as null and non-null as
+    non-null, and strict parsing turns non-null text into a value or an
+    error, so a typed field is null exactly when its text is. Testing the
+    text lets the predicate reach the scan as plain IS NOT NULL instead of
+    parsing every field twice.
+    """
     cond = F.lit(True)
     for c in REQUIRED:
         cond = cond & F.col(c).isNotNull()
     return df.where(cond)
 
 
-def dedup_bills(raw: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Typed bills without null keys, last copy per BSEG_ID in file order."""
-    return keep_last(drop_null_bills(typed_bills(raw, p)), ["BSEG_ID"])
+def dedup_bills(raw: DataFrame, p: Params = DEFAULT, columns: list[str] | None = None) -> DataFrame:
+    """Typed bills without null keys, last copy per BSEG_ID in file order.
+    ``columns`` narrows what the de-duplication carries (the null test still
+    covers every required column)."""
+    typed = typed_bills(drop_null_bills(raw), p)
+    if columns is not None:
+        typed = typed.select(*columns, *([ORD] if ORD in typed.columns else []))
+    return keep_last(typed, ["BSEG_ID"])
 
 
 def with_bill_days(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -70,11 +82,16 @@ def with_volume_and_season(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
     })
 
 
-def clean_bills(raw: DataFrame, p: Params = DEFAULT) -> DataFrame:
+# what the job reads from cleaned bills; the rest is dropped before the shuffle
+JOB_BILL_COLUMNS = ["BSEG_ID", "SP_ID", "ACCT_ID", "SA_TYPE_CD", "CHAR_PREM_ID", "FINAL_REG_QTY",
+                    "START_READ_DTTM", "END_READ_DTTM"]
+
+
+def clean_bills(raw: DataFrame, p: Params = DEFAULT, columns: list[str] | None = None) -> DataFrame:
     """Cast, drop nulls, *then* keep last per BSEG_ID, *then* the length
     and service-type filters. The order matters: a bill whose last copy is
     out of range disappears."""
-    df = with_bill_days(dedup_bills(raw, p), p)
+    df = with_bill_days(dedup_bills(raw, p, columns), p)
     df = df.where(F.col("bill_days").between(p.min_bill_days, p.max_bill_days))
     df = df.where(F.col("SA_TYPE_CD").isin(*p.service_types))
     return with_volume_and_season(df, p)

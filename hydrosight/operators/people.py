@@ -28,7 +28,9 @@ def clean_people(raw: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Strip, lower e-mail, canonical phone type, drop null keys, keep
     the first row per (ACCT_ID, PER_ID) in file order."""
     cols = PERSON_COLUMNS + ([ORD] if ORD in raw.columns else [])
-    df = raw.select(*cols).withColumns({
+    # null keys are null before stripping too: test the text (cheap pushdown)
+    df = raw.select(*cols).where(F.col("ACCT_ID").isNotNull() & F.col("PER_ID").isNotNull())
+    df = df.withColumns({
         "ACCT_ID": strip_ws("ACCT_ID"),
         "PER_ID": strip_ws("PER_ID"),
         "ENTITY_NAME": strip_ws("ENTITY_NAME"),
@@ -36,7 +38,6 @@ def clean_people(raw: DataFrame, p: Params = DEFAULT) -> DataFrame:
         "PHONE_TYPE_CD": phone_type("PHONE_TYPE_CD", p),
         "PHONE": strip_ws("PHONE"),
     })
-    df = df.where(F.col("ACCT_ID").isNotNull() & F.col("PER_ID").isNotNull())
     return keep_first(df, ["ACCT_ID", "PER_ID"])
 
 

@@ -7,7 +7,7 @@ in natural order, and every operator takes them from a ``Params`` instance.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -46,13 +46,12 @@ class Params:
         ("WORK", ("WORK", "WK", "BUS", "BUSINESS")),
     )
     # --- execution knobs (not semantics) ------------------------------------
-    # text form of timestamps in the raw files; None = Spark's ISO cast
-    ts_format: str | None = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+    # text form of timestamps in the raw files: None = ISO text
+    # ('yyyy-MM-dd HH:mm:ss[.ffffff]') through Spark's fast cast, else a
+    # datetime pattern for to_timestamp_ntz
+    ts_format: str | None = None
     # a join side is broadcast only when its counted rows stay below this
     broadcast_max_rows: int = 2_000_000
-    # reads of one meter above this count take the salted path in joins
-    hot_key_rows: int = 5_000_000
-    extra: dict = field(default_factory=dict)
 
     @property
     def supported_units(self) -> tuple[str, ...]:

@@ -19,7 +19,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hydrosight.operators.bills import clean_bills, resolve_summer_year, screen, season_stats
+from hydrosight.operators.bills import (
+    JOB_BILL_COLUMNS,
+    clean_bills,
+    resolve_summer_year,
+    screen,
+    season_stats,
+)
 from hydrosight.operators.diagnostics import coverage_report, diagnostic_rows, diagnostics
 from hydrosight.operators.joins import join_checked
 from hydrosight.operators.panel import weekly_panel
@@ -51,7 +57,7 @@ def _empty_metrics(spark: SparkSession, p: Params) -> DataFrame:
 def build(spark: SparkSession, src: Sources, p: Params = DEFAULT,
           checkpoint: bool = True) -> JobResult:
     keep = materialize if checkpoint else (lambda d: d)
-    usage = keep(clean_bills(src.bills, p))
+    usage = keep(clean_bills(src.bills, p, JOB_BILL_COLUMNS))
     summer_year = resolve_summer_year(usage)
     candidates = keep(screen(season_stats(usage, p), p))
     n_cand = candidates.count()

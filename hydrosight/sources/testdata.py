@@ -27,8 +27,17 @@ class Sources:
     parcel: DataFrame | None = None
 
 
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _t(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
+    """Scan a supplied table. A file written as one row group scans as one
+    task; when the scan has fewer partitions than the cluster has cores, it
+    is spread by hash of ``key`` (unique per row: no skew, and a retried
+    task gets the same rows). Large inputs split by themselves and skip it."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if key is not None:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores, key)
+    return df
 
 
 def _pad7(c: Column) -> Column:
@@ -40,7 +49,7 @@ def _ntz(s: str) -> Column:
 
 
 def raw_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _t(spark, sf_dir, "lineitem")
+    li = _t(spark, sf_dir, "lineitem", "l_orderkey")
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     end_day = F.date_add(F.lit(_dt.date(2024, 3, 15)),
@@ -105,7 +114,7 @@ def raw_person(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _t(spark, sf_dir, "events")
+    ev = _t(spark, sf_dir, "events", "event_id")
     secs = (F.col("ts") - _ntz("2024-01-01")).cast("interval second").cast("bigint")
     hours = F.floor(secs * 7 / 3600).cast("int")
     begin = _ntz("2024-03-20") + F.make_dt_interval(F.lit(0), hours, F.lit(0), F.lit(0))
