@@ -32,12 +32,18 @@ def _reader(spark: SparkSession, encoding: str, multiline: bool):
 
 
 def read_raw_csv(spark: SparkSession, paths, encoding: str = "ISO-8859-1",
-                 multiline: bool = False, fold_header: bool = True) -> DataFrame:
-    """All-text scan; header names upper-cased; ``_ord`` = file order."""
+                 multiline: bool = False, fold_header: bool = True,
+                 with_order: bool = True) -> DataFrame:
+    """All-text scan; header names upper-cased; ``_ord`` = file order.
+
+    ``with_order=False`` for inputs that are never de-duplicated (reads):
+    the row id is non-deterministic, so it would keep filters out of the
+    CSV scan."""
     df = _reader(spark, encoding, multiline).load(paths)
-    df = df.select("*", F.struct(F.col("_metadata.file_path").alias("file"),
-                                 F.col("_metadata.file_block_start").alias("start"),
-                                 F.monotonically_increasing_id().alias("row")).alias(ORD))
+    if with_order:
+        df = df.select("*", F.struct(F.col("_metadata.file_path").alias("file"),
+                                     F.col("_metadata.file_block_start").alias("start"),
+                                     F.monotonically_increasing_id().alias("row")).alias(ORD))
     if fold_header:
         df = df.toDF(*[c if c == ORD else c.upper() for c in df.columns])
     return df
