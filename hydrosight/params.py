@@ -52,6 +52,9 @@ class Params:
     ts_format: str | None = None
     # a join side is broadcast only when its counted rows stay below this
     broadcast_max_rows: int = 2_000_000
+    # a service point with more bills than this gets its medians by
+    # distributed selection instead of one task's exact merge
+    median_group_rows: int = 5_000_000
 
     @property
     def supported_units(self) -> tuple[str, ...]:

@@ -54,7 +54,8 @@ def _usage(spark, sf, p=DEFAULT) -> DataFrame:
 
 
 def _stats(spark, sf, p=DEFAULT) -> DataFrame:
-    return B.season_stats(_usage(spark, sf, p), p)
+    # the hot-group count and the aggregate both read the cleaned bills
+    return B.season_stats(materialize(_usage(spark, sf, p)), p)
 
 
 # ---------------------------------------------------------------- bills --
@@ -169,7 +170,7 @@ class _Window:
     operators define them (the job runs the same steps in one pass)."""
 
     def __init__(self, spark, sf, p: Params = DEFAULT):
-        usage = _usage(spark, sf, p)
+        usage = materialize(_usage(spark, sf, p))
         self.year = B.resolve_summer_year(usage)
         cand = materialize(B.screen(B.season_stats(usage, p), p)
                            .select("SP_ID", *THRESHOLD_COLUMNS))
