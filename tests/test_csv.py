@@ -73,3 +73,23 @@ def test_job_csv_to_csv(spark):
     panel = spark.read.option("header", True).csv(f"{d}/out/panel")
     assert [x["SP_ID"] for x in panel.collect()] == ["SP1", "SP2", "SP4"]
     assert len(os.listdir(f"{d}/out/summary")) >= 1
+
+
+def test_command_line_runner(spark, capsys):
+    from hydrosight.__main__ import parse_args, run
+    d = tempfile.mkdtemp(prefix="hydrosight-cli-")
+    _write(f"{d}/consumption.csv", BILL_COLUMNS, [b[:-1] for b in S.BILLS])
+    _write(f"{d}/person.csv", PERSON_COLUMNS, [p[:-1] for p in S.PEOPLE])
+    _write(f"{d}/drc.csv", READ_COLUMNS, S.READS)
+    _write(f"{d}/parcel.csv", ["CIS_SP_ID", "LND_SQFOOT"], [("SP1", 7000.0), ("SP1", 7100.0)])
+    args = parse_args(["--consumption", f"{d}/consumption.csv", "--person", f"{d}/person.csv",
+                       "--drc", f"{d}/drc.csv", "--parcel", f"{d}/parcel.csv",
+                       "--out-summary", f"{d}/out/s", "--out-weekly", f"{d}/out/w"])
+    r = run(spark, args)
+    back = spark.read.option("header", True).csv(f"{d}/out/s").collect()
+    assert [x["LND_SQFOOT"] for x in back if x["SP_ID"] == "SP1"] == ["7100.0", "7100.0"]
+    assert {x["metric"]: x["value"] for x in r.report.collect()}["drc_rows"] == len(S.READS)
+    missing = parse_args(["--consumption", f"{d}/consumption.csv", "--person", f"{d}/person.csv",
+                          "--drc", f"{d}/none.csv", "--out-summary", f"{d}/o2/s", "--out-weekly", f"{d}/o2/w"])
+    r2 = run(spark, missing)   # absent read file: zeros, like no file at all
+    assert r2.diagnostics.first()["raw_drc_rows"] == 0
