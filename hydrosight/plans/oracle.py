@@ -37,16 +37,16 @@ raw_consumption AS (
     CASE WHEN l.l_partkey % 10 = 0 THEN NULL ELSE 'P' || CAST(o.o_custkey + l.l_partkey % 2 AS VARCHAR) END AS CHAR_PREM_ID,
     'P' || CAST(o.o_custkey AS VARCHAR) AS PREM_ID,
     '' AS ADDRESS1,
-    CAST(l.l_quantity * CASE WHEN month(e.end_day) BETWEEN 4 AND 9 AND o.o_custkey % 3 = 0 THEN 4 ELSE 1 END AS VARCHAR) AS FINAL_REG_QTY,
-    strftime(CAST(e.end_day - CAST(18 + l.l_partkey % 25 AS INTEGER) AS TIMESTAMP), {TS}) AS START_READ_DTTM,
-    strftime(CAST(e.end_day AS TIMESTAMP), {TS}) AS END_READ_DTTM,
+    CAST(l.l_quantity * CASE WHEN month(l.end_day) BETWEEN 4 AND 9 AND o.o_custkey % 3 = 0 THEN 4 ELSE 1 END AS VARCHAR) AS FINAL_REG_QTY,
+    strftime(CAST(l.end_day - CAST(18 + l.l_partkey % 25 AS INTEGER) AS TIMESTAMP), {TS}) AS START_READ_DTTM,
+    strftime(CAST(l.end_day AS TIMESTAMP), {TS}) AS END_READ_DTTM,
     'CCF' AS FINAL_UOM_CD,
-    e.end_day AS o1, l.l_partkey AS o2, l.l_suppkey AS o3, l.l_quantity AS o4,
+    l.end_day AS o1, l.l_partkey AS o2, l.l_suppkey AS o3, l.l_quantity AS o4,
     l.l_extendedprice AS o5, l.l_discount AS o6, l.l_tax AS o7
-  FROM lineitem l
+  FROM (SELECT *, DATE '2024-03-15'
+          + CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) % 365 AS INTEGER) AS end_day
+        FROM lineitem) l
   JOIN orders o ON l.l_orderkey = o.o_orderkey
-  CROSS JOIN LATERAL (SELECT DATE '2024-03-15'
-      + CAST(date_diff('day', DATE '1992-01-01', CAST(l.l_shipdate AS DATE)) % 365 AS INTEGER) AS end_day) e
 ),
 cust_p AS (
   SELECT c_custkey AS k, c_name,

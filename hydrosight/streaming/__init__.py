@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The screening reads whole bill, contact and read files once and writes its
+outputs once; it has no stream, watermark, window-over-time or state. The
+one "time window" (the summer window, split into calendar days) is a batch
+operator in ``hydrosight.operators.intervals``.
+"""
