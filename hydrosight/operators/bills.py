@@ -98,6 +98,20 @@ def clean_bills(raw: DataFrame, p: Params = DEFAULT, columns: list[str] | None =
     return with_volume_and_season(df, p)
 
 
+def usage_profile(usage: DataFrame, p: Params = DEFAULT) -> tuple[int | None, list]:
+    """The summer year (D16) and the hot service points (more than
+    ``median_group_rows`` bills) in one small job: a partial aggregate per
+    SP_ID, then one row. The hot list has at most rows / bound entries."""
+    per_sp = usage.groupBy("SP_ID").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.when(F.col("season") == "summer", F.year("END_READ_DTTM"))).alias("y"))
+    row = per_sp.agg(F.min("y").alias("y"),
+                     F.collect_list(F.when(F.col("n") > p.median_group_rows, F.col("SP_ID")))
+                     .alias("hot")).first()
+    year = None if row is None or row["y"] is None else int(row["y"])
+    return year, list(row["hot"] or []) if row is not None else []
+
+
 def resolve_summer_year(usage: DataFrame) -> int | None:
     """Earliest year with a summer bill; one scalar to the driver,
     so the window becomes a literal that Catalyst can push down."""

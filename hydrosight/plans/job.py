@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from hydrosight.operators.bills import (
     JOB_BILL_COLUMNS,
     clean_bills,
-    resolve_summer_year,
     screen,
     season_stats,
+    usage_profile,
 )
 from hydrosight.operators.diagnostics import coverage_report, diagnostic_rows, diagnostics
 from hydrosight.operators.joins import join_checked
@@ -58,8 +58,8 @@ def build(spark: SparkSession, src: Sources, p: Params = DEFAULT,
           checkpoint: bool = True) -> JobResult:
     keep = materialize if checkpoint else (lambda d: d)
     usage = keep(clean_bills(src.bills, p, JOB_BILL_COLUMNS))
-    summer_year = resolve_summer_year(usage)
-    candidates = keep(screen(season_stats(usage, p), p))
+    summer_year, hot = usage_profile(usage, p)
+    candidates = keep(screen(season_stats(usage, p, hot), p))
     n_cand = candidates.count()
 
     people = clean_people(src.person, p)

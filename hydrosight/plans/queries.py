@@ -171,8 +171,8 @@ class _Window:
 
     def __init__(self, spark, sf, p: Params = DEFAULT):
         usage = materialize(_usage(spark, sf, p))
-        self.year = B.resolve_summer_year(usage)
-        cand = materialize(B.screen(B.season_stats(usage, p), p)
+        self.year, hot = B.usage_profile(usage, p)
+        cand = materialize(B.screen(B.season_stats(usage, p, hot), p)
                            .select("SP_ID", *THRESHOLD_COLUMNS))
         n = cand.count()
         reads = I.clean_intervals(raw_reads(spark, sf), p)

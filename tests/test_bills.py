@@ -132,3 +132,9 @@ def test_no_summer_year(make):
 def test_nan_quantity_is_not_dropped(make):
     raw = make.bills([bill("a", "SP1", "A1", "WRES", "NaN", "2024-06-01 00:00:00", "2024-07-01 00:00:00")])
     assert B.clean_bills(raw).where(F.isnan("FINAL_REG_QTY")).count() == 1   # T3
+
+
+def test_usage_profile(make):
+    raw = make.bills(_season_rows("SP1", "A1", [10, 20, 30], [1]) + _season_rows("SP2", "A2", [10], [1]))
+    year, hot = B.usage_profile(B.clean_bills(raw), Params(median_group_rows=3))
+    assert year == 2024 and hot == ["SP1"]
