@@ -75,7 +75,8 @@ def build(spark: SparkSession, src: Sources, p: Params = DEFAULT,
         metrics = _empty_metrics(spark, p)
 
     panel = weekly_panel(thresholds, metrics, p)
-    summary = build_summary(contacts, candidates, metrics, p)
+    # small (candidates x contacts) and read by the counters too: written once
+    summary = keep(build_summary(contacts, candidates, metrics, p))
     rows = diagnostic_rows(n_cand, stats, summary, p)
     diag = diagnostics(n_cand, stats, summary, p)
     report = coverage_report(rows, {"consumption": src.bills, "person": src.person,
