@@ -36,4 +36,23 @@ SELECT t.doc_id, g.keep_id, g.group_size::BIGINT AS group_size, t.doc_id = g.kee
 FROM t JOIN g ON t.h = g.h
 """
 
-ORACLE_SQL = {"op7_line_dedup": OP7, "op9_exact_dedup": OP9}
+OP3 = """
+WITH t AS (SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS h FROM pages),
+bits AS (
+  SELECT h, list_aggregate([lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')
+                            for c in string_split(h, '')], 'string_agg', '') AS b
+  FROM (SELECT DISTINCT h FROM t)),
+names AS (
+  SELECT h, list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+             + 16 * substr(b, i * 5 + 1, 1)::INT + 8 * substr(b, i * 5 + 2, 1)::INT
+             + 4 * substr(b, i * 5 + 3, 1)::INT + 2 * substr(b, i * 5 + 4, 1)::INT
+             + substr(b, i * 5 + 5, 1)::INT, 1) for i in range(32)], 'string_agg', '') AS name
+  FROM bits),
+latest AS (SELECT h, max(page_id) AS latest FROM t GROUP BY h)
+SELECT t.page_id, octet_length(encode(t.p))::BIGINT AS payload_bytes, n.name AS payload_digest,
+       CASE WHEN t.page_id = l.latest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN t.page_id = l.latest THEN NULL ELSE l.latest END AS refers_to
+FROM t JOIN names n ON t.h = n.h JOIN latest l ON t.h = l.h
+"""
+
+ORACLE_SQL = {"op3_warc": OP3, "op7_line_dedup": OP7, "op9_exact_dedup": OP9}

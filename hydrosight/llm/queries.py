@@ -5,9 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrosight.llm.common import table
+from hydrosight.llm.common import scratch, table
 from hydrosight.llm.exact_dedup import exact_dedup
 from hydrosight.llm.line_dedup import line_dedup
+from hydrosight.llm.packing import pack
+from hydrosight.llm.warc import read_warc, write_warc
+
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = write_warc(table(spark, sf_dir, "pages"), scratch(spark, "warc"), min_bytes=0)
+    return read_warc(index, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +29,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer or tokenizer_file(), size=1024)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_line_dedup, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_warc, op7_line_dedup, op8_packing, op9_exact_dedup)}
