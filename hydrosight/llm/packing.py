@@ -124,12 +124,14 @@ def _price(units: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float,
 def column_generation(units: np.ndarray, counts: np.ndarray, capacity: int, tolerance: float = 1e-3,
                       rounds: int = 3000) -> list[tuple[np.ndarray, float]]:
     """Patterns (counts by unit length) and how often to use each: fewest
-    sequences by the linear program, within ``tolerance`` of its optimum."""
+    sequences by the linear program, within ``tolerance`` of its optimum. The
+    basis inverse is only updated; ``plan`` never uses more than there is, so
+    rounding errors cost some padding at most."""
     m = len(units)
     copies = capacity // units
     basis, inverse = np.diag(copies.astype(float)), np.diag(1.0 / copies)
     x = counts / copies
-    for k in range(rounds):
+    for _ in range(rounds):
         dual = inverse.sum(axis=0)
         value, column = _price(units, np.maximum(dual, 0.0), capacity)
         # Farley's bound: the optimum is at least this
@@ -145,9 +147,6 @@ def column_generation(units: np.ndarray, counts: np.ndarray, capacity: int, tole
         inverse -= np.outer(step, row)
         inverse[r] = row
         basis[:, r] = column
-        if k % 200 == 199:  # rounding errors
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ counts, 0.0)
     return [(basis[:, j].astype(np.int64), float(x[j])) for j in range(m) if x[j] > 1e-9]
 
 
