@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from hydrosight.llm.common import scratch, table
 from hydrosight.llm.exact_dedup import exact_dedup
+from hydrosight.llm.langid import language_id
 from hydrosight.llm.line_dedup import line_dedup
 from hydrosight.llm.packing import pack
+from hydrosight.llm.toxicity import toxicity
 from hydrosight.llm.warc import read_warc, write_warc
 
 
@@ -17,12 +19,20 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_warc(table(spark, sf_dir, "pages"), scratch(spark, "warc"), min_bytes=0)
     return read_warc(index, with_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs, min_chars=40, min_docs=5).select(
@@ -37,4 +47,4 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op7_line_dedup, op8_packing, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_warc, op4_language_id, op7_line_dedup, op8_packing, op9_exact_dedup)}

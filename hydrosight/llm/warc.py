@@ -40,6 +40,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hydrosight.llm.common import parallelism
+
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = ("page_id bigint, url string, file string, offset bigint, length bigint, "
          "record_type string, payload_digest string, refers_to bigint")
@@ -197,6 +199,9 @@ def _reader(max_gap: int, max_read: int, with_payload: bool):
 def read_warc(index: DataFrame, max_gap: int = 64 << 10, max_read: int = 8 << 20,
               with_payload: bool = True) -> DataFrame:
     """The records that the rows of ``index`` name. A revisit has no payload."""
+    # tasks by the bytes that they will read, not by the size of the index rows
+    wanted = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(parallelism(index.sparkSession), wanted // (64 << 20))
     places = (index.select("file", "offset", "length", "url")
-              .repartitionByRange("file", "offset").sortWithinPartitions("file", "offset"))
+              .repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset"))
     return places.mapInArrow(_reader(max_gap, max_read, with_payload), RECORD)
