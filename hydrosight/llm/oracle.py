@@ -3,6 +3,8 @@ the contracts, not from the Spark plans."""
 
 from __future__ import annotations
 
+from hydrosight.llm.queries import WEIGHTS
+
 #: one expression for the white space of the contracts
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -55,4 +57,50 @@ SELECT t.page_id, octet_length(encode(t.p))::BIGINT AS payload_bytes, n.name AS
 FROM t JOIN names n ON t.h = n.h JOIN latest l ON t.h = l.h
 """
 
-ORACLE_SQL = {"op3_warc": OP3, "op7_line_dedup": OP7, "op9_exact_dedup": OP9}
+def _weight(column: str, weights: dict[str, int]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in weights.items()) + " ELSE 1 END"
+
+
+def _share(name: str, nodes: str, parents: str, keys: list[str], own: str) -> str:
+    """Water filling of one level: tables ``nodes`` (keys, own, w, s) and ``parents`` (keys, b)."""
+    k = ", ".join(keys)
+    on = " AND ".join(f"n.{x} = p.{x}" for x in keys)
+    return f"""
+{name}_1 AS (
+  SELECT n.*, p.b, coalesce(sum(n.s) OVER (PARTITION BY {", ".join("n." + x for x in keys)} ORDER BY n.s / n.w, n.{own}
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sb,
+         sum(n.w) OVER (PARTITION BY {", ".join("n." + x for x in keys)} ORDER BY n.s / n.w, n.{own}
+           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wo
+  FROM {nodes} n JOIN {parents} p ON {on}),
+{name}_2 AS (SELECT *, s * wo <= w * (b - sb) AS f FROM {name}_1),
+{name} AS (
+  SELECT {k}, {own}, CASE WHEN f THEN s ELSE (w * (b - sum(CASE WHEN f THEN s ELSE 0 END) OVER (PARTITION BY {k})))
+           // greatest(sum(CASE WHEN f THEN 0 ELSE w END) OVER (PARTITION BY {k}), 1) END AS b FROM {name}_2)"""
+
+
+OP2 = rf"""
+WITH d AS (
+  SELECT doc_id, lang, source, coalesce(lang, '') AS l, coalesce(source, '') AS s0,
+         'd' || coalesce(TRY_CAST(nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1), '') AS INT) % 4, 0) AS dom,
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::HUGEINT AS t
+  FROM documents),
+leaf AS (SELECT 0 AS root, dom, l, s0, sum(t) AS t, sum(t) * 4 AS s, 1 AS w FROM d GROUP BY ALL),
+n1 AS (SELECT root, dom, sum(s) AS s, {_weight("dom", WEIGHTS["domain"])} AS w FROM leaf GROUP BY ALL),
+n2 AS (SELECT root, dom, l, sum(s) AS s, {_weight("l", WEIGHTS["lang"])} AS w FROM leaf GROUP BY ALL),
+p0 AS (SELECT 0 AS root, sum(t) AS b FROM leaf),
+{_share("a1", "n1", "p0", ["root"], "dom")},
+{_share("a2", "n2", "a1", ["root", "dom"], "l")},
+{_share("a3", "leaf", "a2", ["root", "dom", "l"], "s0")},
+plan AS (SELECT x.*, a3.b // x.t AS k, a3.b % x.t AS rest FROM leaf x JOIN a3 USING (root, dom, l, s0) WHERE x.t > 0),
+o AS (SELECT d.*, p.k, p.rest, md5('7:' || p.k || ':' || coalesce(d.doc_id::VARCHAR, '')) AS h
+      FROM d JOIN plan p ON d.dom = p.dom AND d.l = p.l AND d.s0 = p.s0),
+c AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY dom, l, s0 ORDER BY h
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o),
+e AS (SELECT *, max(h) FILTER (WHERE before < rest AND before + t >= rest) OVER (PARTITION BY dom, l, s0) AS last FROM c)
+SELECT doc_id, lang, source, unnest(range(k::BIGINT)) AS epoch, t::BIGINT AS tokens, t::BIGINT AS take FROM e
+UNION ALL
+SELECT doc_id, lang, source, k::BIGINT AS epoch, t::BIGINT AS tokens, least(t, rest - before)::BIGINT AS take
+FROM e WHERE h <= last
+"""
+
+ORACLE_SQL = {"op2_mixing": OP2, "op3_warc": OP3, "op7_line_dedup": OP7, "op9_exact_dedup": OP9}

@@ -5,15 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrosight.llm.common import scratch, table
+from hydrosight.llm.common import held_out, scratch, table
 from hydrosight.llm.exact_dedup import exact_dedup
 from hydrosight.llm.langid import language_id
 from hydrosight.llm.line_dedup import line_dedup
+from hydrosight.llm.mixing import mix
 from hydrosight.llm.packing import pack
+from hydrosight.llm.quality import quality
 from hydrosight.llm.toxicity import toxicity
 from hydrosight.llm.warc import read_warc, write_warc
 
 
+#: target weights of the mixture; nodes that are not named weigh 1
+WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+
+
+def mixing_levels() -> dict:
+    """The tree over ``documents``: the table names no domain, so the number at
+    the end of a source stands for one (number mod 4; d0 without a number)."""
+    number = F.regexp_extract(F.coalesce(F.col("source"), F.lit("")), "([0-9]{1,9})$", 1)
+    return {"domain": F.concat(F.lit("d"), F.coalesce(
+                F.when(number != "", number.cast("int")) % 4, F.lit(0)).cast("string")),
+            "lang": F.col("lang"), "source": F.col("source")}
+
+
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
@@ -23,6 +38,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mix(docs, mixing_levels(), WEIGHTS, budget_share=(1, 1), max_epochs=4, seed=7).select(
+        "doc_id", "lang", "source", "epoch", "tokens", "take")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_warc(table(spark, sf_dir, "pages"), scratch(spark, "warc"), min_bytes=0)
     return read_warc(index, with_payload=False).select(
@@ -33,6 +54,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    scored = quality(docs, table(spark, sf_dir, "labels"), threshold=0.5)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "kept")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs, min_chars=40, min_docs=5).select(
@@ -47,4 +74,4 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_warc, op4_language_id, op7_line_dedup, op8_packing, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_warc, op4_language_id, op6_quality, op7_line_dedup, op8_packing, op9_exact_dedup)}
