@@ -82,7 +82,8 @@ OP2 = rf"""
 WITH d AS (
   SELECT doc_id, lang, source, coalesce(lang, '') AS l, coalesce(source, '') AS s0,
          'd' || coalesce(TRY_CAST(nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1), '') AS INT) % 4, 0) AS dom,
-         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::HUGEINT AS t
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::HUGEINT AS t
   FROM documents),
 leaf AS (SELECT 0 AS root, dom, l, s0, sum(t) AS t, sum(t) * 4 AS s, 1 AS w FROM d GROUP BY ALL),
 n1 AS (SELECT root, dom, sum(s) AS s, {_weight("dom", WEIGHTS["domain"])} AS w FROM leaf GROUP BY ALL),
@@ -103,4 +104,25 @@ SELECT doc_id, lang, source, k::BIGINT AS epoch, t::BIGINT AS tokens, least(t, r
 FROM e WHERE h <= last
 """
 
-ORACLE_SQL = {"op2_mixing": OP2, "op3_warc": OP3, "op7_line_dedup": OP7, "op9_exact_dedup": OP9}
+OP5 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, list_distinct([list_aggregate(ws[i:i + 4], 'string_agg', ' ')
+           FOR i IN range(1, greatest(len(ws) - 3, 2))]) AS sh FROM w WHERE len(ws) > 0),
+n AS (SELECT w.doc_id, coalesce(len(s.sh), 0)::BIGINT AS n_shingles FROM w LEFT JOIN s ON w.doc_id = s.doc_id),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id
+  GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+  WHERE 100 * c >= 75 * (p.n_shingles + q.n_shingles - c)),
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN sym l ON r.b = l.a)
+SELECT n.doc_id, n.n_shingles, min(r.b) AS component_id
+FROM n JOIN reach r ON n.doc_id = r.a GROUP BY n.doc_id, n.n_shingles
+"""
+
+ORACLE_SQL = {"op5_jaccard": OP5, "op2_mixing": OP2, "op3_warc": OP3, "op7_line_dedup": OP7, "op9_exact_dedup": OP9}

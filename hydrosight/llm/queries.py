@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hydrosight.llm.common import held_out, scratch, table
 from hydrosight.llm.exact_dedup import exact_dedup
+from hydrosight.llm.jaccard import jaccard_components
 from hydrosight.llm.langid import language_id
 from hydrosight.llm.line_dedup import line_dedup
 from hydrosight.llm.mixing import mix
@@ -54,6 +55,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), percent=75)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     scored = quality(docs, table(spark, sf_dir, "labels"), threshold=0.5)
@@ -74,4 +79,4 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_warc, op4_language_id, op6_quality, op7_line_dedup, op8_packing, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_warc, op4_language_id, op5_jaccard, op6_quality, op7_line_dedup, op8_packing, op9_exact_dedup)}
