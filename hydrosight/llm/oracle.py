@@ -125,4 +125,19 @@ SELECT n.doc_id, n.n_shingles, min(r.b) AS component_id
 FROM n JOIN reach r ON n.doc_id = r.a GROUP BY n.doc_id, n.n_shingles
 """
 
-ORACLE_SQL = {"op5_jaccard": OP5, "op2_mixing": OP2, "op3_warc": OP3, "op7_line_dedup": OP7, "op9_exact_dedup": OP9}
+OP10 = """
+WITH RECURSIVE u AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding::DOUBLE[], lambda x: x <> 0)) > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+k AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON e.vec_id = c.a LEFT JOIN k ON e.vec_id = k.a
+"""
+
+ORACLE_SQL = {"op10_embeddings": OP10, "op5_jaccard": OP5, "op2_mixing": OP2, "op3_warc": OP3, "op7_line_dedup": OP7, "op9_exact_dedup": OP9}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrosight.llm.common import held_out, scratch, table
+from hydrosight.llm.embed_join import near_duplicates
 from hydrosight.llm.exact_dedup import exact_dedup
 from hydrosight.llm.jaccard import jaccard_components
 from hydrosight.llm.langid import language_id
@@ -79,4 +80,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_warc, op4_language_id, op5_jaccard, op6_quality, op7_line_dedup, op8_packing, op9_exact_dedup)}
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_warc, op4_language_id, op5_jaccard, op6_quality, op7_line_dedup, op8_packing, op9_exact_dedup, op10_embeddings)}
