@@ -15,14 +15,17 @@ digest. Sets link when 100 * intersection >= ``percent`` * union.
    large enough for a heavy partner also under each of the former. The boundary has the
    least cost by the histogram of sizes: subsets to enumerate against
    list entries to scan.
-3. Entries travel as packed arrays by hash range of their key. In each list a
-   leader (smallest by hash) is paired with the others whose size allows a link. Lists of
-   shingles that the counters show as frequent are salted into parts.
-4. Pairs are verified on the whole sets, which a third scan makes for listed sets only
-   (found by a Bloom filter of bounded size, confirmed by the join). Links become components. Lists that still hold several
-   components elect other leaders for some rounds; then the remaining pairs from
-   different components are all verified. Pairs inside a component need no
-   test, so a group of copies costs its size, not its square.
+3. Entries travel as packed arrays by hash range of their key. A list of up to
+   ``SHORT`` sets gives its pairs; in a longer one a leader (smallest by hash) is paired with
+   the others. Only sizes that allow a link are paired. Lists of
+   shingles that the counters show as very frequent are salted into parts.
+4. A parity bitmap of about n bits, made in the first scan, bounds the difference of two
+   sets from below, which drops nearly all pairs that merely share a passage. The rest are
+   verified on the whole sets, which another scan makes for their members only (found by a
+   Bloom filter of bounded size, confirmed by the join). Links become components. Long
+   lists that still hold several components elect other leaders, and then all their remaining
+   pairs from different components go the same way. Pairs inside a component need
+   no test, so a group of copies costs its size, not its square.
 
 Defined cases
     null or empty text, no words   size 0, linked with nothing
@@ -54,7 +57,8 @@ COUNTERS = 22  # bits
 #: entries a task holds before it writes them out
 FLUSH = 4_000_000
 LIGHT_MOST = 64  # largest boundary that is considered
-LEADERS = 3  # rounds of other leaders
+SHORT = 8  # lists of up to so many sets are paired at once
+LEADERS = 4  # other leaders of a longer list
 ORDER_FROM = 4  # classes of frequency are log2(count) less this
 SALTED = 16
 
@@ -92,6 +96,29 @@ def digest(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Parity of the shingles by the low bits of their hash, 64 bits at least and
+    about one a shingle: two sets differ in as many shingles as their bitmaps in bits, at least."""
+    size = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(x: bytes, m: int, y: bytes, n: int, percent: int) -> bool:
+    """False only if the bitmaps show that sets of m and n are too different."""
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    p, q = 8 * len(x), 8 * len(y)
+    while p > q:  # fold to the smaller: parities by one bit less add up
+        p //= 2
+        a = (a >> p) ^ (a & ((1 << p) - 1))
+    while q > p:
+        q //= 2
+        b = (b >> q) ^ (b & ((1 << q) - 1))
+    differ = (a ^ b).bit_count()
+    both = (m + n - differ) // 2  # no larger intersection is possible
+    return 100 * both >= percent * (m + n - both)
+
+
 def needed(n, percent: int):
     """The shingles that a partner of a set of n must share."""
     return -(-n * percent // 100)
@@ -102,25 +129,26 @@ def needed(n, percent: int):
 def _describe(batches):
     words, counts, seen = _WordHashes(), np.zeros(1 << COUNTERS, np.int64), set()
     for batch in batches:
-        ns, sids = [], []
+        ns, sids, maps = [], [], []
         for text in batch.column(1).to_pylist():
             s = shingles(text, words)
             d = digest(s)
             ns.append(len(s))
             sids.append(d)
+            maps.append(None if d in seen else bitmap(s))
             if d not in seen:
                 seen.add(d)
                 np.add.at(counts, (s >> np.uint64(64 - COUNTERS)).astype(np.int64), 1)
         m = len(ns)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([0] * m, pa.int32()), batch.column(0), pa.array(ns, pa.int64()), pa.array(sids, pa.int64())],
-            names=["kind", "doc_id", "n", "sid"])
+            [pa.array([0] * m, pa.int32()), batch.column(0), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()),
+             pa.array(maps, pa.binary())], names=["kind", "doc_id", "n", "sid", "map"])
     least = max(8, int(counts.sum()) >> 19)
     at = np.flatnonzero(counts >= least)
     if len(at):
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.ones(len(at)), pa.int32()), pa.nulls(len(at), pa.int64()), pa.array(counts[at], pa.int64()),
-             pa.array(at, pa.int64())], names=["kind", "doc_id", "n", "sid"])
+             pa.array(at, pa.int64()), pa.nulls(len(at), pa.binary())], names=["kind", "doc_id", "n", "sid", "map"])
 
 
 def boundary(sizes: dict[int, int], scan: float, percent: int) -> int:
@@ -217,8 +245,8 @@ def _priority(sid: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _lists(light: int, percent: int):
-    """Leaders and members of the lists with two or more sets."""
+def _lists(percent: int):
+    """Pairs (key null; leader, sid) of short lists; leader and members of long ones."""
     def run(batches):
         held: dict[int, list] = {}
         for batch in batches:
@@ -228,25 +256,60 @@ def _lists(light: int, percent: int):
         for p in list(held):
             key, salt, sid, n = (np.concatenate(c) for c in zip(*held.pop(p)))
             order = np.lexsort((sid, salt, key))
-            key, salt, sid, n = key[order], salt[order], sid[order], n[order]
+            key, salt, sid, n = key[order], salt[order], sid[order], n[order].astype(np.int64)
             fresh = np.ones(len(key), bool)  # an equal set from another task
             fresh[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (sid[1:] != sid[:-1])
             key, salt, sid, n = key[fresh], salt[fresh], sid[fresh], n[fresh]
             start = np.ones(len(key), bool)
             start[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
             lists = np.cumsum(start) - 1
-            sizes = np.bincount(lists) if len(lists) else np.zeros(0, np.int64)
-            keep = (sizes[lists] > 1) | (salt > 0)
-            if not keep.any():
-                continue
-            key, salt, sid, n, lists = key[keep], salt[keep], sid[keep], n[keep], lists[keep]
-            order = np.lexsort((_priority(sid), lists))
-            key, sid, n, lists = key[order], sid[order], n[order], lists[order]
-            first = np.searchsorted(lists, lists, side="left")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(sid), pa.array(n.astype(np.int64)),
-                 pa.array(sid[first]), pa.array(n[first].astype(np.int64))],
-                names=["key", "sid", "n", "leader", "leader_n"])
+            size = np.bincount(lists)[lists] if len(lists) else lists
+            keys, sids, ns, leaders = [], [], [], []
+            short = np.flatnonzero((size > 1) & (size <= SHORT) & (salt == 0))
+            if len(short):
+                a, b = [], []
+                for step in range(1, SHORT):
+                    i = short[short + step < len(lists)]
+                    i = i[lists[i] == lists[i + step]]
+                    j = i + step
+                    ok = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
+                    a.append(sid[i[ok]])
+                    b.append(sid[j[ok]])
+                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+                keys.append(pa.nulls(len(pairs), pa.int64()))
+                sids.append(pairs[:, 1])
+                ns.append(np.zeros(len(pairs), np.int64))
+                leaders.append(pairs[:, 0])
+            long = (size > SHORT) | (salt > 0)
+            if long.any():
+                key, salt, sid, n, lists = key[long], salt[long], sid[long], n[long], lists[long]
+                order = np.lexsort((_priority(sid), lists))
+                key, salt, sid, n, lists = (x[order] for x in (key, salt, sid, n, lists))
+                at = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
+                # lists of equal members (the shingles of one passage) are one list
+                marks = np.stack([np.diff(np.append(at, len(lists))).astype(np.uint64),
+                                  np.add.reduceat(_priority(sid) * _M, at), np.bitwise_xor.reduceat(_priority(sid), at),
+                                  np.where(salt[at] > 0, key[at], np.uint64(0))], axis=1)
+                _, one = np.unique(marks, axis=0, return_index=True)
+                first = np.searchsorted(lists, lists, side="left")
+                keep = np.isin(lists, lists[at[one]])
+                keys.append(pa.array(key[keep].view(np.int64)))
+                sids.append(sid[keep])
+                ns.append(n[keep])
+                leaders.append(sid[first][keep])
+            if keys:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays(keys), *(pa.array(np.concatenate(c), pa.int64()) for c in (sids, ns, leaders))],
+                    names=["key", "sid", "n", "leader"])
+    return run
+
+
+def _similar(percent: int):
+    def run(batches):
+        for batch in batches:
+            m = pa.array([may_link(x, p, y, q, percent) for x, p, y, q in
+                          zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(m), batch.column(1).filter(m)], names=["a", "b"])
     return run
 
 
@@ -345,10 +408,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     text = F.col(text_col).cast("string").cast("binary")
     described = cut(df.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
-                    .mapInArrow(_describe, "kind int, doc_id bigint, n bigint, sid bigint"), "shingle-sets", "kind")
+                    .mapInArrow(_describe, "kind int, doc_id bigint, n bigint, sid bigint, map binary"), "shingle-sets", "kind")
     docs = described.where("kind = 0").select("doc_id", "n", "sid")
     # the order of shingles: bounded, since each kept counter has its share of the total
-    distinct = cut(docs.groupBy("sid").agg(F.first("n").alias("n")), "shingle-distinct")
+    distinct = cut(described.where("kind = 0 and map is not null").select("sid", "n", "map").dropDuplicates(["sid"]), "shingle-distinct")
     small = distinct.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
     total = small["total"] or 0
     frequent = (described.where("kind = 1").groupBy(F.col("sid").alias("at")).agg(F.sum("n").alias("n"))
@@ -365,57 +428,73 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     entries = df.select(text.alias("text")).mapInArrow(
         _entries(path, light, percent, ranges), "part int, key binary, salt binary, sid binary, n binary")
     lists = cut(entries.repartition(parallelism(spark), "part").mapInArrow(
-        _lists(light, percent), "key bigint, sid bigint, n bigint, leader bigint, leader_n bigint"), "shingle-lists")
-
-    listed = cut(lists.select("sid").distinct(), "shingle-listed")
-    size = 1 << max(10, min((filter_mb << 20).bit_length() - 1, (2 * listed.count()).bit_length()))
-    bloom = scratch(spark, "shingle-filter")
-    (listed.mapInArrow(_bloom(size), "at bigint, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits"))
-     .write.parquet(bloom))
-    sets = df.select(text.alias("text")).mapInArrow(_sets(bloom, size), "sid bigint, items binary")
-    # tasks may find the same set; any copy serves
-    sets = cut(sets.join(listed.hint("shuffle_hash"), "sid", "left_semi").dropDuplicates(["sid"]), "shingle-items")
-
-    def allowed(m, n):
-        return F.least(m, n) * 100 >= F.greatest(m, n) * percent
-
-    tested = cut(lists.where((F.col("sid") != F.col("leader")) & allowed(F.col("n"), F.col("leader_n")))
-                 .select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct(), "shingle-pairs")
-    links = cut(_verify(tested, sets, percent), "shingle-links")
-    labels, turn = components(links), 0
-    while turn <= LEADERS:
-        turn += 1
-        open_ = cut(lists.select("key", "sid", "n").join(
-            labels.select(F.col("id").alias("sid"), "label"), "sid", "left").select(
-            "key", "sid", "n", F.coalesce("label", "sid").alias("label")), "shingle-open")
-        several = cut(open_.groupBy("key").agg(
+        _lists(percent), "key bigint, sid bigint, n bigint, leader bigint"), "shingle-lists")
+
+    def ordered(pairs):
+        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def promising(pairs):
+        """Pairs that sizes and bitmaps allow to link."""
+        one = distinct.select(F.col("sid").alias("a"), F.col("map").alias("x"), F.col("n").alias("p"))
+        two = distinct.select(F.col("sid").alias("b"), F.col("map").alias("y"), F.col("n").alias("q"))
+        both = (pairs.join(one, "a").join(two, "b").where(F.least("p", "q") * 100 >= F.greatest("p", "q") * percent)
+                .select("a", "b", "x", "p", "y", "q"))
+        return cut(both.mapInArrow(_similar(percent), "a bigint, b bigint"), "shingle-pairs")
+
+    made: list[DataFrame] = []
+
+    def linked(pairs):
+        """The pairs that link. Sets that no earlier turn made are made now."""
+        listed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+        for sets in made:
+            listed = listed.join(sets.select("sid"), "sid", "left_anti")
+        listed = cut(listed, "shingle-listed")
+        n = listed.count()
+        if n:
+            size = 1 << max(10, min((filter_mb << 20).bit_length() - 1, (2 * n).bit_length()))
+            bloom = scratch(spark, "shingle-filter")
+            (listed.mapInArrow(_bloom(size), "at bigint, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+             .write.parquet(bloom))
+            sets = df.select(text.alias("text")).mapInArrow(_sets(bloom, size), "sid bigint, items binary")
+            # tasks may find the same set; any copy serves
+            made.append(cut(sets.join(listed.hint("shuffle_hash"), "sid", "left_semi").dropDuplicates(["sid"]),
+                            "shingle-items"))
+        sets = made[0]
+        for more in made[1:]:
+            sets = sets.union(more)
+        return cut(_verify(pairs, sets, percent), "shingle-links")
+
+    near = promising(ordered(lists.select(F.col("leader").alias("a"), F.col("sid").alias("b"))))
+    if near.isEmpty():
+        links = near
+    else:
+        links = linked(near)
+    labels, long = components(links), lists.where("key is not null").select("key", "sid")
+    for last in (False, True):
+        open_ = cut(long.join(labels.select(F.col("id").alias("sid"), "label"), "sid", "left").select(
+            "key", "sid", F.coalesce("label", "sid").alias("label")).distinct(), "shingle-open")
+        several = (open_.groupBy("key").agg(
             F.min("label").alias("lo"), F.max("label").alias("hi"),
-            F.min_by(F.struct("sid", "n", "label"), F.xxhash64("sid", F.lit(turn))).alias("lead"))
-            .where("lo <> hi").select("key", "lead"), "shingle-several")
-        if several.isEmpty():
-            break
-        if turn <= LEADERS:  # another leader against the members of other components
-            pairs = (open_.join(several, "key").where(
-                (F.col("label") != F.col("lead.label")) & allowed(F.col("n"), F.col("lead.n")))
-                .select(F.col("lead.sid").alias("a"), F.col("sid").alias("b")))
+            *(F.min_by(F.struct("sid", "label"), F.xxhash64("sid", F.lit(k))).alias(f"lead{k}") for k in range(LEADERS)))
+            .where("lo <> hi").drop("lo", "hi"))
+        if not last:  # other leaders against the members of other components
+            lead = several.select("key", F.explode(F.array(*(f"lead{k}" for k in range(LEADERS)))).alias("lead")).distinct()
+            pairs = (open_.join(lead, "key").where(F.col("label") != F.col("lead.label"))
+                     .select(F.col("lead.sid").alias("a"), F.col("sid").alias("b")))
         else:  # all that is left: members outside a list's largest component against the others
             inside = open_.join(several.select("key"), "key")
             main = (inside.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
                     .groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main")))
             inside = cut(inside.join(main, "key"), "shingle-inside")
-            out = inside.where("label <> main").select("key", F.col("sid").alias("a"), F.col("n").alias("an"),
-                                                       F.col("label").alias("al"))
+            out = inside.where("label <> main").select("key", F.col("sid").alias("a"), F.col("label").alias("al"))
             pairs = (inside.join(out, "key").where(
-                (F.col("label") != F.col("al")) & ((F.col("label") == F.col("main")) | (F.col("a") < F.col("sid")))
-                & allowed(F.col("n"), F.col("an"))).select("a", F.col("sid").alias("b")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = cut(pairs.join(known, ["a", "b"], "left_anti"), "shingle-pairs")
-        if pairs.isEmpty():
-            turn = max(turn, LEADERS)  # no leader finds anything new: the last round
+                (F.col("label") != F.col("al")) & ((F.col("label") == F.col("main")) | (F.col("a") < F.col("sid"))))
+                .select("a", F.col("sid").alias("b")))
+        more = promising(ordered(pairs).join(near, ["a", "b"], "left_anti"))
+        if more.isEmpty():
             continue
-        tested = tested.union(pairs)
-        found = cut(_verify(pairs, sets, percent), "shingle-links")
+        near = near.union(more)
+        found = linked(more)
         if not found.isEmpty():
             links = cut(links.union(found), "shingle-links")
             labels = components(links)
