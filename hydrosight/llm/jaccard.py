@@ -430,6 +430,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lists = cut(entries.repartition(parallelism(spark), "part").mapInArrow(
         _lists(percent), "key bigint, sid bigint, n bigint, leader bigint"), "shingle-lists")
 
+    def allowed(m, n):
+        return F.least(m, n) * 100 >= F.greatest(m, n) * percent
+
     def ordered(pairs):
         return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -437,7 +440,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         """Pairs that sizes and bitmaps allow to link."""
         one = distinct.select(F.col("sid").alias("a"), F.col("map").alias("x"), F.col("n").alias("p"))
         two = distinct.select(F.col("sid").alias("b"), F.col("map").alias("y"), F.col("n").alias("q"))
-        both = (pairs.join(one, "a").join(two, "b").where(F.least("p", "q") * 100 >= F.greatest("p", "q") * percent)
+        both = (pairs.join(one, "a").join(two, "b").where(allowed(F.col("p"), F.col("q")))
                 .select("a", "b", "x", "p", "y", "q"))
         return cut(both.mapInArrow(_similar(percent), "a bigint, b bigint"), "shingle-pairs")
 
@@ -469,26 +472,29 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         links = near
     else:
         links = linked(near)
-    labels, long = components(links), lists.where("key is not null").select("key", "sid")
+    labels, long = components(links), lists.where("key is not null").select("key", "sid", "n")
     for last in (False, True):
         open_ = cut(long.join(labels.select(F.col("id").alias("sid"), "label"), "sid", "left").select(
-            "key", "sid", F.coalesce("label", "sid").alias("label")).distinct(), "shingle-open")
+            "key", "sid", "n", F.coalesce("label", "sid").alias("label")).distinct(), "shingle-open")
         several = (open_.groupBy("key").agg(
             F.min("label").alias("lo"), F.max("label").alias("hi"),
-            *(F.min_by(F.struct("sid", "label"), F.xxhash64("sid", F.lit(k))).alias(f"lead{k}") for k in range(LEADERS)))
+            *(F.min_by(F.struct("sid", "n", "label"), F.xxhash64("sid", F.lit(k))).alias(f"lead{k}") for k in range(LEADERS)))
             .where("lo <> hi").drop("lo", "hi"))
         if not last:  # other leaders against the members of other components
             lead = several.select("key", F.explode(F.array(*(f"lead{k}" for k in range(LEADERS)))).alias("lead")).distinct()
-            pairs = (open_.join(lead, "key").where(F.col("label") != F.col("lead.label"))
+            pairs = (open_.join(lead, "key").where((F.col("label") != F.col("lead.label"))
+                                                       & allowed(F.col("n"), F.col("lead.n")))
                      .select(F.col("lead.sid").alias("a"), F.col("sid").alias("b")))
         else:  # all that is left: members outside a list's largest component against the others
             inside = open_.join(several.select("key"), "key")
             main = (inside.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
                     .groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main")))
             inside = cut(inside.join(main, "key"), "shingle-inside")
-            out = inside.where("label <> main").select("key", F.col("sid").alias("a"), F.col("label").alias("al"))
+            out = inside.where("label <> main").select("key", F.col("sid").alias("a"), F.col("n").alias("an"),
+                                                       F.col("label").alias("al"))
             pairs = (inside.join(out, "key").where(
-                (F.col("label") != F.col("al")) & ((F.col("label") == F.col("main")) | (F.col("a") < F.col("sid"))))
+                (F.col("label") != F.col("al")) & ((F.col("label") == F.col("main")) | (F.col("a") < F.col("sid")))
+                & allowed(F.col("n"), F.col("an")))
                 .select("a", F.col("sid").alias("b")))
         more = promising(ordered(pairs).join(near, ["a", "b"], "left_anti"))
         if more.isEmpty():
