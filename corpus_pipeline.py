@@ -35,7 +35,7 @@ def _like(result: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality(docs, table(spark, sf_dir, "labels"), threshold=0.5)
+    scored = quality(docs, table(spark, sf_dir, "labels"), threshold=0.1)
     return scored.where("kept").select(*docs.columns)
 
 

@@ -61,10 +61,10 @@ def _weight(level: Column, weights: dict[str, int]) -> Column:
     return out
 
 
-def share(children: DataFrame, parents: DataFrame, parent_keys: list[str], own_key: str) -> DataFrame:
-    """Water filling. ``children``: keys, weight, supply; ``parents``: their keys and
-    budget. Adds each child's budget."""
-    c = children.where("weight > 0").join(parents, parent_keys)
+def share(children: DataFrame, parent_keys: list[str], own_key: str) -> DataFrame:
+    """Water filling. ``children``: keys, weight, supply and their parent's
+    budget. Returns each child's budget."""
+    c = children.where("weight > 0")
     up = Window.partitionBy(*parent_keys).orderBy(F.col("supply") / F.col("weight"), own_key)
     before = up.rowsBetween(Window.unboundedPreceding, -1)
     onward = up.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -88,11 +88,10 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, i
         nodes = leaves.groupBy(*keys).agg(F.sum("supply").alias("supply"))
         nodes = nodes.withColumn("weight", _weight(F.col(keys[-1]), weights.get(keys[-1], {})))
         if alloc is None:  # the root's children
-            nodes = nodes.withColumn("root", F.lit(0))
-            root = leaves.sparkSession.range(1).select(F.lit(0).alias("root"), F.lit(budget).cast("bigint").alias("budget"))
-            alloc = share(nodes, root, ["root"], keys[-1]).drop("root", "supply")
+            nodes = nodes.select("*", F.lit(0).alias("root"), F.lit(budget).cast("bigint").alias("budget"))
+            alloc = share(nodes, ["root"], keys[-1]).drop("root", "supply")
         else:
-            alloc = share(nodes, alloc, keys[:-1], keys[-1]).drop("supply")
+            alloc = share(nodes.join(alloc, keys[:-1]), keys[:-1], keys[-1]).drop("supply")
     return leaves.drop("supply").join(alloc, levels)
 
 

@@ -62,7 +62,7 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    scored = quality(docs, table(spark, sf_dir, "labels"), threshold=0.5)
+    scored = quality(docs, table(spark, sf_dir, "labels"), threshold=0.1)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "kept")
 
 
