@@ -224,13 +224,11 @@ def _joined(dim: int, threshold: float):
                 np.add.at(links, i, mb[j])
                 got = np.flatnonzero(links)
                 out = [(ua[got], ua[rows[got]], links[got])]
-                if same:
-                    pass
-                else:
-                    links = np.zeros(len(ub), np.int64)
-                    np.add.at(links, j, ma[i])
-                    got = np.flatnonzero(links)
-                    out.append((ub[got], ua[cols[got]], links[got]))
+                links = np.zeros(len(ub), np.int64)
+                np.add.at(links, j, ma[i])
+                got = np.flatnonzero(links)
+                # in a block with itself a vector is a row and a column: both join, one counts
+                out.append((ub[got], ua[cols[got]], 0 * links[got] if same else links[got]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)],
                                                  names=["uid", "label", "links"])
     return run
