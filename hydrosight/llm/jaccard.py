@@ -5,9 +5,8 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles
 digest. Sets link when 100 * intersection >= ``percent`` * union.
 
 1. A first scan gives each document its set's size and digest, and counts
-   shingles by 22 bits of their hash; a task reports only the counts that stand out. At most
-   2^20 counters can hold a 2^-20 share of all shingles, so the merged table is
-   bounded. It orders all shingles: rare ones first, by hash among equals.
+   shingles by 24 bits of their hash (a counter array of fixed size; parts of it are added up
+   in Spark). The counts order all shingles: those that do not stand out first, by hash among equals.
 2. A set of n links only with sets that share o = ceil(percent * n / 100) of its
    shingles, so two linked sets share one of their first n - o + 1 and two of their
    first n - o + 2. *Light* sets (n <= boundary) list themselves under every subset
@@ -39,6 +38,7 @@ Defined cases
 from __future__ import annotations
 
 import posixpath
+import zlib
 from math import comb
 
 import numpy as np
@@ -53,35 +53,57 @@ from hydrosight.llm.common import cut, parallelism, scratch
 from hydrosight.llm.components import components
 
 WORDS = 5
-COUNTERS = 22  # bits
+COUNTERS = 24  # bits
+PARTS = 256
 #: entries a task holds before it writes them out
 FLUSH = 4_000_000
 LIGHT_MOST = 64  # largest boundary that is considered
 SHORT = 8  # lists of up to so many sets are paired at once
-LEADERS = 4  # other leaders of a longer list
+LEADERS = 12  # other leaders of a longer list
 ORDER_FROM = 4  # classes of frequency are log2(count) less this
 SALTED = 16
 
 _K, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)  # odd constants of a mixing function
 
 
-class _WordHashes(dict):
-    """Remembers words' hashes; emptied when it grows."""
+#: a 64-bit value for each byte, A-Z as a-z; which bytes are white space
+_BYTES = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+_BYTES[65:91] = _BYTES[97:123]
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __missing__(self, w):
-        if len(self) > 400_000:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w) >> 1
-        return h
 
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse, modulo 2^64."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((int(_K), pow(int(_K), -1, 1 << 64))):
+            steps = np.full(1 << (n - 1).bit_length(), base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers[0], _powers[1]
 
-def shingles(text: bytes | None, words: _WordHashes) -> np.ndarray:
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word: sums of byte values times powers, by differences of a
+    running sum over the text, shifted back to the word's start."""
+    b = np.frombuffer(text, np.uint8)
+    space = np.concatenate([[True], _SPACE[b], [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    start, end = edges[::2], edges[1::2]
+    up, down = _power(len(b) + 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTES[b] * up[:len(b)], out=total[1:])
+    h = (total[end] - total[start]) * down[start]
+    return h ^ (h >> np.uint64(32))
+
+
+def shingles(text: bytes | None) -> np.ndarray:
     """The sorted set of a text's shingle hashes."""
-    ws = (text or b"").lower().split()  # bytes: A-Z, and white space as in the contract
-    n = len(ws)
+    w = word_hashes(text or b"")
+    n = len(w)
     if not n:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(words.__getitem__, ws), np.int64, n).astype(np.uint64)
     k = min(n, WORDS)
     h = np.full(n - k + 1, k, np.uint64)
     for j in range(k):
@@ -89,7 +111,8 @@ def shingles(text: bytes | None, words: _WordHashes) -> np.ndarray:
         h ^= h >> np.uint64(29)
     h *= _M
     h ^= h >> np.uint64(32)
-    return np.unique(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def digest(s: np.ndarray) -> int:
@@ -127,28 +150,46 @@ def needed(n, percent: int):
 # --- first scan --------------------------------------------------------------------------------
 
 def _describe(batches):
-    words, counts, seen = _WordHashes(), np.zeros(1 << COUNTERS, np.int64), set()
+    counts, seen = np.zeros(1 << COUNTERS, np.uint16), set()
     for batch in batches:
         ns, sids, maps = [], [], []
         for text in batch.column(1).to_pylist():
-            s = shingles(text, words)
+            s = shingles(text)
             d = digest(s)
             ns.append(len(s))
             sids.append(d)
             maps.append(None if d in seen else bitmap(s))
             if d not in seen:
                 seen.add(d)
-                np.add.at(counts, (s >> np.uint64(64 - COUNTERS)).astype(np.int64), 1)
+                at = (s >> np.uint64(64 - COUNTERS)).astype(np.int64)
+                counts[at] += counts[at] < 65535
         m = len(ns)
         yield pa.RecordBatch.from_arrays(
             [pa.array([0] * m, pa.int32()), batch.column(0), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()),
              pa.array(maps, pa.binary())], names=["kind", "doc_id", "n", "sid", "map"])
-    least = max(8, int(counts.sum()) >> 19)
-    at = np.flatnonzero(counts >= least)
-    if len(at):
+    rows = [(i, zlib.compress(part.tobytes(), 1)) for i, part in enumerate(counts.reshape(PARTS, -1)) if part.any()]
+    if rows:
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(at)), pa.int32()), pa.nulls(len(at), pa.int64()), pa.array(counts[at], pa.int64()),
-             pa.array(at, pa.int64()), pa.nulls(len(at), pa.binary())], names=["kind", "doc_id", "n", "sid", "map"])
+            [pa.array([1] * len(rows), pa.int32()), pa.nulls(len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()),
+             pa.nulls(len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
+            names=["kind", "doc_id", "n", "sid", "map"])
+
+
+def _order(least: int):
+    """Adds up the counters of a partition's parts; classes of those of ``least`` or more."""
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(zlib.decompress(data), np.uint16)
+                sums[part] = sums[part] + x if part in sums else x.astype(np.int64)
+        for part, x in sums.items():
+            often = x >= least
+            cls = np.where(often, np.maximum(np.log2(np.maximum(x, 1)).astype(np.int64) - ORDER_FROM, 1), 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int64()), pa.array([cls.astype(np.uint8).tobytes()], pa.binary()),
+                 pa.array([float((x[often].astype(np.float64) ** 2).sum())])], names=["part", "classes", "mass"])
+    return run
 
 
 def boundary(sizes: dict[int, int], scan: float, percent: int) -> int:
@@ -191,8 +232,7 @@ def _keys(s: np.ndarray, frequent: np.ndarray, light: int, percent: int):
 
 def _entries(path: str, light: int, percent: int, ranges: int):
     def run(batches):
-        frequent = _load(path, 1 << COUNTERS)
-        words, seen = _WordHashes(), set()
+        frequent, seen = _load(path, 1 << COUNTERS), set()
         held: list[tuple] = []
         count = 0
 
@@ -221,7 +261,7 @@ def _entries(path: str, light: int, percent: int, ranges: int):
                 names=["part", "key", "salt", "sid", "n"])
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                s = shingles(text, words)
+                s = shingles(text)
                 d = digest(s)
                 if d in seen:
                     continue
@@ -319,14 +359,19 @@ _loaded: dict[str, np.ndarray] = {}
 
 
 def _load(path: str, size: int) -> np.ndarray:
-    """An array (index, value) from a Parquet folder, read once by each Python worker."""
+    """An array of (index, value) or (part, values) rows of a Parquet folder, read once
+    by each Python worker."""
     if path not in _loaded:
         fs, root = pafs.FileSystem.from_uri(path)
         out = np.zeros(size, np.uint8)
         for f in fs.get_file_info(pafs.FileSelector(root)):
             if posixpath.basename(f.path).startswith("part-"):
                 t = pq.read_table(f.path, filesystem=fs)
-                out[t.column(0).to_numpy()] |= t.column(1).to_numpy().astype(np.uint8)
+                if pa.types.is_binary(t.schema.field(1).type):  # parts of equal length
+                    for part, data in zip(t.column(0).to_pylist(), t.column(1).to_pylist()):
+                        out[part * len(data):(part + 1) * len(data)] = np.frombuffer(data, np.uint8)
+                else:
+                    out[t.column(0).to_numpy()] |= t.column(1).to_numpy().astype(np.uint8)
         if len(_loaded) > 3:
             _loaded.clear()
         _loaded[path] = out
@@ -358,11 +403,11 @@ def _bloom(size: int):
 
 def _sets(path: str, size: int):
     def run(batches):
-        bloom, words, seen = _load(path, size), _WordHashes(), set()
+        bloom, seen = _load(path, size), set()
         for batch in batches:
             sids, sets = [], []
             for text in batch.column(0).to_pylist():
-                s = shingles(text, words)
+                s = shingles(text)
                 d = digest(s)
                 if d in seen:
                     continue
@@ -410,16 +455,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     described = cut(df.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
                     .mapInArrow(_describe, "kind int, doc_id bigint, n bigint, sid bigint, map binary"), "shingle-sets", "kind")
     docs = described.where("kind = 0").select("doc_id", "n", "sid")
-    # the order of shingles: bounded, since each kept counter has its share of the total
-    distinct = cut(described.where("kind = 0 and map is not null").select("sid", "n", "map").dropDuplicates(["sid"]), "shingle-distinct")
-    small = distinct.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
-    total = small["total"] or 0
-    frequent = (described.where("kind = 1").groupBy(F.col("sid").alias("at")).agg(F.sum("n").alias("n"))
-                .where(F.col("n") >= max(64, total >> 20)))
+    distinct = cut(described.where("kind = 0 and map is not null").select("sid", "n", "map").dropDuplicates(["sid"]),
+                   "shingle-distinct")
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    # shingles that stand out of what a counter holds by chance
+    mean = total / (1 << COUNTERS)
     path = scratch(spark, "shingle-order")
-    frequent.select("at", F.least(F.greatest(F.floor(F.log2("n")) - ORDER_FROM, F.lit(1)), F.lit(60)).cast("int").alias("c")
-                    ).write.parquet(path)
-    mass = frequent.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+    (described.where("kind = 1").select("n", "map").repartition(parallelism(spark), "n")
+     .mapInArrow(_order(int(mean + 6 * mean ** 0.5 + 4)), "part bigint, classes binary, mass double").write.parquet(path))
+    mass = spark.read.schema("part bigint, classes binary, mass double").parquet(path).agg(F.sum("mass")).first()[0] or 0.0
     sizes = {r["n"]: r["m"] for r in distinct.where(F.col("n").between(3, LIGHT_MOST * 4))
              .groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()}
     light = boundary(sizes, min(16.0, mass / max(1, total)), percent)
@@ -448,7 +492,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def linked(pairs):
         """The pairs that link. Sets that no earlier turn made are made now."""
-        listed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+        listed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))
+        if not made:  # members of long lists may be asked for later
+            listed = listed.union(long.select("sid"))
+        listed = listed.distinct()
         for sets in made:
             listed = listed.join(sets.select("sid"), "sid", "left_anti")
         listed = cut(listed, "shingle-listed")
@@ -467,12 +514,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             sets = sets.union(more)
         return cut(_verify(pairs, sets, percent), "shingle-links")
 
+    long = lists.where("key is not null").select("key", "sid", "n")
     near = promising(ordered(lists.select(F.col("leader").alias("a"), F.col("sid").alias("b"))))
     if near.isEmpty():
         links = near
     else:
         links = linked(near)
-    labels, long = components(links), lists.where("key is not null").select("key", "sid", "n")
+    labels = components(links)
     for last in (False, True):
         open_ = cut(long.join(labels.select(F.col("id").alias("sid"), "label"), "sid", "left").select(
             "key", "sid", "n", F.coalesce("label", "sid").alias("label")).distinct(), "shingle-open")
