@@ -1,8 +1,9 @@
 """Run the whole job on files: ``python -m hydrosight --consumption ... --person ...``.
 
-Reads the CSV inputs (the read and parcel files are optional), writes the
-summary and the weekly panel (one sorted CSV each, or Parquet), and prints
-the run report: the 14 counters and the row count of each source.
+Reads the CSV inputs (the read and parcel files are optional and may be
+missing), writes the summary and the weekly panel (sorted CSV or Parquet
+files), prints the run report (the 14 counters and the row count of each
+source) and deletes its intermediate tables.
 """
 
 from __future__ import annotations
@@ -32,15 +33,20 @@ def parse_args(argv=None) -> argparse.Namespace:
     a.add_argument("--out-weekly", required=True)
     a.add_argument("--format", choices=["csv", "parquet"], default="csv")
     a.add_argument("--encoding", default="ISO-8859-1")
-    a.add_argument("--multiline", action="store_true", help="fields may hold quoted newlines")
-    a.add_argument("--ts-format", default=None, help="timestamp pattern (default: ISO text)")
+    a.add_argument("--multiline", action="store_true",
+                   help="fields may hold quoted newlines (files are then not split; without it such a file fails)")
+    a.add_argument("--ts-format", action="append", default=[], metavar="[COLUMN=]PATTERN",
+                   help="timestamp pattern, of one column or of all others (default: ISO text)")
+    a.add_argument("--single-file", action="store_true", help="one output file each, through one task")
     a.add_argument("--master", default=None)
     return a.parse_args(argv)
 
 
 def run(spark: SparkSession, args: argparse.Namespace):
     ensure_checkpoint_dir(spark)
-    p = Params(ts_format=args.ts_format)
+    named = [f.split("=", 1) for f in args.ts_format]
+    p = Params(ts_format=next((f[0] for f in named if len(f) == 1), None),
+               ts_formats=tuple((f[0].upper(), f[1]) for f in named if len(f) == 2))
     kw = {"encoding": args.encoding, "multiline": args.multiline}
     reads = None
     if args.drc:
@@ -49,11 +55,11 @@ def run(spark: SparkSession, args: argparse.Namespace):
         bills=read_raw_csv(spark, args.consumption, **kw),
         person=read_raw_csv(spark, args.person, **kw),
         reads=reads,
-        parcel=read_parcel_csv(spark, args.parcel) if args.parcel else None,
+        parcel=read_parcel_csv(spark, args.parcel, multiline=args.multiline),
     )
     r = build(spark, src, p)
-    write_table(r.summary, args.out_summary, fmt=args.format, sort_by=SUMMARY_SORT)
-    write_table(r.panel, args.out_weekly, fmt=args.format, sort_by=["SP_ID"])
+    write_table(r.summary, args.out_summary, fmt=args.format, sort_by=SUMMARY_SORT, single_file=args.single_file)
+    write_table(r.panel, args.out_weekly, fmt=args.format, sort_by=["SP_ID"], single_file=args.single_file)
     return r
 
 
@@ -65,6 +71,7 @@ def main(argv=None) -> int:
         print("no summer bills: no window, no candidates")
     for row in r.report.collect():
         print(f"{row['metric']}={row['value']}")
+    r.release()
     return 0
 
 

@@ -2,6 +2,8 @@
 
 from hydrosight.functions.columns import (
     WHITESPACE,
+    bad_double,
+    bad_ts,
     days_between,
     parse_double,
     parse_ts,
@@ -13,6 +15,8 @@ from hydrosight.functions.columns import (
 
 __all__ = [
     "WHITESPACE",
+    "bad_double",
+    "bad_ts",
     "days_between",
     "parse_double",
     "parse_ts",

@@ -48,40 +48,44 @@ def _fail(raw: Column, what: str, dtype: str) -> Column:
     return F.raise_error(F.concat(F.lit(f"unparseable {what}: "), raw.cast("string"))).cast(dtype)
 
 
-# shortest text the ISO form accepts: 'yyyy-MM-dd HH:mm:ss'
-ISO_MIN_LENGTH = 19
+#: the text forms that are read without a pattern: date, 'T' or a blank, hours and
+#: minutes, with or without seconds and a fraction; no zone, no offset, no blanks around
+ISO_TEXT = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?$"
+#: decimal numbers, NaN and infinities; no type suffix, no blanks around
+NUMBER_TEXT = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$|^[+-]?([nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
 
 
-def parse_ts(c, fmt: str | None = None, what: str = "timestamp") -> Column:
-    """Text -> TIMESTAMP_NTZ, strict: unparseable non-null text fails the job.
-
-    ``fmt=None`` takes ISO text ('yyyy-MM-dd HH:mm:ss[.ffffff]', 'T' allowed)
-    through Spark's cast, the fastest parser; text shorter than a full date
-    and time (which the cast would accept as a partial date) fails. Under
-    ANSI (the default) the cast and ``to_timestamp_ntz`` raise on bad text
-    themselves; otherwise an explicit check raises.
-    """
+def bad_ts(c, fmt: str | None = None) -> Column:
+    """True for non-null text that ``parse_ts`` refuses."""
     raw = _c(c)
     if fmt is None:
-        parsed = raw.cast("timestamp_ntz")
-        bad = F.length(raw) < ISO_MIN_LENGTH
-    else:
-        parsed = F.to_timestamp_ntz(raw, F.lit(fmt))
-        bad = F.lit(False)
-    if not _ansi():
-        bad = bad | (raw.isNotNull() & parsed.isNull())
+        return raw.isNotNull() & ~(raw.rlike(ISO_TEXT) & raw.try_cast("timestamp_ntz").isNotNull())
+    if _ansi():
+        return F.to_timestamp_ntz(raw, F.lit(fmt)).isNull() & raw.isNotNull()  # raises by itself
+    return raw.isNotNull() & F.to_timestamp_ntz(raw, F.lit(fmt)).isNull()
+
+
+def parse_ts(c, fmt: str | None = None, what: str = "timestamp") -> Column:
+    """Text -> TIMESTAMP_NTZ, strict: unparseable non-null text fails the job,
+    under ANSI and without it. ``fmt=None`` reads ``ISO_TEXT`` through Spark's cast;
+    a pattern goes to ``to_timestamp_ntz``."""
+    raw = _c(c)
+    parsed = raw.try_cast("timestamp_ntz") if fmt is None else F.to_timestamp_ntz(raw, F.lit(fmt))
     if fmt is not None and _ansi():
         return parsed
-    return F.when(bad, _fail(raw, what, "timestamp_ntz")).otherwise(parsed)
+    return F.when(bad_ts(raw, fmt), _fail(raw, what, "timestamp_ntz")).otherwise(parsed)
+
+
+def bad_double(c) -> Column:
+    """True for non-null text that ``parse_double`` refuses."""
+    raw = _c(c).cast("string")
+    return raw.isNotNull() & ~raw.rlike(NUMBER_TEXT)
 
 
 def parse_double(c, what: str = "number") -> Column:
-    """Text (or number) -> double, strict like ``parse_ts``."""
+    """Text -> double, strict like ``parse_ts``."""
     raw = _c(c)
-    if _ansi():
-        return raw.cast("double")
-    parsed = raw.try_cast("double")
-    return F.when(raw.isNotNull() & parsed.isNull(), _fail(raw, what, "double")).otherwise(parsed)
+    return F.when(bad_double(raw), _fail(raw, what, "double")).otherwise(raw.try_cast("double"))
 
 
 def round_half_even(c, digits: int) -> Column:

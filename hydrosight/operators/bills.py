@@ -1,14 +1,17 @@
 """Bills: cleaning (D1-D4) and the per-service-point season statistics
-(D9-D15), fused into one aggregate so all of them cost one exchange."""
+(D9-D15). The season statistics and counts are one hash aggregate; medians and
+premise lists, which need a service point's values together, are separate and
+the job takes them for candidates only."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrosight.functions import days_between, parse_double, parse_ts, strip_ws
+from hydrosight.functions import days_between, strip_ws
 from hydrosight.operators.dedup import keep_last
-from hydrosight.operators.median import exact_median, hot_groups
+from hydrosight.operators.median import exact_median
+from hydrosight.operators.parse import number, timestamp, where_not_null
 from hydrosight.params import DEFAULT, Params
 from hydrosight.sources.schemas import BILL_COLUMNS, ORD
 
@@ -16,12 +19,6 @@ REQUIRED = ["BSEG_ID", "SP_ID", "SA_ID", "ACCT_ID", "SA_TYPE_CD", "FINAL_REG_QTY
             "START_READ_DTTM", "END_READ_DTTM"]
 
 
-def _ts(df: DataFrame, name: str, p: Params) -> Column:
-    if dict(df.dtypes)[name] == "timestamp_ntz":
-        return F.col(name)
-    return parse_ts(F.col(name), p.ts_format, name)
-
-
 def typed_bills(raw: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Project, strip, upper-case and cast strictly (no rows dropped)."""
     cols = BILL_COLUMNS + ([ORD] if ORD in raw.columns else [])
@@ -35,33 +32,19 @@ def typed_bills(raw: DataFrame, p: Params = DEFAULT) -> DataFrame:
         "CHAR_PREM_ID": strip_ws("CHAR_PREM_ID"),
         "PREM_ID": strip_ws("PREM_ID"),
         "ADDRESS1": strip_ws("ADDRESS1"),
-        "FINAL_REG_QTY": parse_double("FINAL_REG_QTY", "FINAL_REG_QTY"),
+        "FINAL_REG_QTY": number(df, "FINAL_REG_QTY"),
         "FINAL_UOM_CD": F.upper(strip_ws("FINAL_UOM_CD")),
-        "START_READ_DTTM": _ts(df, "START_READ_DTTM", p),
-        "END_READ_DTTM": _ts(df, "END_READ_DTTM", p),
+        "START_READ_DTTM": timestamp(df, "START_READ_DTTM", p),
+        "END_READ_DTTM": timestamp(df, "END_READ_DTTM", p),
     })
 
 
-def drop_null_bills(df: DataFrame) -> DataFrame:
-    """nulls only (a NaN quantity stays, unlike ``dropna``).
-
-    Applied to the raw text: stripping keeps null as null and non-null as
-    non-null, and strict parsing turns non-null text into a value or an
-    error, so a typed field is null exactly when its text is. Testing the
-    text lets the predicate reach the scan as plain IS NOT NULL instead of
-    parsing every field twice.
-    """
-    cond = F.lit(True)
-    for c in REQUIRED:
-        cond = cond & F.col(c).isNotNull()
-    return df.where(cond)
-
-
 def dedup_bills(raw: DataFrame, p: Params = DEFAULT, columns: list[str] | None = None) -> DataFrame:
-    """Typed bills without null keys, last copy per BSEG_ID in file order.
-    ``columns`` narrows what the de-duplication carries (the null test still
-    covers every required column)."""
-    typed = typed_bills(drop_null_bills(raw), p)
+    """Typed bills without null keys (F1: a NaN quantity stays), last copy per
+    BSEG_ID in file order. ``columns`` narrows what the de-duplication carries;
+    the null test and the parse check still cover every required column."""
+    raw = where_not_null(raw, REQUIRED, ["START_READ_DTTM", "END_READ_DTTM"], ["FINAL_REG_QTY"], p)
+    typed = typed_bills(raw, p)
     if columns is not None:
         typed = typed.select(*columns, *([ORD] if ORD in typed.columns else []))
     return keep_last(typed, ["BSEG_ID"])
@@ -98,78 +81,71 @@ def clean_bills(raw: DataFrame, p: Params = DEFAULT, columns: list[str] | None =
     return with_volume_and_season(df, p)
 
 
-def usage_profile(usage: DataFrame, p: Params = DEFAULT) -> tuple[int | None, list]:
-    """The summer year (D16) and the hot service points (more than
-    ``median_group_rows`` bills) in one small job: a partial aggregate per
-    SP_ID, then one row. The hot list has at most rows / bound entries."""
-    per_sp = usage.groupBy("SP_ID").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.when(F.col("season") == "summer", F.year("END_READ_DTTM"))).alias("y"))
-    row = per_sp.agg(F.min("y").alias("y"),
-                     F.collect_list(F.when(F.col("n") > p.median_group_rows, F.col("SP_ID")))
-                     .alias("hot")).first()
-    year = None if row is None or row["y"] is None else int(row["y"])
-    return year, list(row["hot"] or []) if row is not None else []
-
-
-def resolve_summer_year(usage: DataFrame) -> int | None:
-    """Earliest year with a summer bill; one scalar to the driver,
-    so the window becomes a literal that Catalyst can push down."""
-    row = (usage.where(F.col("season") == "summer")
-           .agg(F.min(F.year("END_READ_DTTM")).alias("y")).first())
-    return None if row is None or row["y"] is None else int(row["y"])
-
-
-def _with_hot_medians(g: DataFrame, usage: DataFrame, hot: list) -> DataFrame:
-    rows = usage.where(F.col("SP_ID").isin(*hot)).select("SP_ID", "season", "normalized_30day_kgal")
-    med = exact_median(rows, ["SP_ID", "season"], "normalized_30day_kgal")
-    wide = med.groupBy("SP_ID").agg(
-        F.max(F.when(F.col("season") == "summer", F.col("median"))).alias("_hot_summer"),
-        F.max(F.when(F.col("season") == "winter", F.col("median"))).alias("_hot_winter"))
-    g = g.join(F.broadcast(wide), "SP_ID", "left")
-    return g.withColumns({
-        "summer_median_normalized_30day_kgal": F.coalesce(
-            F.col("summer_median_normalized_30day_kgal"), F.col("_hot_summer")),
-        "winter_median_normalized_30day_kgal": F.coalesce(
-            F.col("winter_median_normalized_30day_kgal"), F.col("_hot_winter")),
-    }).drop("_hot_summer", "_hot_winter")
-
-
-def season_stats(usage: DataFrame, p: Params = DEFAULT, hot: list | None = None) -> DataFrame:
-    """One row per SP_ID: premise list (D10), service code (D9), bill counts
-    (D11), summer daily average and 3x threshold (D12, D13), season mean and
-    median (D14). One hash aggregate replaces four group-bys and three joins.
-
-    Medians of service points with more than ``median_group_rows`` bills
-    (``hot``, found by a cheap count when not given) come from distributed
-    exact selection (``operators.median``) instead of one task's merge.
+def summer_year(usage: DataFrame) -> DataFrame:
+    """The earliest year with a summer bill, one row (null without
+    any). The job takes it to the driver, so the window becomes a literal."""
+    year = F.when(F.col("season") == "summer", F.year("END_READ_DTTM"))
+    return usage.agg(F.min(year).cast("bigint").alias("summer_year"))
+
+
+def season_medians(usage: DataFrame) -> DataFrame:
+    """Exact medians of the normalised volume, one row per SP_ID."""
+    med = exact_median(usage, ["SP_ID", "season"], "normalized_30day_kgal")
+    return med.groupBy("SP_ID").agg(*(
+        F.max(F.when(F.col("season") == s, F.col("median"))).alias(f"{s}_median_normalized_30day_kgal")
+        for s in ("summer", "winter")))
+
+
+def premise_lists(usage: DataFrame) -> DataFrame:
+    """The distinct premises of a service point, sorted and joined. The
+    distinct pairs come first, so a hot service point brings its premises, not its bills."""
+    pairs = usage.where(F.col("CHAR_PREM_ID").isNotNull()).select("SP_ID", "CHAR_PREM_ID").distinct()
+    return pairs.groupBy("SP_ID").agg(
+        F.array_join(F.array_sort(F.collect_list("CHAR_PREM_ID")), "|").alias("CHAR_PREM_ID"))
+
+
+STATS_COLUMNS = [
+    "SP_ID", "Type", "CHAR_PREM_ID", "bill_type_count",
+    "summer_bill_count", "summer_billed_daily_avg_kgal", "summer_triple_billed_daily_avg_kgal",
+    "summer_mean_normalized_30day_kgal", "summer_median_normalized_30day_kgal",
+    "winter_bill_count", "winter_mean_normalized_30day_kgal",
+    "winter_median_normalized_30day_kgal",
+]
+
+
+def with_details(stats: DataFrame, usage: DataFrame) -> DataFrame:
+    """Adds the premise list and the medians to one row per SP_ID."""
+    return (stats.join(premise_lists(usage), "SP_ID", "left").join(season_medians(usage), "SP_ID", "left")
+            .withColumn("CHAR_PREM_ID", F.coalesce("CHAR_PREM_ID", F.lit(""))).select(*STATS_COLUMNS))
+
+
+def season_stats(usage: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """One row per SP_ID with everything: D9-D14."""
+    return with_details(season_base(usage, p), usage)
+
+
+def season_base(usage: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """One row per SP_ID: service code (D9), bill counts (D11), summer daily
+    average and 3x threshold (D12, D13), season means (D14). One hash aggregate
+    replaces four group-bys and three joins.
 
     A season without bills yields nulls, as if that SP were absent from the
     season's table. The distinct service-type count is the number of kept
     types present, since bills are filtered to those types first.
     """
-    if hot is None:
-        hot = hot_groups(usage, "SP_ID", p.median_group_rows)
-    ordinary = ~F.col("SP_ID").isin(*hot) if hot else F.lit(True)
     summer = F.col("season") == "summer"
     winter = F.col("season") == "winter"
     norm = F.col("normalized_30day_kgal")
     has = {t: F.bool_or(F.col("SA_TYPE_CD") == t) for t in p.service_types}
-    aggs = [
-        F.array_join(F.array_sort(F.collect_set("CHAR_PREM_ID")), "|").alias("CHAR_PREM_ID"),
+    g = usage.groupBy("SP_ID").agg(
         *[h.alias(f"_has_{t}") for t, h in has.items()],
         F.count_if(summer).cast("double").alias("_summer_rows"),
         F.sum(F.when(summer, F.col("FINAL_REG_QTY") * F.lit(p.ccf_to_kgal))).alias("_summer_kgal"),
         F.sum(F.when(summer, F.col("bill_days"))).alias("_summer_days"),
         F.avg(F.when(summer, norm)).alias("summer_mean_normalized_30day_kgal"),
-        F.median(F.when(summer & ordinary, norm)).alias("summer_median_normalized_30day_kgal"),
         F.count_if(winter).cast("double").alias("_winter_rows"),
         F.avg(F.when(winter, norm)).alias("winter_mean_normalized_30day_kgal"),
-        F.median(F.when(winter & ordinary, norm)).alias("winter_median_normalized_30day_kgal"),
-    ]
-    g = usage.groupBy("SP_ID").agg(*aggs)
-    if hot:
-        g = _with_hot_medians(g, usage, hot)
+    )
     type_count = sum((F.col(f"_has_{t}").cast("double") for t in p.service_types), F.lit(0.0))
     letters = [F.when(F.col(f"_has_{t}"), F.lit(letter)).otherwise(F.lit(""))
                for t, letter in p.service_letters]
@@ -184,13 +160,8 @@ def season_stats(usage: DataFrame, p: Params = DEFAULT, hot: list | None = None)
         "summer_triple_billed_daily_avg_kgal": F.when(
             has_summer, F.greatest(daily * F.lit(p.threshold_multiple), F.lit(p.min_triple_daily_kgal))),
     })
-    return g.select(
-        "SP_ID", "Type", "CHAR_PREM_ID", "bill_type_count",
-        "summer_bill_count", "summer_billed_daily_avg_kgal", "summer_triple_billed_daily_avg_kgal",
-        "summer_mean_normalized_30day_kgal", "summer_median_normalized_30day_kgal",
-        "winter_bill_count", "winter_mean_normalized_30day_kgal",
-        "winter_median_normalized_30day_kgal",
-    )
+    details = ("CHAR_PREM_ID", "summer_median_normalized_30day_kgal", "winter_median_normalized_30day_kgal")
+    return g.select(*(c for c in STATS_COLUMNS if c not in details))
 
 
 def screen(stats: DataFrame, p: Params = DEFAULT) -> DataFrame:

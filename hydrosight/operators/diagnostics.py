@@ -36,10 +36,11 @@ def read_counters(read_stats: DataFrame) -> DataFrame:
     )
 
 
-def summary_counters(summary: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Counters 12-14: distinct summary SPs, and those with coverage > 0 and
-    > 170 days (coverage is per SP, so max over its rows is its value)."""
-    per_sp = summary.groupBy("SP_ID").agg(F.max("summer_drc_coverage_days").alias("cov"))
+def summary_counters(coverage: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Counters 12-14 from (SP_ID, summer_drc_coverage_days) of the summary's
+    rows: distinct SPs, and those with coverage > 0 and > 170 days (coverage is
+    per SP, so max over its rows is its value)."""
+    per_sp = coverage.groupBy("SP_ID").agg(F.max("summer_drc_coverage_days").alias("cov"))
     return per_sp.agg(
         _big(F.count(F.lit(1))).alias("summary_sp_ids"),
         _big(F.count_if(F.col("cov") > 0)).alias("summary_sp_ids_with_any_drc_coverage"),
@@ -55,37 +56,34 @@ def _long(wide: DataFrame) -> DataFrame:
     ])).alias("r")).select("r.*")
 
 
-def diagnostic_rows(candidate_count: int, read_stats: DataFrame | None, summary: DataFrame,
+def diagnostic_rows(candidate_count: int, read_stats: DataFrame | None, coverage: DataFrame,
                     p: Params = DEFAULT) -> DataFrame:
     """D35 in long form: (metric, value) rows, from three small aggregates."""
-    spark = summary.sparkSession
+    spark = coverage.sparkSession
     parts = [spark.range(1).select(F.lit(candidate_count).cast("bigint").alias("candidate_sp_ids"))]
     if read_stats is None:
         parts.append(spark.range(1).select(
             *[F.lit(0).cast("bigint").alias(c) for c in DIAGNOSTIC_COLUMNS[1:11]]))
     else:
         parts.append(read_counters(read_stats))
-    parts.append(summary_counters(summary, p))
+    parts.append(summary_counters(coverage, p))
     out = _long(parts[0])
     for part in parts[1:]:
         out = out.unionByName(_long(part))
     return out
 
 
-def diagnostics(candidate_count: int, read_stats: DataFrame | None, summary: DataFrame,
-                p: Params = DEFAULT) -> DataFrame:
+def diagnostics(rows: DataFrame) -> DataFrame:
     """D35 as one row of 14 bigints, in the fixed counter order (a pivot of
     the long form with explicit values)."""
-    rows = diagnostic_rows(candidate_count, read_stats, summary, p)
     return rows.groupBy().pivot("metric", DIAGNOSTIC_COLUMNS).agg(F.max("value")) \
         .select(*[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in DIAGNOSTIC_COLUMNS])
 
 
-def coverage_report(rows: DataFrame, source_counts: dict[str, DataFrame] | None = None,
-                    p: Params = DEFAULT) -> DataFrame:
+def coverage_report(rows: DataFrame, source_rows: dict[str, int] | None = None) -> DataFrame:
     """D36 + S10/S11: the counters as (metric, value) rows for the run log,
-    plus the row count of each source."""
-    for name, df in (source_counts or {}).items():
-        rows = rows.unionByName(df.agg(F.count(F.lit(1)).cast("bigint").alias("value"))
-                                .select(F.lit(f"{name}_rows").alias("metric"), "value"))
-    return rows
+    plus the row count of each source, which the job counted as it read them."""
+    counts = [(f"{name}_rows", n) for name, n in (source_rows or {}).items()]
+    if not counts:
+        return rows
+    return rows.unionByName(rows.sparkSession.createDataFrame(counts, "metric string, value bigint"))

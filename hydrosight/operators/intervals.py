@@ -1,11 +1,7 @@
-"""Meter interval reads: cleaning (D7, D8), the summer window (D16), clip
-and prorate (D17-D21), split over calendar days (D22, D23), reconcile
-sub-daily against daily reads (D24) and the day flags (D25, D26).
-
-Every step is narrow except ``reconcile_days`` (one aggregate per
-(SP_ID, day), partially aggregated before its exchange). Window bounds are
-literals, so the implied range predicates reach the scan.
-"""
+"""Meter interval reads, the steps of ``read_pass``: cleaning (D7, D8), the
+summer window (D16), clip and prorate (D17-D21), split over calendar days (D22,
+D23), reconcile sub-daily against daily reads (D24) and the day flags (D25, D26).
+Every step here is a narrow expression."""
 
 from __future__ import annotations
 
@@ -14,12 +10,12 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrosight.functions import days_between, parse_double, parse_ts, strip_ws, whole_seconds
+from hydrosight.functions import days_between, strip_ws
+from hydrosight.operators.parse import number, timestamp
 from hydrosight.params import DEFAULT, Params
 from hydrosight.sources.schemas import READ_COLUMNS
 
 
-
 def _one_micro() -> Column:
     return F.expr("INTERVAL '0.000001' SECOND")
 
@@ -28,24 +24,18 @@ def _one_day() -> Column:
     return F.expr("INTERVAL 1 DAY")
 
 
-def _ts(df: DataFrame, name: str, p: Params) -> Column:
-    if dict(df.dtypes)[name] == "timestamp_ntz":
-        return F.col(name)
-    return parse_ts(F.col(name), p.ts_format, name)
-
-
 def annotate_reads(raw: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Typed reads with the D7/D8 outcome as flags instead of filters:
     ``is_supported_unit`` (raw unit CCF/GAL) and ``is_prepared`` (the row
     survives cleaning). Parsing is strict for every row."""
     df = raw.select(*READ_COLUMNS)
     uom = F.upper(strip_ws("UOM"))
-    mult = F.coalesce(parse_double("MULTIPLIER", "MULTIPLIER"), F.lit(1.0))
+    mult = F.coalesce(number(df, "MULTIPLIER"), F.lit(1.0))
     df = df.withColumns({
         "SP_ID": strip_ws("SP_ID"),
-        "BEGIN_READ_DTTM": _ts(df, "BEGIN_READ_DTTM", p),
-        "END_READ_DTTM": _ts(df, "END_READ_DTTM", p),
-        "CONSUMPTION": parse_double("CONSUMPTION", "CONSUMPTION"),
+        "BEGIN_READ_DTTM": timestamp(df, "BEGIN_READ_DTTM", p),
+        "END_READ_DTTM": timestamp(df, "END_READ_DTTM", p),
+        "CONSUMPTION": number(df, "CONSUMPTION"),
         "UOM": uom,
         "MULTIPLIER": mult,
     })
@@ -81,12 +71,6 @@ def _ntz(d: _dt.date) -> Column:
     return F.lit(d).cast("timestamp_ntz")
 
 
-def window_overlap_predicate(start: _dt.date, end: _dt.date) -> Column:
-    """Plain range predicate implied by a positive overlap; on typed storage
-    it is pushed to the scan (the clipped form is not)."""
-    return (F.col("END_READ_DTTM") > _ntz(start)) & (F.col("BEGIN_READ_DTTM") < _ntz(end))
-
-
 def clip_to_window(reads: DataFrame, start: _dt.date, end: _dt.date,
                    p: Params = DEFAULT) -> DataFrame:
     """Clip each read to the window; overlap in whole seconds / 86400."""
@@ -98,10 +82,6 @@ def clip_to_window(reads: DataFrame, start: _dt.date, end: _dt.date,
                          days_between("summer_end_dttm", "summer_begin_dttm", p.seconds_per_day))
 
 
-def overlapping(clipped: DataFrame, start: _dt.date, end: _dt.date) -> DataFrame:
-    return clipped.where(window_overlap_predicate(start, end) & (F.col("summer_overlap_days") > 0))
-
-
 def prorate(clipped: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Kgal inside the window, its daily rate, the sub-daily flag and
     the first/last calendar day touched (end minus 1 us: half-open)."""
@@ -134,13 +114,6 @@ def day_sequence(begin_date: Column, last_date: Column) -> Column:
         .otherwise(F.array().cast("array<date>"))
 
 
-def split_days(prorated: DataFrame) -> DataFrame:
-    """One row per read and calendar day (narrow explode)."""
-    df = prorated.withColumn("summer_date", F.explode(day_sequence(
-        F.col("summer_begin_date"), F.col("summer_last_date"))))
-    return with_day_bounds(df)
-
-
 def with_day_bounds(df: DataFrame) -> DataFrame:
     df = df.withColumn("day_start_dttm", F.col("summer_date").cast("timestamp_ntz"))
     return df.withColumn("day_end_dttm", F.col("day_start_dttm") + _one_day())
@@ -159,13 +132,9 @@ def day_part(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
                          / F.col("interval_days"))
 
 
-def day_parts(split: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Keep parts longer than zero whole seconds."""
-    return day_part(split, p).where(F.col("day_component_days") > 0)
-
-
 def day_aggregates(positive: Column) -> list[Column]:
-    """D24 partial sums over the parts of one (SP_ID, day)."""
+    """D24 partial sums over the parts of one (SP_ID, day): the sub-daily reads
+    win when any touches the day, else the daily-or-longer ones."""
     sub = F.col("is_subdaily_interval")
     kgal = F.col("day_component_kgal")
     return [
@@ -175,18 +144,6 @@ def day_aggregates(positive: Column) -> list[Column]:
     ]
 
 
-def reconcile_days(parts: DataFrame) -> DataFrame:
-    """Per (SP_ID, day) the sub-daily reads win when any touches the
-    day, else the daily-or-longer ones. Thresholds depend on SP_ID only, so
-    they ride along with ``max`` instead of widening the grouping key."""
-    g = parts.groupBy("SP_ID", "summer_date").agg(
-        *day_aggregates(F.lit(True)),
-        F.max("summer_billed_daily_avg_kgal").alias("summer_billed_daily_avg_kgal"),
-        F.max("summer_triple_billed_daily_avg_kgal").alias("summer_triple_billed_daily_avg_kgal"),
-    )
-    return with_day_kgal(g)
-
-
 def with_day_kgal(g: DataFrame) -> DataFrame:
     return g.withColumn("summer_daily_kgal", F.when(F.col("has_subdaily_detail"),
                                                     F.col("subdaily_day_kgal"))

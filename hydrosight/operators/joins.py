@@ -1,8 +1,11 @@
-"""Joins against a side whose size was counted.
+"""Joins of a large table with one row a key of a smaller one.
 
-A side is broadcast only when its counted rows are below
-``Params.broadcast_max_rows``; beyond that the join shuffles, and AQE's
-skew-join handling splits a partition that one hot key inflates.
+The small side is broadcast only when its counted bytes stay below
+``Params.broadcast_max_bytes``. Beyond that both sides are shuffled by the key
+and a part number: the large side's parts come from a hash of ``spread``,
+the small side is repeated once a part. A key that holds a third of the large
+table is so split from the start, and later aggregates by the key have an
+exchange of their own, after a partial aggregate.
 """
 
 from __future__ import annotations
@@ -12,9 +15,23 @@ from pyspark.sql import functions as F
 
 from hydrosight.params import DEFAULT, Params
 
+ROW_BYTES = 64  # of the fixed part of a row
 
-def join_checked(big: DataFrame, small: DataFrame, on, how: str, small_rows: int | None,
-                 p: Params = DEFAULT) -> DataFrame:
-    if small_rows is not None and small_rows <= p.broadcast_max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
+
+def table_bytes(df: DataFrame) -> int:
+    """Rows and text bytes, counted: what a broadcast of ``df`` holds."""
+    texts = [c for c, t in df.dtypes if t == "string"]
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0).cast("bigint"))
+    fixed = ROW_BYTES + 8 * (len(df.columns) - len(texts))
+    return df.agg(F.coalesce(F.sum(size + fixed), F.lit(0)).alias("n")).first()["n"]
+
+
+def join_checked(big: DataFrame, small: DataFrame, key: str, how: str, small_bytes: int,
+                 spread: str, p: Params = DEFAULT) -> DataFrame:
+    """inner, left or left_semi join on ``key``; ``spread`` is a column of ``big``."""
+    if small_bytes <= p.broadcast_max_bytes:
+        return big.join(F.broadcast(small), key, how)
+    parts = p.join_parts
+    big = big.withColumn("_part", F.pmod(F.xxhash64(F.col(spread)), F.lit(parts)).cast("int"))
+    small = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return big.join(small, [key, "_part"], how).drop("_part")

@@ -1,69 +1,49 @@
-"""Exact median for very large groups without holding a group in one task.
+"""Exact medians of groups of any size, without a group in one task.
 
-``F.median`` is exact, but its final merge keeps every distinct value of a
-group in one task. That is right for ordinary groups. For a group past a row
-bound ("hot": their number is at most rows / bound) the k-th value is
-found by distributed selection instead:
+1. distinct (group, value) with counts: ties collapse before the exchange, and
+   a hot group spreads over tasks by value;
+2. counts by (group, range): a range is a 32nd of a power of two, an
+   order-preserving function of the value that needs no look at the data;
+3. a running sum over a group's ranges (a few, whatever its rows) gives the
+   range that holds each of the two middle ranks;
+4. a running sum over the distinct values of that one range finds the value.
 
-1. distinct (group, value) with counts: ties collapse, and a hot group
-   spreads over tasks by value;
-2. per group, approximate quantiles of its distinct values (a mergeable
-   sketch, bounded memory) cut it into ``buckets`` ordered value ranges;
-3. exact counts per bucket and their prefix (at most ``buckets`` rows per
-   group) give the bucket holding each target rank and the rank inside it;
-4. within that one bucket, a running count over its distinct values (about
-   distinct / buckets of them) finds the exact value.
-
-The sketch only balances the buckets; every count is exact, so the result
-equals ``F.median`` bit for bit (same interpolation: 0.5 * lo + 0.5 * hi).
+Counts are exact, so the median is: 0.5 * low + 0.5 * high, or the one middle value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hydrosight.session import materialize
 
-def exact_median(rows: DataFrame, keys: list[str], value: str, buckets: int = 256,
-                 accuracy: int = 100_000) -> DataFrame:
-    """(keys..., median) for every group of ``rows`` (nulls ignored)."""
-    d = (rows.where(F.col(value).isNotNull())
-         .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
-    fracs = [i / buckets for i in range(1, buckets)]
-    per_group = d.groupBy(*keys).agg(
-        F.sum("_c").alias("_n"),
-        F.percentile_approx(value, fracs, accuracy).alias("_bounds"),
-    )
-    # one row per hot group: few by construction, so broadcast
-    v = F.col(value)
-    d = d.join(F.broadcast(per_group), keys).withColumn(
-        "_b", F.size(F.filter("_bounds", lambda b: b < v)))
-    bucket = d.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"), F.max("_n").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bucket = bucket.withColumn("_before", F.coalesce(F.sum("_bc").over(w), F.lit(0)))
-    # target ranks (0-based) of the two middle values
-    targets = bucket.select(*keys, "_b", "_before", "_bc", F.explode(F.array(
-        F.struct(F.lit(0).alias("_which"), ((F.col("_n") - 1) / 2).cast("bigint").alias("_t")),
-        F.struct(F.lit(1).alias("_which"), (F.col("_n") / 2).cast("bigint").alias("_t")),
-    )).alias("_tg")).select(*keys, "_b", "_before", "_bc", "_tg.*")
-    targets = targets.where((F.col("_t") >= F.col("_before"))
-                            & (F.col("_t") < F.col("_before") + F.col("_bc")))
-    targets = targets.select(*keys, "_b", "_which", (F.col("_t") - F.col("_before")).alias("_local"))
-    cand = d.select(*keys, "_b", value, "_c").join(F.broadcast(targets), [*keys, "_b"])
-    wv = Window.partitionBy(*keys, "_b", "_which").orderBy(value)
-    cand = cand.withColumn("_run", F.sum("_c").over(wv.rowsBetween(Window.unboundedPreceding, 0)))
-    hit = cand.where((F.col("_local") < F.col("_run")) & (F.col("_local") >= F.col("_run") - F.col("_c")))
-    pair = hit.groupBy(*keys).agg(
-        F.max(F.when(F.col("_which") == 0, v)).alias("_lo"),
-        F.max(F.when(F.col("_which") == 1, v)).alias("_hi"),
-    )
-    med = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")) \
-        .otherwise(F.lit(0.5) * F.col("_lo") + F.lit(0.5) * F.col("_hi"))
-    return pair.select(*keys, med.alias("median"))
 
+def value_range(v: Column) -> Column:
+    """An integer that never falls as the value rises; NaN is largest, as in sorting."""
+    steps = F.floor(F.log2(F.abs(v)) * 32).cast("bigint") + 40_000
+    return (F.when(F.isnan(v), F.lit(1 << 40)).when(F.abs(v) == float("inf"), F.signum(v).cast("bigint") * (1 << 39))
+            .when(v > 0, steps).when(v < 0, -steps).otherwise(F.lit(0))).cast("bigint")
 
-def hot_groups(df: DataFrame, key: str, max_rows: int) -> list:
-    """Keys with more than ``max_rows`` rows; at most rows / max_rows of them."""
-    rows = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > max_rows).select(key).collect())
-    return [r[0] for r in rows]
+
+def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys..., median) for every group of ``rows`` (nulls ignored)."""
+    v = F.col(value)
+    d = materialize(rows.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+                    .withColumn("_b", value_range(v)))
+    ranges = d.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("*", F.sum("_bc").over(group).alias("_n"),
+                           F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_before"))
+    # 0-based ranks of the two middle values, inside their range
+    middle = F.array(F.expr("(_n - 1) div 2"), F.expr("_n div 2"))
+    targets = ranges.select(*keys, "_b", "_before", "_bc", F.posexplode(middle).alias("_which", "_t")).where(
+        "_t >= _before and _t < _before + _bc").select(*keys, "_b", "_which", F.expr("_t - _before").alias("_local"))
+    run = Window.partitionBy(*keys, "_b", "_which").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    hit = d.join(targets, [*keys, "_b"]).select("*", F.sum("_c").over(run).alias("_run")).where(
+        "_local < _run and _local >= _run - _c")
+    pair = hit.groupBy(*keys).agg(F.max(F.when(F.col("_which") == 0, v)).alias("_lo"),
+                                  F.max(F.when(F.col("_which") == 1, v)).alias("_hi"))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    return pair.select(*keys, F.when(lo == hi, lo).otherwise(F.lit(0.5) * lo + F.lit(0.5) * hi).alias("median"))

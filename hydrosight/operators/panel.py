@@ -1,5 +1,4 @@
-"""Per-SP interval metrics (D27), the weekly pivot (D28) and the zero-filled
-26-week panel (D29, D30, D33)."""
+"""The weekly pivot (D28) and the zero-filled 26-week panel."""
 
 from __future__ import annotations
 
@@ -20,35 +19,18 @@ def week_sums(day_ok: Column, p: Params = DEFAULT) -> list[Column]:
             for w, name in enumerate(week_columns(p.week_count), start=1)]
 
 
-def day_metrics(days: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """D27 + D28 over flagged (SP_ID, day) rows: days with coverage (a day
-    with any positive part counts whole), days above, and the 26 weeks."""
-    return days.groupBy("SP_ID").agg(
-        F.count(F.lit(1)).cast("double").alias("summer_drc_coverage_days"),
-        F.sum("above_3x_day").alias("summer_drc_above_3x_days"),
-        *week_sums(F.lit(True), p),
-    )
-
-
-def intervals_above(flagged_reads: DataFrame) -> DataFrame:
-    """Reads above 3x per SP (not reconciled: every read counts)."""
-    return flagged_reads.groupBy("SP_ID").agg(
-        F.count_if(F.col("is_above_3x")).cast("double").alias("summer_drc_above_3x_intervals"))
-
-
-def drc_metrics(day_rows: DataFrame, flagged_reads: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """SPs with at least one covered day, with their three metrics and weeks."""
-    return day_metrics(day_rows, p).join(intervals_above(flagged_reads), "SP_ID", "left")
-
-
-def weekly_panel(thresholds: DataFrame, metrics: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Every candidate, with or without reads. Base = thresholds, then
-    SPs that have metrics but no threshold (none in the full job); metrics
-    and weeks left-joined, nulls -> 0.0 (NaN kept), rounded (D33)."""
+def weekly_panel(thresholds: DataFrame, metrics: DataFrame, p: Params = DEFAULT,
+                 candidates_only: bool = True) -> DataFrame:
+    """Every candidate, with or without reads. Base = thresholds, and
+    where the metrics are not reduced to candidates also the SPs that have
+    metrics but no threshold; metrics and weeks left-joined, nulls -> 0.0 (NaN
+    kept), rounded (D33)."""
     weeks = week_columns(p.week_count)
-    from_metrics = metrics.select("SP_ID").join(thresholds, "SP_ID", "left") \
-        .select("SP_ID", *THRESHOLD_COLUMNS)
-    base = union_keep_first([thresholds.select("SP_ID", *THRESHOLD_COLUMNS), from_metrics], ["SP_ID"])
+    base = thresholds.select("SP_ID", *THRESHOLD_COLUMNS)
+    if not candidates_only:
+        from_metrics = metrics.select("SP_ID").join(thresholds, "SP_ID", "left") \
+            .select("SP_ID", *THRESHOLD_COLUMNS)
+        base = union_keep_first([base, from_metrics], ["SP_ID"])
     panel = base.join(metrics.select("SP_ID", *METRIC_COLUMNS, *weeks), "SP_ID", "left")
     filled = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in METRIC_COLUMNS + weeks}
     panel = panel.withColumns(filled)

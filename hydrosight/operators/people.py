@@ -43,6 +43,7 @@ def clean_people(raw: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 def sp_contacts(usage: DataFrame, people: DataFrame) -> DataFrame:
     """Distinct (SP_ID, ACCT_ID) from bills joined to every person of
-    the account (many to many), distinct."""
+    the account (many to many). Pairs and cleaned people have no repeats, so the
+    result has none; with no aggregate above it, AQE can split a hot account."""
     pairs = usage.select("SP_ID", "ACCT_ID").distinct()
-    return pairs.join(people.drop(ORD), "ACCT_ID", "inner").select(*CONTACT_COLUMNS).distinct()
+    return pairs.join(people.drop(ORD), "ACCT_ID", "inner").select(*CONTACT_COLUMNS)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrosight.functions import parse_double, round_half_even
+from hydrosight.functions import round_half_even
 from hydrosight.operators.dedup import keep_last
+from hydrosight.operators.parse import number
 from hydrosight.params import DEFAULT, Params
 from hydrosight.sources.schemas import METRIC_COLUMNS, ORD, SUMMARY_COLUMNS
 
@@ -33,7 +34,7 @@ def build_summary(contacts: DataFrame, candidate_stats: DataFrame, metrics: Data
 def clean_parcel(raw: DataFrame) -> DataFrame:
     """Ids kept as read (not stripped), null ids dropped, the last row
     per id in file order wins."""
-    df = raw.select("CIS_SP_ID", parse_double("LND_SQFOOT", "LND_SQFOOT").alias("LND_SQFOOT"),
+    df = raw.select("CIS_SP_ID", number(raw, "LND_SQFOOT").alias("LND_SQFOOT"),
                     *([ORD] if ORD in raw.columns else []))
     return keep_last(df.where(F.col("CIS_SP_ID").isNotNull()), ["CIS_SP_ID"])
 

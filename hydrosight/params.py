@@ -47,14 +47,18 @@ class Params:
     )
     # --- execution knobs (not semantics) ------------------------------------
     # text form of timestamps in the raw files: None = ISO text
-    # ('yyyy-MM-dd HH:mm:ss[.ffffff]') through Spark's fast cast, else a
+    # ('yyyy-MM-dd HH:mm[:ss[.ffffff]]') through Spark's fast cast, else a
     # datetime pattern for to_timestamp_ntz
     ts_format: str | None = None
-    # a join side is broadcast only when its counted rows stay below this
-    broadcast_max_rows: int = 2_000_000
-    # a service point with more bills than this gets its medians by
-    # distributed selection instead of one task's exact merge
-    median_group_rows: int = 5_000_000
+    # patterns of single columns, as (column, pattern) pairs; they go first
+    ts_formats: tuple[tuple[str, str], ...] = ()
+    # a join side is broadcast only when its counted bytes stay below this
+    broadcast_max_bytes: int = 64 << 20
+    # beyond it, each key of the large side is spread over so many parts
+    join_parts: int = 16
+
+    def format_of(self, column: str) -> str | None:
+        return dict(self.ts_formats).get(column, self.ts_format)
 
     @property
     def supported_units(self) -> tuple[str, ...]:

@@ -29,9 +29,9 @@ FIXTURES = f"""
 raw_consumption AS (
   SELECT
     CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) AS BSEG_ID,
-    ' SP' || lpad(CAST(o.o_custkey AS VARCHAR), 7, '0') AS SP_ID,
+    ' SP' || printf('%07d', o.o_custkey) AS SP_ID,
     CAST(l.l_suppkey AS VARCHAR) AS SA_ID,
-    'A' || lpad(CAST(o.o_custkey + CASE WHEN l.l_linenumber = 7 THEN 1 ELSE 0 END AS VARCHAR), 7, '0') || ' ' AS ACCT_ID,
+    'A' || printf('%07d', o.o_custkey + CASE WHEN l.l_linenumber = 7 THEN 1 ELSE 0 END) || ' ' AS ACCT_ID,
     CASE l.l_returnflag || l.l_linestatus WHEN 'AF' THEN ' wres ' WHEN 'AO' THEN 'WRES'
       WHEN 'NF' THEN 'WRESSEW' WHEN 'NO' THEN 'WRESIRR' WHEN 'RF' THEN 'WRECRES' ELSE 'ERES' END AS SA_TYPE_CD,
     CASE WHEN l.l_partkey % 10 = 0 THEN NULL ELSE 'P' || CAST(o.o_custkey + l.l_partkey % 2 AS VARCHAR) END AS CHAR_PREM_ID,
@@ -49,20 +49,20 @@ raw_consumption AS (
   JOIN orders o ON l.l_orderkey = o.o_orderkey
 ),
 cust_p AS (
-  SELECT c_custkey AS k, c_name,
+  SELECT c_custkey AS k, c_name, CASE WHEN c_custkey % 11 IN (0, 1) THEN 'N' ELSE 'A' END AS a,
     CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'mob' WHEN 'BUILDING' THEN ' HM ' WHEN 'FURNITURE' THEN 'Business'
       WHEN 'HOUSEHOLD' THEN 'CEL' WHEN 'MACHINERY' THEN 'fax' END AS ptype
-  FROM customer WHERE c_custkey % 11 NOT IN (0, 1)
+  FROM customer
 ),
 raw_person AS (
-  SELECT 'A' || lpad(CAST(k AS VARCHAR), 7, '0') AS ACCT_ID, 'R' || CAST(k AS VARCHAR) AS PER_ID,
+  SELECT a || printf('%07d', k) AS ACCT_ID, 'R' || CAST(k AS VARCHAR) AS PER_ID,
     c_name AS ENTITY_NAME, 'USER' || CAST(k AS VARCHAR) || '@EXAMPLE.ORG' AS EMAILID, ptype AS PHONE_TYPE_CD,
     '555-' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') AS PHONE, 0 AS ord FROM cust_p
   UNION ALL
-  SELECT 'A' || lpad(CAST(k AS VARCHAR), 7, '0'), 'R' || CAST(k AS VARCHAR), c_name,
+  SELECT a || printf('%07d', k), 'R' || CAST(k AS VARCHAR), c_name,
     'USER' || CAST(k AS VARCHAR) || '@EXAMPLE.ORG', ptype, '555-DUP', 1 FROM cust_p WHERE k % 7 = 0
   UNION ALL
-  SELECT 'A' || lpad(CAST(k AS VARCHAR), 7, '0'), 'R' || CAST(k AS VARCHAR) || 'B', c_name,
+  SELECT a || printf('%07d', k), 'R' || CAST(k AS VARCHAR) || 'B', c_name,
     'USER' || CAST(k AS VARCHAR) || '@EXAMPLE.ORG', ptype,
     '555-' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0'), 2 FROM cust_p WHERE k % 5 = 0
 ),
@@ -75,7 +75,7 @@ ev_b AS (
   FROM events
 ),
 raw_drc AS (
-  SELECT 'SP' || lpad(CAST(user_id AS VARCHAR), 7, '0') AS SP_ID,
+  SELECT 'SP' || printf('%07d', user_id) AS SP_ID,
     strftime(b, {TS}) AS BEGIN_READ_DTTM,
     strftime(b + to_minutes(CAST(mins AS BIGINT)), {TS}) AS END_READ_DTTM,
     CASE WHEN unit = 'GAL' THEN value * 748 ELSE value END AS CONSUMPTION,
@@ -84,11 +84,11 @@ raw_drc AS (
   FROM ev_b
 ),
 raw_parcel AS (
-  SELECT 'SP' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS CIS_SP_ID, 5000e0 + abs(c_acctbal) AS LND_SQFOOT, 0 AS ord
-  FROM customer WHERE c_custkey % 4 <> 0
+  SELECT CASE WHEN c_custkey % 4 = 0 THEN 'NP' ELSE 'SP' END || printf('%07d', c_custkey) AS CIS_SP_ID, 5000e0 + abs(c_acctbal) AS LND_SQFOOT, 0 AS ord
+  FROM customer
   UNION ALL
-  SELECT 'SP' || lpad(CAST(c_custkey AS VARCHAR), 7, '0'), 5000e0 + abs(c_acctbal) + 1, 1
-  FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 6 = 0
+  SELECT CASE WHEN c_custkey % 4 = 0 THEN 'NP' ELSE 'SP' END || printf('%07d', c_custkey), 5000e0 + abs(c_acctbal) + 1, 1
+  FROM customer WHERE c_custkey % 6 = 0
 )"""
 
 STEPS = f"""
@@ -335,6 +335,11 @@ PREFIX = "WITH " + FIXTURES + "," + STEPS + "\n"
 PREFIX_NO_READS = PREFIX.replace(
     "FROM ev_b\n),", "FROM ev_b\n  WHERE false\n),", 1)
 
+# with the reads of every service point, not of candidates only
+PREFIX_ALL_READS = PREFIX.replace(
+    "prepared AS (SELECT * FROM prepared_all WHERE SP_ID IN (SELECT SP_ID FROM candidates))",
+    "prepared AS (SELECT * FROM prepared_all)", 1)
+
 ALL_WEEKS = ", ".join(WEEKS)
 READ_KEY = "SP_ID, BEGIN_READ_DTTM, END_READ_DTTM"
 BILL_COLS = ("BSEG_ID, SP_ID, SA_ID, ACCT_ID, SA_TYPE_CD, CHAR_PREM_ID, PREM_ID, ADDRESS1, "
@@ -420,4 +425,10 @@ BODIES = {
 def oracle_sql() -> dict[str, str]:
     out = {name: PREFIX + body for name, body in BODIES.items()}
     out["weekly_panel_no_reads"] = PREFIX_NO_READS + _panel_sql()
+    out["weekly_panel_all_reads"] = PREFIX_ALL_READS + _panel_sql()
+    out["diagnostics_all_reads"] = PREFIX_ALL_READS + BODIES["diagnostics"]
+    for name, same in (("day_reconcile_shuffled", "day_reconcile"), ("csv_clean_bills", "clean_bills"),
+                       ("csv_clean_people", "clean_people"), ("csv_clean_intervals", "clean_intervals"),
+                       ("csv_summary", "summary_with_parcel"), ("csv_panel", "weekly_panel")):
+        out[name] = out[same]
     return out

@@ -8,6 +8,7 @@ job's own 4 or 2, else 6): float sums depend on the order of addition.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,21 +17,23 @@ from pyspark.sql import functions as F
 from hydrosight.functions import report, round_half_even
 from hydrosight.operators import bills as B
 from hydrosight.operators import intervals as I
-from hydrosight.operators import panel as PN
 from hydrosight.operators.dedup import keep_first
-from hydrosight.operators.joins import join_checked
 from hydrosight.operators.people import clean_people, phone_type, sp_contacts
+from hydrosight.operators.summary import SUMMARY_SORT
 from hydrosight.params import DEFAULT, Params
 from hydrosight.plans.job import build
-from hydrosight.session import materialize
+from hydrosight.session import ensure_checkpoint_dir
+from hydrosight.sources.csv import read_parcel_csv, read_raw_csv
 from hydrosight.sources.schemas import (
     BILL_COLUMNS,
+    ORD,
     PERSON_COLUMNS,
+    READ_COLUMNS,
     THRESHOLD_COLUMNS,
     week_columns,
 )
+from hydrosight.sources.sinks import write_table
 from hydrosight.sources.testdata import (
-    Sources,
     raw_bills,
     raw_parcel,
     raw_person,
@@ -49,13 +52,15 @@ def query(name: str):
     return reg
 
 
-def _usage(spark, sf, p=DEFAULT) -> DataFrame:
-    return B.clean_bills(raw_bills(spark, sf), p)
+def _usage(spark, sf, columns=None) -> DataFrame:
+    return B.clean_bills(raw_bills(spark, sf), DEFAULT, columns)
 
 
-def _stats(spark, sf, p=DEFAULT) -> DataFrame:
-    # the hot-group count and the aggregate both read the cleaned bills
-    return B.season_stats(materialize(_usage(spark, sf, p)), p)
+STATS_BILLS = ["BSEG_ID", "SP_ID", "SA_TYPE_CD", "FINAL_REG_QTY", "START_READ_DTTM", "END_READ_DTTM"]
+
+
+def _stats(spark, sf) -> DataFrame:
+    return B.season_base(_usage(spark, sf, STATS_BILLS))
 
 
 # ---------------------------------------------------------------- bills --
@@ -76,12 +81,12 @@ def q_dedup_keep_first(spark, sf):
 
 @query("normalised_volume")
 def q_normalised_volume(spark, sf):
-    return _usage(spark, sf).select("BSEG_ID", "SP_ID", "bill_days", "normalized_30day_kgal")
+    return _usage(spark, sf, STATS_BILLS).select("BSEG_ID", "SP_ID", "bill_days", "normalized_30day_kgal")
 
 
 @query("season_tag")
 def q_season_tag(spark, sf):
-    return _usage(spark, sf).select("BSEG_ID", "END_READ_DTTM",
+    return _usage(spark, sf, STATS_BILLS).select("BSEG_ID", "END_READ_DTTM",
                                     F.month("END_READ_DTTM").cast("bigint").alias("end_month"), "season")
 
 
@@ -103,7 +108,10 @@ def q_service_code(spark, sf):
 
 @query("premise_list")
 def q_premise_list(spark, sf):
-    return _stats(spark, sf).select("SP_ID", "CHAR_PREM_ID")
+    usage = _usage(spark, sf, ["BSEG_ID", "SP_ID", "CHAR_PREM_ID", "SA_TYPE_CD", "FINAL_REG_QTY", "START_READ_DTTM",
+                               "END_READ_DTTM"])
+    every = usage.select("SP_ID").distinct().join(B.premise_lists(usage), "SP_ID", "left")
+    return every.select("SP_ID", F.coalesce("CHAR_PREM_ID", F.lit("")).alias("CHAR_PREM_ID"))
 
 
 @query("bill_counts")
@@ -121,7 +129,9 @@ def q_summer_threshold(spark, sf):
 def q_season_stats(spark, sf):
     cols = ["summer_mean_normalized_30day_kgal", "summer_median_normalized_30day_kgal",
             "winter_mean_normalized_30day_kgal", "winter_median_normalized_30day_kgal"]
-    return _stats(spark, sf).select("SP_ID", *[round_half_even(F.col(c), 2).alias(c) for c in cols])
+    usage = _usage(spark, sf, STATS_BILLS)
+    stats = B.season_base(usage).join(B.season_medians(usage), "SP_ID", "left")
+    return stats.select("SP_ID", *[round_half_even(F.col(c), 2).alias(c) for c in cols])
 
 
 @query("candidate_screen")
@@ -131,8 +141,7 @@ def q_candidate_screen(spark, sf):
 
 @query("summer_year")
 def q_summer_year(spark, sf):
-    u = _usage(spark, sf).where(F.col("season") == "summer")
-    return u.agg(F.min(F.year("END_READ_DTTM")).cast("bigint").alias("summer_year"))
+    return B.summer_year(_usage(spark, sf, STATS_BILLS))
 
 
 # --------------------------------------------------------------- people --
@@ -150,7 +159,9 @@ def q_clean_people(spark, sf):
 
 @query("sp_contacts")
 def q_sp_contacts(spark, sf):
-    return sp_contacts(_usage(spark, sf), clean_people(raw_person(spark, sf)))
+    usage = _usage(spark, sf, ["BSEG_ID", "SP_ID", "ACCT_ID", "SA_TYPE_CD", "FINAL_REG_QTY", "START_READ_DTTM",
+                               "END_READ_DTTM"])
+    return sp_contacts(usage, clean_people(raw_person(spark, sf)))
 
 
 # ---------------------------------------------------------------- reads --
@@ -165,106 +176,146 @@ def q_unit_conversion(spark, sf):
     return a.select("SP_ID", "BEGIN_READ_DTTM", "UOM", "CONSUMPTION", "MULTIPLIER", "interval_kgal")
 
 
-class _Window:
-    """Candidate reads clipped to the summer window, step by step as the
-    operators define them (the job runs the same steps in one pass)."""
-
-    def __init__(self, spark, sf, p: Params = DEFAULT):
-        usage = materialize(_usage(spark, sf, p))
-        self.year, hot = B.usage_profile(usage, p)
-        cand = materialize(B.screen(B.season_stats(usage, p, hot), p)
-                           .select("SP_ID", *THRESHOLD_COLUMNS))
-        n = cand.count()
-        reads = I.clean_intervals(raw_reads(spark, sf), p)
-        if self.year is None:
-            self.start = None
-            self.clipped = reads.where(F.lit(False))
-            return
-        self.start, end = I.summer_window(self.year, p)
-        reads = reads.where(I.window_overlap_predicate(self.start, end))
-        reads = join_checked(reads, cand, "SP_ID", "inner", n, p)
-        self.clipped = I.overlapping(I.clip_to_window(reads, self.start, end, p), self.start, end)
-
-    def flagged(self):
-        return I.flag_above(I.prorate(self.clipped))
-
-    def split(self):
-        return I.split_days(self.flagged())
-
-    def parts(self):
-        return I.day_parts(self.split())
-
-    def days(self):
-        return I.day_flags(I.reconcile_days(self.parts()), self.start)
-
-
 READ_KEY = ["SP_ID", "BEGIN_READ_DTTM", "END_READ_DTTM"]
 
 
 @query("interval_clip")
 def q_interval_clip(spark, sf):
-    w = _Window(spark, sf)
-    return w.clipped.select(*READ_KEY, "summer_begin_dttm", "summer_end_dttm", "summer_overlap_days")
+    r = _job(spark, sf).reads.where("overlap")
+    return r.select(*READ_KEY, "summer_begin_dttm", "summer_end_dttm", "summer_overlap_days")
 
 
 @query("interval_prorate")
 def q_interval_prorate(spark, sf):
-    f = _Window(spark, sf).flagged()
-    return f.select(*READ_KEY, "summer_interval_kgal", "summer_drc_daily_kgal", "is_subdaily_interval",
+    r = _job(spark, sf).reads.where("overlap")
+    return r.select(*READ_KEY, "summer_interval_kgal", "summer_drc_daily_kgal", "is_subdaily_interval",
                     "summer_begin_date", "summer_last_date")
 
 
 @query("interval_above")
 def q_interval_above(spark, sf):
-    return PN.intervals_above(_Window(spark, sf).flagged())
+    return _job(spark, sf).stats.where("n_overlap > 0").select("SP_ID", "summer_drc_above_3x_intervals")
 
 
 @query("day_split")
 def q_day_split(spark, sf):
-    return _Window(spark, sf).split().select(*READ_KEY, "summer_date", "day_start_dttm", "day_end_dttm")
+    d = _job(spark, sf).days.where("overlap")
+    return d.select(*READ_KEY, "summer_date", "day_start_dttm", "day_end_dttm")
 
 
 @query("day_parts")
 def q_day_parts(spark, sf):
-    return _Window(spark, sf).parts().select(*READ_KEY, "summer_date", "day_component_days",
-                                             "day_component_kgal")
+    return _job(spark, sf).days.where("positive").select(*READ_KEY, "summer_date", "day_component_days",
+                                                         "day_component_kgal")
+
+
+def _reconciled(days: DataFrame) -> DataFrame:
+    return days.where("day_ok").select(
+        "SP_ID", "summer_date", "has_subdaily_detail",
+        *[report(F.col(c)).alias(c) for c in ("subdaily_day_kgal", "daily_day_kgal", "summer_daily_kgal")])
 
 
 @query("day_reconcile")
 def q_day_reconcile(spark, sf):
-    d = _Window(spark, sf).days()
-    return d.select("SP_ID", "summer_date", "has_subdaily_detail",
-                    *[report(F.col(c)).alias(c) for c in
-                      ("subdaily_day_kgal", "daily_day_kgal", "summer_daily_kgal")])
+    return _reconciled(_job(spark, sf).day_table)
+
+
+@query("day_reconcile_shuffled")
+def q_day_reconcile_shuffled(spark, sf):
+    """The plan for candidates that are too many to broadcast: meters split over parts."""
+    return _reconciled(_job(spark, sf, p=Params(broadcast_max_bytes=-1)).day_table)
 
 
 @query("day_above")
 def q_day_above(spark, sf):
-    return _Window(spark, sf).days().select("SP_ID", "summer_date", "above_3x_day")
+    return _job(spark, sf).day_table.where("day_ok").select("SP_ID", "summer_date", "above_3x_day")
 
 
 @query("summer_week")
 def q_summer_week(spark, sf):
-    d = _Window(spark, sf).days()
+    d = _job(spark, sf).day_table.where("day_ok")
     return d.groupBy("SP_ID", "summer_week").agg(F.sum("above_3x_day").alias("above_3x_days"))
 
 
 @query("coverage_metrics")
 def q_coverage_metrics(spark, sf):
-    w = _Window(spark, sf)
-    m = PN.drc_metrics(w.days(), w.flagged())
-    return m.select("SP_ID", "summer_drc_coverage_days", "summer_drc_above_3x_days",
-                    "summer_drc_above_3x_intervals")
+    return _job(spark, sf).metrics.select("SP_ID", "summer_drc_coverage_days", "summer_drc_above_3x_days",
+                                          "summer_drc_above_3x_intervals")
 
 
 @query("weekly_pivot")
 def q_weekly_pivot(spark, sf):
-    return PN.day_metrics(_Window(spark, sf).days()).select("SP_ID", *week_columns(DEFAULT.week_count))
+    return _job(spark, sf).metrics.select("SP_ID", *week_columns(DEFAULT.week_count))
+
+
+# ---------------------------------------------------------------- files --
+def _folder(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/hydrosight-files/{name}-{uuid.uuid4().hex}"
+
+
+def _csv_copy(spark, raw: DataFrame, columns: list[str], name: str, header=str) -> str:
+    """The raw table as CSV files whose order is ``_ord``, with folded header."""
+    path = _folder(spark, name)
+    out = raw.orderBy(ORD) if ORD in raw.columns else raw
+    write_table(out.select(*[F.col(c).alias(header(c)) for c in columns]), path, fmt="csv")
+    return path
+
+
+@query("csv_clean_bills")
+def q_csv_clean_bills(spark, sf):
+    """Bills through CSV files with a lower-case header; file order decides keep-last."""
+    path = _csv_copy(spark, raw_bills(spark, sf), BILL_COLUMNS, "bills", str.lower)
+    # an empty address is an empty field, which reads as null (S3)
+    return B.clean_bills(read_raw_csv(spark, path)).withColumn("ADDRESS1", F.coalesce("ADDRESS1", F.lit(""))).select(
+        *BILL_COLUMNS, "bill_days", "normalized_30day_kgal", "season")
+
+
+@query("csv_clean_people")
+def q_csv_clean_people(spark, sf):
+    path = _csv_copy(spark, raw_person(spark, sf), PERSON_COLUMNS, "person", str.lower)
+    return clean_people(read_raw_csv(spark, path)).select(*PERSON_COLUMNS)
+
+
+@query("csv_clean_intervals")
+def q_csv_clean_intervals(spark, sf):
+    """The optional read files, as text."""
+    path = _csv_copy(spark, raw_reads(spark, sf), READ_COLUMNS, "reads")
+    return I.clean_intervals(read_raw_csv(spark, path, with_order=False))
+
+
+def _csv_sources(spark, sf):
+    src = testdata_sources(spark, sf, with_parcel=True)
+    parcel = src.parcel.withColumn("OTHER", F.lit("wide"))
+    src.parcel = read_parcel_csv(spark, _csv_copy(spark, parcel, ["CIS_SP_ID", "OTHER", "LND_SQFOOT"], "parcel"))
+    return src
+
+
+@query("csv_summary")
+def q_csv_summary(spark, sf):
+    """The summary with parcels from CSV, written as sorted CSV and read back."""
+    summary = build(spark, _csv_sources(spark, sf)).summary
+    path = _folder(spark, "summary")
+    write_table(summary, path, fmt="csv", sort_by=SUMMARY_SORT)
+    texts = {c for c, t in summary.dtypes if t == "string"}
+    back = read_raw_csv(spark, path, encoding="UTF-8", with_order=False, fold_header=False)
+    # an empty premise list and a missing text are both empty fields
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) if c == "CHAR_PREM_ID" else
+                         F.col(c) if c in texts else F.col(c).cast("double") for c in summary.columns])
+
+
+@query("csv_panel")
+def q_csv_panel(spark, sf):
+    """The panel written as sorted CSV and read back."""
+    panel = _job(spark, sf).panel
+    path = _folder(spark, "panel")
+    write_table(panel, path, fmt="csv", sort_by=["SP_ID"])
+    back = read_raw_csv(spark, path, encoding="UTF-8", with_order=False, fold_header=False)
+    return back.select("SP_ID", *[F.col(c).cast("double") for c in panel.columns[1:]])
 
 
 # ------------------------------------------------------------ job-level --
-def _job(spark, sf, reads=True, parcel=False):
-    return build(spark, testdata_sources(spark, sf, with_reads=reads, with_parcel=parcel))
+def _job(spark, sf, reads=True, parcel=False, p: Params = DEFAULT, candidates_only=True):
+    return build(spark, testdata_sources(spark, sf, with_reads=reads, with_parcel=parcel), p, candidates_only)
 
 
 @query("weekly_panel")
@@ -297,4 +348,13 @@ def q_coverage_report(spark, sf):
     return _job(spark, sf).report
 
 
-__all__ = ["QUERIES", "Sources", "raw_parcel"]
+@query("diagnostics_all_reads")
+def q_diagnostics_all_reads(spark, sf):
+    """D35 on reads that are not reduced to candidates: service points without a threshold count."""
+    return _job(spark, sf, candidates_only=False).diagnostics
+
+
+@query("weekly_panel_all_reads")
+def q_weekly_panel_all_reads(spark, sf):
+    """D29 with service points that have metrics but no threshold (union, first wins)."""
+    return _job(spark, sf, candidates_only=False).panel

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the job wants; applied only where the session has no value yet.
 JOB_CONF = {
@@ -37,10 +38,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Point ``DataFrame.checkpoint`` at ``spark.checkpoint.dir``.
+    """The shared folder of ``spark.checkpoint.dir``, read from the session.
 
-    The cluster names a shared folder there; it is read from the session.
-    Only a local-mode session without one (tests) gets a scratch folder.
+    Only a session whose tasks run in the driver's own process (``local`` or
+    ``local[n]``) and that names no folder gets one of its own; any other must name it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,16 +49,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder for checkpoints")
         d = tempfile.mkdtemp(prefix="hydrosight-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
 
-def materialize(df):
+def materialize(df: DataFrame, tables: list[str] | None = None) -> DataFrame:
     """Cut lineage by writing ``df`` as a Parquet table in the shared
-    checkpoint folder and reading it back.
+    checkpoint folder and reading it back; ``tables`` collects the paths.
 
     One pass (``DataFrame.checkpoint`` computes an unpersisted plan twice:
     once to count, once to write), columnar, and later reads prune columns.
@@ -67,8 +68,33 @@ def materialize(df):
     root = ensure_checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/hydrosight-tables/{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    if tables is not None:
+        tables.append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local") or os.environ.get("HYDROSIGHT_LOCAL") == "1"
+def drop_tables(spark: SparkSession, tables: list[str]) -> None:
+    """Delete materialized tables; what still reads them fails afterwards."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while tables:
+        path = jvm.org.apache.hadoop.fs.Path(tables.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, as ``--py-files`` does, once a
+    session; a driver that was not started beside it needs that."""
+    sc = spark.sparkContext
+    if getattr(sc, "_hydrosight_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="hydrosight-package-"), "hydrosight.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "hydrosight")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)  # the driver serves this file to the executors
+    sc._hydrosight_shipped = True

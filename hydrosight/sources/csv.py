@@ -26,6 +26,11 @@ def _reader(spark: SparkSession, encoding: str, multiline: bool):
             .option("quote", '"')
             .option("escape", '"')
             .option("multiLine", multiline)
+            # each file's header must name the columns in one order, and each
+            # record must have as many fields: else the read fails. Fields are
+            # parsed whole for that, whatever the query takes of them
+            .option("enforceSchema", False)
+            .option("columnPruning", False)
             .option("ignoreLeadingWhiteSpace", False)
             .option("ignoreTrailingWhiteSpace", False)
             .option("mode", "FAILFAST"))
@@ -36,6 +41,9 @@ def read_raw_csv(spark: SparkSession, paths, encoding: str = "ISO-8859-1",
                  with_order: bool = True) -> DataFrame:
     """All-text scan; header names upper-cased; ``_ord`` = file order.
 
+    Files split over tasks unless ``multiline`` is set, which quoted newlines
+    need; without it a record that spans lines fails the read.
+
     ``with_order=False`` for inputs that are never de-duplicated (reads):
     the row id is non-deterministic, so it would keep filters out of the
     CSV scan."""
@@ -61,10 +69,18 @@ def read_optional_csv(spark: SparkSession, paths, schema: T.StructType, **kw) ->
         raise
 
 
-def read_parcel_csv(spark: SparkSession, paths, encoding: str = "UTF-8") -> DataFrame:
-    """The parcel file is wide; only two columns are read (Spark prunes
-    the rest in the CSV parser). Header case is kept: names match exactly."""
-    df = _reader(spark, encoding, False).load(paths)
+def read_parcel_csv(spark: SparkSession, paths, encoding: str = "UTF-8",
+                    multiline: bool = False) -> DataFrame | None:
+    """Two columns of a wide file. Header case is kept: names match
+    exactly. None when no path is given or no file exists."""
+    if paths is None:
+        return None
+    try:
+        df = _reader(spark, encoding, multiline).load(paths)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return None
+        raise
     return df.select(
         F.col("CIS_SP_ID"),
         F.col("LND_SQFOOT"),

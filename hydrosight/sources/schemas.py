@@ -1,5 +1,8 @@
 """Raw input schemas: every column is text except the read quantities, which
-arrive as numbers. ``_ord`` gives file order for keep-first/keep-last."""
+arrive as numbers. ``_ord`` gives file order for keep-first/keep-last.
+
+Fixed values: the column and counter names below belong to the job's input and
+output contract and must be equal to it, in this order."""
 
 from pyspark.sql import types as T
 

@@ -1,6 +1,4 @@
-"""Sinks. Output tables are small (one row per candidate contact or per
-candidate), so the CSV form is one sorted file like the original report;
-Parquet keeps the types and is the default for downstream jobs."""
+"""Sinks: tables sorted across their files, as CSV or Parquet."""
 
 from __future__ import annotations
 
@@ -8,11 +6,19 @@ from pyspark.sql import DataFrame
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", sort_by=None,
-                single_file: bool = True, mode: str = "overwrite") -> None:
-    out = df.orderBy(*sort_by) if sort_by else df
+                single_file: bool = False, mode: str = "overwrite") -> None:
+    """Write ``df``, sorted by ``sort_by`` where given: the rows are dealt by
+    ranges and sorted in each, so the files in the order of their names hold
+    the table in order.
+
+    ``single_file`` writes one file, through one task, which must sort and
+    write the whole table: for small reports, on request only.
+    """
     if single_file:
-        # a range-partitioned sort merges in order into one file
-        out = out.coalesce(1)
+        out = df.repartition(1)
+        out = out.sortWithinPartitions(*sort_by) if sort_by else out
+    else:
+        out = df.orderBy(*sort_by) if sort_by else df
     w = out.write.mode(mode)
     if fmt == "csv":
         (w.option("header", True)
@@ -20,6 +26,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", sort_by=None,
          .option("ignoreTrailingWhiteSpace", False)
          .option("nullValue", "")
          .option("emptyValue", "")
+         .option("escape", '"')
+         .option("encoding", "UTF-8")
          .csv(path))
     elif fmt == "parquet":
         w.parquet(path)

@@ -1,5 +1,6 @@
 import pytest
 from conftest import bill
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from hydrosight.operators import bills as B
@@ -119,14 +120,14 @@ def test_earliest_summer_year_sets_window(make):
         bill("b", "SP1", "A1", "WRES", 20, "2024-06-01 00:00:00", "2024-07-01 00:00:00"),
     ])
     usage = B.clean_bills(raw)
-    assert B.resolve_summer_year(usage) == 2024
+    assert B.summer_year(usage).first()[0] == 2024
     stats = B.season_stats(usage).first()
     assert stats["summer_mean_normalized_30day_kgal"] == pytest.approx(15 * C)
 
 
 def test_no_summer_year(make):
     raw = make.bills([bill("a", "SP1", "A1", "WRES", 10, "2024-12-01 00:00:00", "2024-12-31 00:00:00")])
-    assert B.resolve_summer_year(B.clean_bills(raw)) is None
+    assert B.summer_year(B.clean_bills(raw)).first()[0] is None
 
 
 def test_nan_quantity_is_not_dropped(make):
@@ -134,7 +135,31 @@ def test_nan_quantity_is_not_dropped(make):
     assert B.clean_bills(raw).where(F.isnan("FINAL_REG_QTY")).count() == 1   # T3
 
 
-def test_usage_profile(make):
-    raw = make.bills(_season_rows("SP1", "A1", [10, 20, 30], [1]) + _season_rows("SP2", "A2", [10], [1]))
-    year, hot = B.usage_profile(B.clean_bills(raw), Params(median_group_rows=3))
-    assert year == 2024 and hot == ["SP1"]
+def test_bad_text_fails_on_rows_that_a_null_key_drops(make):
+    good = ("SP1", "A1", "WRES", 1, "2024-06-01 00:00:00", "2024-07-01 00:00:00")
+    assert B.clean_bills(make.bills([bill(None, *good), bill("x", *good)])).count() == 1
+    for row in (bill(None, "SP1", "A1", "WRES", 1, "2024-06-01 00:00:00", "not a time"),
+                bill("x", None, "A1", "WRES", "1d", "2024-06-01 00:00:00", "2024-07-01 00:00:00")):
+        with pytest.raises(PySparkException, match="unparseable"):
+            B.clean_bills(make.bills([row])).count()
+
+
+def test_formats_per_column(make):
+    raw = make.bills([bill("x", "SP1", "A1", "WRES", 1, "06/01/2024 00:00", "2024-07-01 00:00")])
+    p = Params(ts_formats=(("START_READ_DTTM", "MM/dd/yyyy HH:mm"),))
+    assert rows(B.clean_bills(raw, p), "bill_days") == [(30.0,)]
+
+
+def test_premise_list_is_distinct_and_sorted(make):
+    raw = make.bills([bill(f"b{i}", "SP1", "A1", "WRES", 1, "2024-06-01 00:00:00", "2024-07-01 00:00:00", prem=p)
+                      for i, p in enumerate(["P2", "P10", None, "P2", " P1 "])])
+    assert rows(B.premise_lists(B.clean_bills(raw)), "SP_ID", "CHAR_PREM_ID") == [("SP1", "P1|P10|P2")]
+
+
+def test_ids_are_padded_never_cut(spark):
+    from hydrosight.sources.testdata import _pad7
+    import duckdb
+    ids = [1, 1234567, 12345678, 123456789012]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i bigint").select(_pad7(F.col("i"))).collect()]
+    assert got == ["0000001", "1234567", "12345678", "123456789012"]
+    assert [duckdb.sql(f"SELECT printf('%07d', {i}::BIGINT)").fetchall()[0][0] for i in ids] == got

@@ -3,7 +3,11 @@
 import os
 import tempfile
 
+import pytest
 import scenario as S
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from hydrosight.plans.job import build
 from hydrosight.sources.csv import read_optional_csv, read_parcel_csv, read_raw_csv
@@ -43,6 +47,53 @@ def test_csv_edges(spark):
     assert read_optional_csv(spark, f"{d}/missing.csv", RAW_READ_SCHEMA) is None
 
 
+def test_files_of_other_column_order_fail(spark):
+    d = tempfile.mkdtemp(prefix="hydrosight-csv-")
+    _write(f"{d}/a.csv", ["SP_ID", "ACCT_ID"], [("1", "A")])
+    _write(f"{d}/b.csv", ["ACCT_ID", "SP_ID"], [("B", "2")])
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        read_raw_csv(spark, d).collect()
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        read_raw_csv(spark, d, with_order=False).select("SP_ID").collect()
+
+
+@pytest.mark.parametrize("rows", [[("A", "9\n", "x"), ("B", "1", "y")], [("A", "9", "x\ny")], [("A\nB", "1", "z")]])
+def test_quoted_newline_without_multiline_fails(spark, rows):
+    d = tempfile.mkdtemp(prefix="hydrosight-csv-")
+    _write(f"{d}/a.csv", ["ACCT_ID", "N", "T"], rows)
+    for read in (lambda: read_raw_csv(spark, d, with_order=False).select("ACCT_ID").collect(),
+                 lambda: read_raw_csv(spark, d).count()):
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            read()
+    assert read_raw_csv(spark, d, multiline=True).count() == len(rows)
+
+
+def test_broken_row_fails_whatever_is_selected(spark):
+    d = tempfile.mkdtemp(prefix="hydrosight-csv-")
+    with open(f"{d}/a.csv", "w") as f:
+        f.write("A,B,C\n1,2,3\n4,5\n")
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        read_raw_csv(spark, d, with_order=False).select("A").collect()
+
+
+def test_sorted_files_hold_the_table_in_order(spark):
+    d = tempfile.mkdtemp(prefix="hydrosight-sink-")
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.col("id").cast("string").alias("v"))
+    df = df.repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_table(df, f"{d}/many", fmt="csv", sort_by=["k"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    names = sorted(x for x in os.listdir(f"{d}/many") if x.startswith("part-"))
+    assert len(names) > 1
+    keys = [int(line.split(",")[0]) for n in names for line in open(f"{d}/many/{n}").read().splitlines()[1:]]
+    assert keys == list(range(5000))
+    write_table(df, f"{d}/one", sort_by=["k"], single_file=True)
+    assert len([x for x in os.listdir(f"{d}/one") if x.startswith("part-")]) == 1
+    assert [r.k for r in spark.read.parquet(f"{d}/one").collect()] == list(range(5000))
+
+
 def test_keep_last_follows_file_order_across_files(spark):
     d = tempfile.mkdtemp(prefix="hydrosight-csv-")
     _write(f"{d}/p1.csv", ["CIS_SP_ID", "OTHER", "LND_SQFOOT"], [("SP1", "x", 1.0), ("SP2", "x", 2.0)])
@@ -90,6 +141,6 @@ def test_command_line_runner(spark, capsys):
     assert [x["LND_SQFOOT"] for x in back if x["SP_ID"] == "SP1"] == ["7100.0", "7100.0"]
     assert {x["metric"]: x["value"] for x in r.report.collect()}["drc_rows"] == len(S.READS)
     missing = parse_args(["--consumption", f"{d}/consumption.csv", "--person", f"{d}/person.csv",
-                          "--drc", f"{d}/none.csv", "--out-summary", f"{d}/o2/s", "--out-weekly", f"{d}/o2/w"])
+                          "--drc", f"{d}/none.csv", "--parcel", f"{d}/no-parcel.csv", "--out-summary", f"{d}/o2/s", "--out-weekly", f"{d}/o2/w"])
     r2 = run(spark, missing)   # absent read file: zeros, like no file at all
     assert r2.diagnostics.first()["raw_drc_rows"] == 0

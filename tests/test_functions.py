@@ -35,12 +35,37 @@ def test_round_half_even(spark):
     assert got == [0.12, 0.38, 1.0, -0.12]   # T7 (1.005 is below the tie in binary)
 
 
-@pytest.mark.parametrize("text", ["2024-13-45 00:00:00", "not a time", "2025-03"])
-def test_parse_ts_is_strict(spark, text):
+@pytest.fixture(params=["true", "false"])
+def ansi(spark, request):
+    spark.conf.set("spark.sql.ansi.enabled", request.param)
+    yield
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+@pytest.mark.parametrize("text", [
+    "2024-13-45 00:00:00", "not a time", "2025-03", "2025-03-01", "2025-03-01 00:00:00+05:00", "2025-03-01T00:00:00Z",
+    "2025-03-01 00:00:00 UTC", " 2025-03-01 00:00:00", "2025-03-01 00:00:00 ", "2025-03-01 24:00:00", "2025-3-1 00:00", ""])
+def test_parse_ts_is_strict(spark, ansi, text):
     with pytest.raises(PySparkException):
         spark.createDataFrame([(text,)], "s string").select(parse_ts("s")).collect()
 
 
+@pytest.mark.parametrize("text", ["1d", "1.5f", " 2 ", "2 ", "0x10", "1,5", "abc", "", "1e", "--1"])
+def test_parse_double_is_strict(spark, ansi, text):
+    with pytest.raises(PySparkException):
+        spark.createDataFrame([(text,)], "s string").select(parse_double("s")).collect()
+
+
+def test_accepted_text(spark, ansi):
+    got = one(spark, parse_double("s"), [("1",), ("-1.5e3",), (".5",), ("2.",), ("inf",), (None,)])
+    assert got == [1.0, -1500.0, 0.5, 2.0, float("inf"), None]
+    got = one(spark, parse_ts("s").cast("string"), [("2025-03-01 00:00",), ("2025-03-01T01:02:03.5",)])
+    assert got == ["2025-03-01 00:00:00", "2025-03-01 01:02:03.5"]
+    bad = spark.createDataFrame([("03/41/2025",)], "s string").select(parse_ts("s", "MM/dd/yyyy"))
+    with pytest.raises(PySparkException):
+        bad.collect()
+
+
 def test_parse_ts_accepts_fractions_and_null(spark):
     got = one(spark, parse_ts("s").cast("string"), [("2024-01-01 00:00:00.25",), (None,)])
     assert got == ["2024-01-01 00:00:00.25", None]

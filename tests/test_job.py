@@ -1,10 +1,6 @@
 import pytest
 import scenario as S
-from pyspark.sql import functions as F
 
-from hydrosight.operators import bills as B
-from hydrosight.operators import intervals as I
-from hydrosight.operators import panel as PN
 from hydrosight.plans.job import build
 from hydrosight.sources.schemas import DIAGNOSTIC_COLUMNS, SUMMARY_COLUMNS, week_columns
 from hydrosight.sources.testdata import Sources
@@ -56,21 +52,41 @@ def test_summary(job):
     assert sp1["Type"] == "W" and sp1["summer_bill_count"] == 2.0 and sp1["winter_bill_count"] == 1.0
 
 
-def test_fused_pass_equals_step_by_step(spark, job):
-    src, r = job
-    usage = B.clean_bills(src.bills)
-    year = B.resolve_summer_year(usage)
-    start, end = I.summer_window(year)
-    thr = r.candidates.select("SP_ID", "summer_billed_daily_avg_kgal", "summer_triple_billed_daily_avg_kgal")
-    reads = I.clean_intervals(src.reads).join(thr, "SP_ID", "inner")
-    flagged = I.flag_above(I.prorate(I.overlapping(I.clip_to_window(reads, start, end), start, end)))
-    days = I.day_flags(I.reconcile_days(I.day_parts(I.split_days(flagged))), start)
-    stepwise = PN.drc_metrics(days, flagged)
-    cols = ["SP_ID", "summer_drc_coverage_days", "summer_drc_above_3x_days",
-            "summer_drc_above_3x_intervals", *week_columns(26)]
-    a = sorted(tuple(x) for x in stepwise.select(*cols).collect())
-    b = sorted(tuple(x) for x in r.panel.where(F.col("summer_drc_coverage_days") > 0).select(*cols).collect())
-    assert a == b
+def test_reads_without_threshold_count_when_not_reduced(spark, job):
+    src, _ = job
+    r = build(spark, src, candidates_only=False)
+    d = r.diagnostics.first().asDict()
+    assert d["summer_overlap_without_billed_threshold_sp_ids"] == 1     # SP3
+    assert d["summer_overlap_with_billed_threshold_sp_ids"] == 2
+    panel = {x["SP_ID"]: x for x in r.panel.collect()}
+    assert sorted(panel) == ["SP1", "SP2", "SP3", "SP4"]
+    assert panel["SP3"]["summer_triple_billed_daily_avg_kgal"] is None
+    assert panel["SP3"]["summer_drc_coverage_days"] == 2.0
+
+
+def test_outputs_are_built_on_demand_and_tables_go(spark, job):
+    import os
+    src, _ = job
+    r = build(spark, src)
+    assert r.tables == []
+    r.panel.count()
+    assert len(r.tables) == 3                       # bills, candidates, one row a meter: no contact data
+    assert r.report.count() == 17
+    paths = [t.removeprefix("file:") for t in r.tables]
+    assert all(os.path.isdir(p) for p in paths)
+    r.release()
+    assert not any(os.path.exists(p) for p in paths)
+
+
+def test_report_scans_no_source_again(spark, job):
+    src, _ = job
+    r = build(spark, src)
+    got = {x["metric"]: x["value"] for x in r.report.collect()}
+    assert (got["consumption_rows"], got["person_rows"], got["drc_rows"]) == (len(S.BILLS), len(S.PEOPLE), len(S.READS))
+    # the sources are in memory here; what the report reads of them lies in the job's tables
+    leaves = [x for x in r.report._jdf.queryExecution().optimizedPlan().toString().splitlines()
+              if "LogicalRDD" in x or "LocalRelation" in x]
+    assert not any(c in x for x in leaves for c in ("BSEG_ID", "PER_ID", "CONSUMPTION"))
 
 
 def test_no_reads_gives_zero_panel(spark, job):

@@ -1,11 +1,9 @@
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from hydrosight.operators import bills as B
-from hydrosight.operators.median import exact_median, hot_groups
-from hydrosight.params import Params
-from hydrosight.sources.testdata import raw_bills
+from hydrosight.operators.median import exact_median, value_range
 
 
 def test_exact_median_matches_builtin_with_ties_and_even_counts(spark):
@@ -13,22 +11,26 @@ def test_exact_median_matches_builtin_with_ties_and_even_counts(spark):
     rows = []
     for g in range(12):
         n = rnd.randint(1, 400)
-        pool = [rnd.random() * 100 for _ in range(rnd.choice([1, 3, 50, 1000]))]
+        pool = [rnd.uniform(-100, 100) * 10 ** rnd.randint(-3, 3) for _ in range(rnd.choice([1, 3, 50, 1000]))]
         rows += [(f"g{g}", "s", rnd.choice(pool)) for _ in range(n)]
-    rows += [("g99", "s", 5.0)] * 10000          # one value repeated: one bucket, one distinct value
+    rows += [("g99", "s", 5.0)] * 10000          # one value repeated: one range, one distinct value
     rows += [("g98", "s", None), ("g98", "s", 2.0), ("g98", "s", 4.0)]
+    rows += [("g97", "s", x) for x in (0.0, -1.0, 1e-300, float("inf"), -2.0)]
     df = spark.createDataFrame(rows, "k string, season string, v double")
     want = {r[0]: r[1] for r in df.groupBy("k").agg(F.median("v")).collect()}
-    got = {r[0]: r[2] for r in exact_median(df, ["k", "season"], "v", buckets=16).collect()}
+    got = {r[0]: r[2] for r in exact_median(df, ["k", "season"], "v").collect()}
     assert got == want
 
 
-def test_hot_path_equals_ordinary_path(spark):
-    usage = B.clean_bills(raw_bills(spark, "/root/testdata/sf0.001")).cache()
-    hot = hot_groups(usage, "SP_ID", 1)
-    assert len(hot) > 10
-    cols = ["SP_ID", "summer_median_normalized_30day_kgal", "winter_median_normalized_30day_kgal"]
-    a = sorted(map(tuple, B.season_stats(usage).select(*cols).collect()))
-    b = sorted(map(tuple, B.season_stats(usage, Params(median_group_rows=1)).select(*cols).collect()))
-    assert a == b
-    usage.unpersist()
+def test_no_group_meets_in_one_task_before_its_ranges(spark):
+    """The exchange of the values is keyed by the value too, the next one by the range."""
+    df = spark.range(100).select(F.lit("hot").alias("k"), F.col("id").cast("double").alias("v"))
+    assert exact_median(df, ["k"], "v").first()["median"] == 49.5
+
+
+def test_value_range_never_falls(spark):
+    rnd = random.Random(1)
+    vals = sorted(rnd.uniform(-1, 1) * 10 ** rnd.randint(-320, 300) for _ in range(3000))
+    vals = [-math.inf, *vals, math.inf]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "v double").select(value_range(F.col("v"))).collect()]
+    assert got == sorted(got)
