@@ -16,8 +16,9 @@ digest. Sets link when 100 * intersection >= ``percent`` * union.
    list entries to scan.
 3. Entries travel as packed arrays by hash range of their key. A list of up to
    ``SHORT`` sets gives its pairs; in a longer one a leader (smallest by hash) is paired with
-   the others. Only sizes that allow a link are paired. Lists of
-   shingles that the counters show as very frequent are salted into parts.
+   the others. Only sizes and positions that allow a link are paired: what two sets have before
+   their first common shingle they do not share, and copies that were edited a lot
+   have their own, rare shingles first. Lists of very frequent shingles are salted into parts.
 4. A parity bitmap of about n bits, made in the first scan, bounds the difference of two
    sets from below, which drops nearly all pairs that merely share a passage. The rest are
    verified on the whole sets, which another scan makes for their members only (found by a
@@ -58,7 +59,8 @@ PARTS = 256
 #: entries a task holds before it writes them out
 FLUSH = 4_000_000
 LIGHT_MOST = 64  # largest boundary that is considered
-SHORT = 8  # lists of up to so many sets are paired at once
+SHORT = 32  # lists of up to so many sets are paired at once
+LARGE = 65535  # sizes and positions from here on are not told apart by the filters
 LEADERS = 12  # other leaders of a longer list
 ORDER_FROM = 4  # classes of frequency are log2(count) less this
 SALTED = 16
@@ -210,10 +212,11 @@ def boundary(sizes: dict[int, int], scan: float, percent: int) -> int:
 # --- second scan -------------------------------------------------------------------------------
 
 def _keys(s: np.ndarray, frequent: np.ndarray, light: int, percent: int):
-    """(key, class) of a set's lists: single shingles, then subsets of two (class 0)."""
+    """A set's lists: shingles with their class and position in the order, then
+    subsets of two (class and position 0)."""
     n, none = len(s), np.zeros(0, np.uint64)
     if n <= 2:  # linked with equal sets only
-        return none, np.zeros(0, np.uint8), none
+        return none, none.astype(np.uint8), none.astype(np.int64), none
     o = needed(n, percent)
     cls = frequent[(s >> np.uint64(64 - COUNTERS)).astype(np.int64)]
     order = np.argsort(cls, kind="stable") if cls.any() else np.arange(n)
@@ -225,9 +228,16 @@ def _keys(s: np.ndarray, frequent: np.ndarray, light: int, percent: int):
         a, b = np.minimum(f[i], f[j]), np.maximum(f[i], f[j])
         pairs = ((a ^ (b * _K)) * _M) ^ (b >> np.uint64(31))
     if n <= light and n < needed(light + 1, percent):
-        return none, np.zeros(0, np.uint8), pairs
+        return none, none.astype(np.uint8), none.astype(np.int64), pairs
     single = first[:n - o + 1]
-    return s[single], cls[single], pairs
+    return s[single], cls[single], np.arange(len(single)), pairs
+
+
+def may_overlap(m, i, n, j, percent: int):
+    """False only if sets of m and n, whose first common shingle stands at i
+    and j of their order, are too different: what stands before is not shared."""
+    most = np.minimum(m - i, n - j)
+    return (np.maximum(m, n) >= LARGE) | ((100 + percent) * most >= percent * (m + n))
 
 
 def _entries(path: str, light: int, percent: int, ranges: int):
@@ -237,28 +247,30 @@ def _entries(path: str, light: int, percent: int, ranges: int):
         count = 0
 
         def flush():
-            key = np.concatenate([h[0] for h in held])
-            cls = np.concatenate([h[1] for h in held])
+            key, cls, pos = (np.concatenate([h[k] for h in held]) for k in range(3))
             lens = [len(h[0]) for h in held]
-            sid = np.repeat(np.array([h[2] for h in held], np.int64), lens)
-            n = np.repeat(np.array([h[3] for h in held], np.uint32), lens)
+            sid = np.repeat(np.array([h[3] for h in held], np.int64), lens)
+            n = np.repeat(np.array([min(h[4], LARGE) for h in held], np.uint16), lens)
             # the list of a shingle in over 2^SALTED sets is cut into parts by its sets
             parts = np.uint64(1) << np.clip(cls.astype(np.int64) + ORDER_FROM - SALTED, 0, 15).astype(np.uint64)
             salt = np.where(parts > 1, sid.astype(np.uint64) % parts + np.uint64(1), np.uint64(0))
-            mixed = (key ^ (salt * _K)) * _M
-            part = ((mixed >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
+            mixed = key * _M
+            mixed ^= mixed >> np.uint64(32)
+            # 32 bits tell the lists of a range apart; lists that meet only add pairs to test
+            part = (((mixed ^ (salt * _K)) >> np.uint64(40)) % np.uint64(ranges)).astype(np.int64)
+            short = (mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(ranges + 1))
-            rows = [[], [], [], [], []]
+            rows = [[], [], [], [], [], []]
+            columns = (short, salt.astype(np.uint16), sid, n, np.minimum(pos, LARGE).astype(np.uint16))
             for p in range(ranges):
                 at = order[edges[p]:edges[p + 1]]
                 if len(at):
-                    for col, x in zip(rows, (p, key[at].tobytes(), salt[at].astype(np.uint16).tobytes(),
-                                             sid[at].tobytes(), n[at].tobytes())):
+                    for col, x in zip(rows, (p, *(c[at].tobytes() for c in columns))):
                         col.append(x)
             return pa.RecordBatch.from_arrays(
                 [pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])],
-                names=["part", "key", "salt", "sid", "n"])
+                names=["part", "key", "salt", "sid", "n", "pos"])
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 s = shingles(text)
@@ -266,11 +278,12 @@ def _entries(path: str, light: int, percent: int, ranges: int):
                 if d in seen:
                     continue
                 seen.add(d)
-                single, cls, pairs = _keys(s, frequent, light, percent)
+                single, cls, pos, pairs = _keys(s, frequent, light, percent)
                 # the lowest bit tells lists of subsets from lists of shingles
                 key = np.concatenate([single | np.uint64(1), pairs & ~np.uint64(1)])
                 if len(key):
-                    held.append((key, np.concatenate([cls, np.zeros(len(pairs), np.uint8)]), d, len(s)))
+                    none = np.zeros(len(pairs), np.int64)
+                    held.append((key, np.concatenate([cls, none]), np.concatenate([pos, none]), d, len(s)))
                     count += len(key)
                 if count >= FLUSH:
                     yield flush()
@@ -287,60 +300,65 @@ def _priority(sid: np.ndarray) -> np.ndarray:
 
 def _lists(percent: int):
     """Pairs (key null; leader, sid) of short lists; leader and members of long ones."""
+    kinds = (np.uint32, np.uint16, np.int64, np.uint16, np.uint16)
+
     def run(batches):
         held: dict[int, list] = {}
         for batch in batches:
             for p, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(p, []).append([np.frombuffer(b, t) for b, t in
-                                               zip(blobs, (np.uint64, np.uint16, np.int64, np.uint32))])
+                held.setdefault(p, []).append([np.frombuffer(b, t) for b, t in zip(blobs, kinds)])
         for p in list(held):
-            key, salt, sid, n = (np.concatenate(c) for c in zip(*held.pop(p)))
-            order = np.lexsort((sid, salt, key))
-            key, salt, sid, n = key[order], salt[order], sid[order], n[order].astype(np.int64)
+            key, salt, sid, n, pos = (np.concatenate(c) for c in zip(*held.pop(p)))
+            order = np.lexsort((pos, sid, salt, key))
+            key, salt, sid = key[order], salt[order], sid[order]
+            n, pos = n[order].astype(np.int64), pos[order].astype(np.int64)
             fresh = np.ones(len(key), bool)  # an equal set from another task
             fresh[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (sid[1:] != sid[:-1])
-            key, salt, sid, n = key[fresh], salt[fresh], sid[fresh], n[fresh]
+            key, salt, sid, n, pos = key[fresh], salt[fresh], sid[fresh], n[fresh], pos[fresh]
             start = np.ones(len(key), bool)
             start[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
             lists = np.cumsum(start) - 1
             size = np.bincount(lists)[lists] if len(lists) else lists
-            keys, sids, ns, leaders = [], [], [], []
+            out = []
             short = np.flatnonzero((size > 1) & (size <= SHORT) & (salt == 0))
-            if len(short):
-                a, b = [], []
-                for step in range(1, SHORT):
-                    i = short[short + step < len(lists)]
-                    i = i[lists[i] == lists[i + step]]
-                    j = i + step
-                    ok = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
-                    a.append(sid[i[ok]])
-                    b.append(sid[j[ok]])
-                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-                keys.append(pa.nulls(len(pairs), pa.int64()))
-                sids.append(pairs[:, 1])
-                ns.append(np.zeros(len(pairs), np.int64))
-                leaders.append(pairs[:, 0])
+            found = []
+            for step in range(1, SHORT if len(short) else 1):
+                i = short[short + step < len(lists)]
+                i = i[lists[i] == lists[i + step]]
+                j = i + step
+                ok = may_overlap(n[i], pos[i], n[j], pos[j], percent)
+                ok &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
+                found.append(np.stack([sid[i[ok]], sid[j[ok]]], axis=1))
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                zero = np.zeros(len(pairs), np.int64)
+                out.append((pa.nulls(len(pairs), pa.int64()), pairs[:, 1], zero, zero, pairs[:, 0]))
             long = (size > SHORT) | (salt > 0)
             if long.any():
-                key, salt, sid, n, lists = key[long], salt[long], sid[long], n[long], lists[long]
+                key, salt, sid, n, pos, lists = (x[long] for x in (key, salt, sid, n, pos, lists))
                 order = np.lexsort((_priority(sid), lists))
-                key, salt, sid, n, lists = (x[order] for x in (key, salt, sid, n, lists))
+                key, salt, sid, n, pos, lists = (x[order] for x in (key, salt, sid, n, pos, lists))
                 at = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
-                # lists of equal members (the shingles of one passage) are one list
-                marks = np.stack([np.diff(np.append(at, len(lists))).astype(np.uint64),
-                                  np.add.reduceat(_priority(sid) * _M, at), np.bitwise_xor.reduceat(_priority(sid), at),
-                                  np.where(salt[at] > 0, key[at], np.uint64(0))], axis=1)
-                _, one = np.unique(marks, axis=0, return_index=True)
-                first = np.searchsorted(lists, lists, side="left")
-                keep = np.isin(lists, lists[at[one]])
-                keys.append(pa.array(key[keep].view(np.int64)))
-                sids.append(sid[keep])
-                ns.append(n[keep])
-                leaders.append(sid[first][keep])
-            if keys:
+                sizes = np.diff(np.append(at, len(lists)))
+                # lists of equal members are one list, with each member's first position
+                marks = np.stack([sizes.astype(np.uint64), np.add.reduceat(_priority(sid) * _M, at),
+                                  np.bitwise_xor.reduceat(_priority(sid), at),
+                                  np.where(salt[at] > 0, key[at], 0).astype(np.uint64)], axis=1)
+                _, one, group = np.unique(marks, axis=0, return_index=True, return_inverse=True)
+                place = np.repeat(at[one][group.ravel()] - at, sizes) + np.arange(len(lists))
+                np.minimum.at(pos, place, pos.copy())
+                keep = np.zeros(len(lists), bool)
+                keep[place] = True
+                first = np.repeat(at, sizes)
+                full = (np.int64(p) << 32 | key.astype(np.int64))
+                if (salt > 0).any():  # the parts of a key are one list again
+                    full = np.where(salt > 0, np.int64(1) << 62 | key.astype(np.int64), full)
+                out.append((pa.array(full[keep]), sid[keep], n[keep], pos[keep], sid[first][keep]))
+            if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays(keys), *(pa.array(np.concatenate(c), pa.int64()) for c in (sids, ns, leaders))],
-                    names=["key", "sid", "n", "leader"])
+                    [pa.concat_arrays([o[0] for o in out]),
+                     *(pa.array(np.concatenate([o[k] for o in out]), pa.int64()) for k in range(1, 5))],
+                    names=["key", "sid", "n", "pos", "leader"])
     return run
 
 
@@ -470,9 +488,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     ranges = 2 * parallelism(spark)
     entries = df.select(text.alias("text")).mapInArrow(
-        _entries(path, light, percent, ranges), "part int, key binary, salt binary, sid binary, n binary")
+        _entries(path, light, percent, ranges),
+        "part int, key binary, salt binary, sid binary, n binary, pos binary")
     lists = cut(entries.repartition(parallelism(spark), "part").mapInArrow(
-        _lists(percent), "key bigint, sid bigint, n bigint, leader bigint"), "shingle-lists")
+        _lists(percent), "key bigint, sid bigint, n bigint, pos bigint, leader bigint"), "shingle-lists")
 
     def allowed(m, n):
         return F.least(m, n) * 100 >= F.greatest(m, n) * percent
@@ -492,10 +511,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def linked(pairs):
         """The pairs that link. Sets that no earlier turn made are made now."""
-        listed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))
-        if not made:  # members of long lists may be asked for later
-            listed = listed.union(long.select("sid"))
-        listed = listed.distinct()
+        listed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
         for sets in made:
             listed = listed.join(sets.select("sid"), "sid", "left_anti")
         listed = cut(listed, "shingle-listed")
@@ -514,8 +530,18 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             sets = sets.union(more)
         return cut(_verify(pairs, sets, percent), "shingle-links")
 
-    long = lists.where("key is not null").select("key", "sid", "n")
-    near = promising(ordered(lists.select(F.col("leader").alias("a"), F.col("sid").alias("b"))))
+    def overlapping(m, i, n, j):
+        """``may_overlap`` and sizes, as an expression."""
+        most = F.least(m - i, n - j)
+        return (F.greatest(m, n) >= LARGE) | (allowed(m, n) & (most * (100 + percent) >= (m + n) * percent))
+
+    long = lists.where("key is not null").select("key", "sid", "n", "pos")
+    first = lists.where("key is not null and sid = leader").select("key", "leader", F.col("n").alias("m"),
+                                                                   F.col("pos").alias("i"))
+    stars = lists.where("key is not null and sid <> leader").join(first, ["key", "leader"]).where(
+        overlapping(F.col("n"), F.col("pos"), F.col("m"), F.col("i")))
+    pairs = lists.where("key is null").select("leader", "sid").union(stars.select("leader", "sid"))
+    near = promising(ordered(pairs.select(F.col("leader").alias("a"), F.col("sid").alias("b"))))
     if near.isEmpty():
         links = near
     else:
@@ -523,15 +549,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     labels = components(links)
     for last in (False, True):
         open_ = cut(long.join(labels.select(F.col("id").alias("sid"), "label"), "sid", "left").select(
-            "key", "sid", "n", F.coalesce("label", "sid").alias("label")).distinct(), "shingle-open")
+            "key", "sid", "n", "pos", F.coalesce("label", "sid").alias("label")), "shingle-open")
         several = (open_.groupBy("key").agg(
             F.min("label").alias("lo"), F.max("label").alias("hi"),
-            *(F.min_by(F.struct("sid", "n", "label"), F.xxhash64("sid", F.lit(k))).alias(f"lead{k}") for k in range(LEADERS)))
+            *(F.min_by(F.struct("sid", "n", "pos", "label"), F.xxhash64("sid", F.lit(k))).alias(f"lead{k}") for k in range(LEADERS)))
             .where("lo <> hi").drop("lo", "hi"))
         if not last:  # other leaders against the members of other components
             lead = several.select("key", F.explode(F.array(*(f"lead{k}" for k in range(LEADERS)))).alias("lead")).distinct()
             pairs = (open_.join(lead, "key").where((F.col("label") != F.col("lead.label"))
-                                                       & allowed(F.col("n"), F.col("lead.n")))
+                                                       & overlapping(F.col("n"), F.col("pos"), F.col("lead.n"),
+                                                                     F.col("lead.pos")))
                      .select(F.col("lead.sid").alias("a"), F.col("sid").alias("b")))
         else:  # all that is left: members outside a list's largest component against the others
             inside = open_.join(several.select("key"), "key")
@@ -539,10 +566,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     .groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main")))
             inside = cut(inside.join(main, "key"), "shingle-inside")
             out = inside.where("label <> main").select("key", F.col("sid").alias("a"), F.col("n").alias("an"),
-                                                       F.col("label").alias("al"))
+                                                       F.col("pos").alias("ap"), F.col("label").alias("al"))
             pairs = (inside.join(out, "key").where(
                 (F.col("label") != F.col("al")) & ((F.col("label") == F.col("main")) | (F.col("a") < F.col("sid")))
-                & allowed(F.col("n"), F.col("an")))
+                & overlapping(F.col("n"), F.col("pos"), F.col("an"), F.col("ap")))
                 .select("a", F.col("sid").alias("b")))
         more = promising(ordered(pairs).join(near, ["a", "b"], "left_anti"))
         if more.isEmpty():
