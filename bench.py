@@ -1,8 +1,8 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Each query result goes to the ``noop`` sink (full execution, no output
-I/O); one warm-up run, then the median of ``$BENCH_RUNS`` timed runs.
-Prints ONE JSON line.
+I/O); one warm-up run, then the median of ``$BENCH_RUNS`` timed runs; the
+least and the most of them stand in ``spread``. Prints ONE JSON line.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -20,8 +21,8 @@ from hydrosight.plans.queries import QUERIES  # noqa: E402
 from hydrosight.session import build_session  # noqa: E402
 from hydrosight.sources.testdata import testdata_sources  # noqa: E402
 
-# summary = the whole job returning the summary; job_end_to_end also writes
-# the panel and the counters (the other job-level queries repeat that build)
+# summary = the job as far as the summary needs it; job_end_to_end also writes
+# the panel and the counters, from the same parts
 HEADLINE = ["candidate_screen", "season_stats", "sp_contacts", "day_reconcile", "weekly_panel",
             "summary"]
 
@@ -39,10 +40,9 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
-    # the checkpoint folder comes from the session (spark.checkpoint.dir);
-    # build_session falls back to a scratch folder only in local mode
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus * 2,
-                          extra={"spark.driver.memory": "16g"})
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus * 2, extra={
+        "spark.driver.memory": "16g",
+        "spark.checkpoint.dir": os.environ.get("BENCH_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="hydrosight-bench-")})
 
     def timed(make) -> float:
         t0 = time.perf_counter()
@@ -56,17 +56,21 @@ def main() -> None:
         r = build(spark, testdata_sources(spark, sf_dir))
         for df in (r.summary, r.panel, r.diagnostics):
             df.write.format("noop").mode("overwrite").save()
+        r.release()
 
-    results = {}
+    results, spread = {}, {}
     for name in names + ["job_end_to_end"]:
         fn = run_job if name == "job_end_to_end" else run_query(name)
         timed(fn)  # warm-up
-        results[name] = round(statistics.median(timed(fn) for _ in range(runs)), 3)
+        times = [timed(fn) for _ in range(runs)]
+        results[name] = round(statistics.median(times), 3)
+        spread[name] = [round(min(times), 3), round(max(times), 3)]
     print(json.dumps({
         "metric": "median_query_sec_total",
         "value": round(sum(results.values()), 3),
         "unit": "sec",
         "queries": results,
+        "spread": spread,
         "sf": _sf(sf_dir),
         "config": {"cpus": cpus, "runs": runs,
                    "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
