@@ -57,7 +57,7 @@ WORDS = 5
 COUNTERS = 24  # bits
 PARTS = 256
 #: entries a task holds before it writes them out
-FLUSH = 4_000_000
+FLUSH = 400_000
 LIGHT_MOST = 64  # largest boundary that is considered
 SHORT = 32  # lists of up to so many sets are paired at once
 LARGE = 65535  # sizes and positions from here on are not told apart by the filters
