@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrosight.session import ensure_checkpoint_dir
+from hydrosight.session import drop_tables, ensure_checkpoint_dir
 
 #: the white space of the text contracts, as a character class body
 WS = r"\x20\x09-\x0D"
@@ -44,3 +44,9 @@ def held_out(doc_id: Column) -> Column:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that the operators of this session wrote in the shared folder;
+    results that still read it cannot be read afterwards."""
+    drop_tables(spark, [f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm"])

@@ -10,7 +10,8 @@ each by a weight in documents (``strength``) that the spread between the groups
 of moments), so a site with few documents keeps to the prior above it.
 The score is the classifier's log odds with the path posterior as its prior.
 
-Features and scores are DataFrame expressions. The tables of bins are bounded
+Features are counted over whole texts by array operations, all else is DataFrame
+expressions. The tables of bins are bounded
 by features x bins; the path posteriors are joined, which Spark broadcasts only under its own
 threshold and otherwise shuffles with skew splitting.
 
@@ -29,11 +30,15 @@ Defined cases
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrosight.llm.common import WS, cut, held_out
+from hydrosight.llm.common import cut, held_out
+from hydrosight.llm.jaccard import word_hashes
 
 #: upper ends of each feature's bins
 BINS = {
@@ -47,34 +52,33 @@ BINS = {
 }
 
 
-def features(text: Column) -> dict[str, Column]:
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    size = F.greatest(F.length(text), F.lit(1))
-    words = F.filter(F.split(F.lower(text), f"[{WS}]+"), lambda w: w != "")
-    n = F.size(words)
-    # per distinct word: short of array_distinct's cost on long texts by hashing
-    distinct = F.size(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
-    capitals = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
-    digits = F.length(F.regexp_replace(text, r"[^0-9]+", ""))
-    symbols = F.length(F.regexp_replace(text, rf"[\p{{L}}\p{{N}}{WS}.,;:'\"()\-]+", ""))
-    return {"symbols": symbols / size, "capitals": capitals / F.greatest(letters, F.lit(1)),
-            "digits": digits / size, "word_length": letters / F.greatest(n, F.lit(1)),
-            "words": n.cast("double"), "distinct": distinct / F.pow(F.greatest(n, F.lit(1)), F.lit(0.8))}
+_OTHER, _LOWER, _UPPER, _DIGIT, _BLANK, _POINT, _LEAD, _NEXT = range(8)
+#: what each byte of UTF-8 counts as; a character of several bytes counts as a letter
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = _LOWER, _UPPER, _DIGIT
+_CLASS[[9, 10, 11, 12, 13, 32]] = _BLANK
+_CLASS[[ord(c) for c in ".,;:'\"()-"]] = _POINT
+_CLASS[128:192], _CLASS[192:] = _NEXT, _LEAD
 
 
-def bins(text: Column) -> Column:
-    """The bin of each feature, as an array in the order of ``BINS``."""
-    # the struct keeps each feature from being computed once a bin
-    return F.transform(F.array(F.struct(*(v.alias(k) for k, v in features(text).items()))),
-                       lambda v: F.array(*(_binned(v[k], BINS[k]) for k in BINS)))[0]
+def features(text: bytes | None) -> tuple[float, ...]:
+    """The features of a whole text, in the order of ``BINS``."""
+    text = text or b""
+    n = np.bincount(_CLASS[np.frombuffer(text, np.uint8)], minlength=8)
+    size = max(1, len(text) - int(n[_NEXT]))
+    letters = int(n[_LOWER] + n[_UPPER] + n[_LEAD])
+    words = word_hashes(text)  # A-Z as a-z
+    words.sort()
+    distinct = int((words[1:] != words[:-1]).sum()) + 1 if len(words) else 0
+    return (n[_OTHER] / size, n[_UPPER] / max(letters, 1), n[_DIGIT] / size, letters / max(len(words), 1),
+            float(len(words)), distinct / max(len(words), 1) ** 0.8)
 
 
-def _binned(value: Column, ends: tuple[float, ...]) -> Column:
-    out = F.lit(len(ends))
-    for i in range(len(ends) - 1, -1, -1):
-        out = F.when(value <= ends[i], F.lit(i)).otherwise(out)
-    return out
+def bins(text: Column) -> Column:
+    """The bin of each feature, as an array in the order of ``BINS``."""
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [bisect_left(ends, v) for ends, v in zip(BINS.values(), features(t))])
+    return F.pandas_udf(run, "array<int>")(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
 
 
 def _site(c: Column) -> Column:
