@@ -238,8 +238,9 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
                   "line-suspects", "suspect")
     suspect = scanned.where("suspect")
     held = suspect.select("rid", F.col("row.id").alias("id"), F.explode("keys").alias("key"))
-    confirmed = (held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
-                 .where(F.col("n") >= min_docs).drop("n"))
+    # a table of its own: the join's two sides are plain shuffles, and AQE splits a hot key
+    confirmed = cut(held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
+                    .where(F.col("n") >= min_docs).drop("n"), "line-keys")
     gone = (held.join(confirmed, "key").where(~F.col("id").eqNullSafe(F.col("keeper")))
             .groupBy("rid").agg(F.collect_list("key").alias("gone")))
     fields = T.StructType([packed.schema["row"], T.StructField("text", T.BinaryType()),
