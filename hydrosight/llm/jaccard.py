@@ -550,10 +550,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for last in (False, True):
         open_ = cut(long.join(labels.select(F.col("id").alias("sid"), "label"), "sid", "left").select(
             "key", "sid", "n", "pos", F.coalesce("label", "sid").alias("label")), "shingle-open")
-        several = (open_.groupBy("key").agg(
+        # a table of its own: AQE can split a long list in the joins below
+        several = cut(open_.groupBy("key").agg(
             F.min("label").alias("lo"), F.max("label").alias("hi"),
             *(F.min_by(F.struct("sid", "n", "pos", "label"), F.xxhash64("sid", F.lit(k))).alias(f"lead{k}") for k in range(LEADERS)))
-            .where("lo <> hi").drop("lo", "hi"))
+            .where("lo <> hi").drop("lo", "hi"), "shingle-several")
+        if several.isEmpty():
+            break
         if not last:  # other leaders against the members of other components
             lead = several.select("key", F.explode(F.array(*(f"lead{k}" for k in range(LEADERS)))).alias("lead")).distinct()
             pairs = (open_.join(lead, "key").where((F.col("label") != F.col("lead.label"))
@@ -562,8 +565,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      .select(F.col("lead.sid").alias("a"), F.col("sid").alias("b")))
         else:  # all that is left: members outside a list's largest component against the others
             inside = open_.join(several.select("key"), "key")
-            main = (inside.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
-                    .groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main")))
+            main = cut(inside.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+                       .groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main")), "shingle-main")
             inside = cut(inside.join(main, "key"), "shingle-inside")
             out = inside.where("label <> main").select("key", F.col("sid").alias("a"), F.col("n").alias("an"),
                                                        F.col("pos").alias("ap"), F.col("label").alias("al"))
