@@ -46,6 +46,14 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bound_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Rows that a task hands to Python at once, for operators on whole texts: a
+    batch is held several times over. A session that sets its own number keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.sparkContext.getConf().get(key) is None and spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all that the operators of this session wrote in the shared folder;
     results that still read it cannot be read afterwards."""

@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrosight.llm.common import cut, parallelism, scratch
+from hydrosight.llm.common import bound_batches, cut, parallelism, scratch
 from hydrosight.llm.components import components
 
 WORDS = 5
@@ -380,6 +380,7 @@ def _load(path: str, size: int) -> np.ndarray:
     """An array of (index, value) or (part, values) rows of a Parquet folder, read once
     by each Python worker."""
     if path not in _loaded:
+        _loaded.clear()  # one table at a time
         fs, root = pafs.FileSystem.from_uri(path)
         out = np.zeros(size, np.uint8)
         for f in fs.get_file_info(pafs.FileSelector(root)):
@@ -390,8 +391,6 @@ def _load(path: str, size: int) -> np.ndarray:
                         out[part * len(data):(part + 1) * len(data)] = np.frombuffer(data, np.uint8)
                 else:
                     out[t.column(0).to_numpy()] |= t.column(1).to_numpy().astype(np.uint8)
-        if len(_loaded) > 3:
-            _loaded.clear()
         _loaded[path] = out
     return _loaded[path]
 
@@ -469,6 +468,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                        filter_mb: int = 64) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     spark = df.sparkSession
+    bound_batches(spark)
     text = F.col(text_col).cast("string").cast("binary")
     described = cut(df.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
                     .mapInArrow(_describe, "kind int, doc_id bigint, n bigint, sid bigint, map binary"), "shingle-sets", "kind")

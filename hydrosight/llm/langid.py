@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrosight.llm.common import held_out
+from hydrosight.llm.common import bound_batches, held_out
 
 DIMS = 4096
 BLOCK = 1 << 20
@@ -138,6 +138,7 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 clusters: int = 4, sample_per_lang: int = 500, reach: float = 4.0,
                 sharpness: float = 25.0, reject_as_und: bool = False) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, cosine, rejected."""
+    bound_batches(df.sparkSession)
     text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
     fold = held_out(F.col(id_col))
     train = df.where(lang.isNotNull() & text.rlike(r"\p{L}") & ~fold)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hydrosight.llm.common import WS_BYTES, cut, parallelism, scratch
+from hydrosight.llm.common import WS_BYTES, bound_batches, cut, parallelism, scratch
 
 SEGMENTS = 256
 #: hashes a task holds before it writes them out
@@ -215,6 +215,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """The input's columns with the text replaced, then n_lines (before) and n_dropped."""
     from pyspark.sql.pandas.types import to_arrow_schema
     spark = df.sparkSession
+    bound_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     hashes = cut(df.select(text.cast("binary").alias("text")).mapInArrow(
         _hashes(min_chars), "segment int, seen binary, again binary, n bigint"), "line-hashes")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydrosight.llm.common import cut
+from hydrosight.llm.common import bound_batches, cut
 
 END = 0
 #: word pattern of the byte-level tokenizer, a fixed value that belongs to its vocabulary
@@ -212,6 +212,7 @@ def pack(df: DataFrame, tokenizer: str, size: int = 1024, unit: int = 4, id_col:
          text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and with ``with_ids`` the ids (little-endian 32 bit)."""
+    bound_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
     pieces = cut(docs.mapInArrow(_pieces(tokenizer, size, unit, with_ids), PIECES), "pieces")
     tasks = pieces.groupBy("task", "units").agg(F.count(F.lit(1)).alias("n"))

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrosight.llm.common import cut, held_out
+from hydrosight.llm.common import bound_batches, cut, held_out
 from hydrosight.llm.jaccard import word_hashes
 
 #: upper ends of each feature's bins
@@ -108,6 +108,7 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The input's columns, then score (0 to 1, higher: better) and kept. Below the
     default threshold bad is nine times likelier than good: a clean document that
     goes costs more than a bad one that stays."""
+    bound_batches(df.sparkSession)
     doc = F.col(id_col).cast("bigint")
     fold = held_out(F.col(id_col))
     small = cut(df.select(doc.alias("id"), fold.alias("held_out"), _site(F.col(host)).alias("host"),

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrosight.llm.common import cut, held_out
+from hydrosight.llm.common import bound_batches, cut, held_out
 
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“\n]{1,400}“|^>.*$", re.M)
@@ -251,6 +251,7 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              min_log_odds: float = 3.5, min_share: float = 0.008, min_texts: int = 4,
              max_terms: int = 2000, fuzzy_from: int = 5, window: int = 50) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, n_exact, n_fuzzy, n_quoted."""
+    bound_batches(df.sparkSession)
     fold = held_out(F.col(id_col))
     text = F.col(text_col).cast("string")
     marked = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).select(

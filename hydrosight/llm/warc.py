@@ -40,7 +40,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrosight.llm.common import parallelism
+from hydrosight.llm.common import bound_batches, parallelism
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = ("page_id bigint, url string, file string, offset bigint, length bigint, "
@@ -142,6 +142,7 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     """Write the rows as archives under ``folder`` and return the index, which
     is itself a Parquet table in ``folder``/index."""
     spark = df.sparkSession
+    bound_batches(spark)
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     rows = df.select(F.col(id_col).cast("bigint").alias("page_id"),
                      F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
