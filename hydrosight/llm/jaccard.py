@@ -256,13 +256,13 @@ def _entries(path: str, light: int, percent: int, ranges: int):
             salt = np.where(parts > 1, sid.astype(np.uint64) % parts + np.uint64(1), np.uint64(0))
             mixed = key * _M
             mixed ^= mixed >> np.uint64(32)
-            # 32 bits tell the lists of a range apart; lists that meet only add pairs to test
+            # 40 bits tell the lists of a range apart
             part = (((mixed ^ (salt * _K)) >> np.uint64(40)) % np.uint64(ranges)).astype(np.int64)
-            short = (mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            short, tag = (mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32), (mixed >> np.uint64(32)).astype(np.uint8)
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(ranges + 1))
-            rows = [[], [], [], [], [], []]
-            columns = (short, salt.astype(np.uint16), sid, n, np.minimum(pos, LARGE).astype(np.uint16))
+            rows = [[], [], [], [], [], [], []]
+            columns = (short, tag, salt.astype(np.uint16), sid, n, np.minimum(pos, LARGE).astype(np.uint16))
             for p in range(ranges):
                 at = order[edges[p]:edges[p + 1]]
                 if len(at):
@@ -270,7 +270,7 @@ def _entries(path: str, light: int, percent: int, ranges: int):
                         col.append(x)
             return pa.RecordBatch.from_arrays(
                 [pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])],
-                names=["part", "key", "salt", "sid", "n", "pos"])
+                names=["part", "key", "tag", "salt", "sid", "n", "pos"])
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 s = shingles(text)
@@ -300,7 +300,7 @@ def _priority(sid: np.ndarray) -> np.ndarray:
 
 def _lists(percent: int):
     """Pairs (key null; leader, sid) of short lists; leader and members of long ones."""
-    kinds = (np.uint32, np.uint16, np.int64, np.uint16, np.uint16)
+    kinds = (np.uint32, np.uint8, np.uint16, np.int64, np.uint16, np.uint16)
 
     def run(batches):
         held: dict[int, list] = {}
@@ -308,7 +308,8 @@ def _lists(percent: int):
             for p, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
                 held.setdefault(p, []).append([np.frombuffer(b, t) for b, t in zip(blobs, kinds)])
         for p in list(held):
-            key, salt, sid, n, pos = (np.concatenate(c) for c in zip(*held.pop(p)))
+            key, tag, salt, sid, n, pos = (np.concatenate(c) for c in zip(*held.pop(p)))
+            key = key.astype(np.int64) << 8 | tag
             order = np.lexsort((pos, sid, salt, key))
             key, salt, sid = key[order], salt[order], sid[order]
             n, pos = n[order].astype(np.int64), pos[order].astype(np.int64)
@@ -350,9 +351,8 @@ def _lists(percent: int):
                 keep = np.zeros(len(lists), bool)
                 keep[place] = True
                 first = np.repeat(at, sizes)
-                full = (np.int64(p) << 32 | key.astype(np.int64))
-                if (salt > 0).any():  # the parts of a key are one list again
-                    full = np.where(salt > 0, np.int64(1) << 62 | key.astype(np.int64), full)
+                # the parts of a salted key are one list again
+                full = np.where(salt > 0, np.int64(1) << 62 | key, np.int64(p) << 40 | key)
                 out.append((pa.array(full[keep]), sid[keep], n[keep], pos[keep], sid[first][keep]))
             if out:
                 yield pa.RecordBatch.from_arrays(
@@ -489,7 +489,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ranges = 2 * parallelism(spark)
     entries = df.select(text.alias("text")).mapInArrow(
         _entries(path, light, percent, ranges),
-        "part int, key binary, salt binary, sid binary, n binary, pos binary")
+        "part int, key binary, tag binary, salt binary, sid binary, n binary, pos binary")
     lists = cut(entries.repartition(parallelism(spark), "part").mapInArrow(
         _lists(percent), "key bigint, sid bigint, n bigint, pos bigint, leader bigint"), "shingle-lists")
 
@@ -567,13 +567,20 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             inside = open_.join(several.select("key"), "key")
             main = cut(inside.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
                        .groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main")), "shingle-main")
-            inside = cut(inside.join(main, "key"), "shingle-inside")
+            # a pair that several lists hold is taken from the first of them by the position of one side
+            inside = inside.join(main, "key")
+            mine = inside.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("pos", "key"))).alias("mine"))
+            inside = cut(inside.join(mine, "sid"), "shingle-inside")
+            here = F.struct("pos", "key")
+            before = F.transform(F.filter("mine", lambda x: (x < here) & (x["pos"] < LARGE)), lambda x: x["key"])
             out = inside.where("label <> main").select("key", F.col("sid").alias("a"), F.col("n").alias("an"),
-                                                       F.col("pos").alias("ap"), F.col("label").alias("al"))
+                                                       F.col("pos").alias("ap"), F.col("label").alias("al"),
+                                                       before.alias("before"))
+            inside = inside.select("key", "sid", "n", "pos", "label", "main", F.transform("mine", lambda x: x["key"]).alias("keys"))
             pairs = (inside.join(out, "key").where(
                 (F.col("label") != F.col("al")) & ((F.col("label") == F.col("main")) | (F.col("a") < F.col("sid")))
-                & overlapping(F.col("n"), F.col("pos"), F.col("an"), F.col("ap")))
-                .select("a", F.col("sid").alias("b")))
+                & overlapping(F.col("n"), F.col("pos"), F.col("an"), F.col("ap"))
+                & ~F.arrays_overlap("before", "keys")).select("a", F.col("sid").alias("b")))
         more = promising(ordered(pairs).join(near, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
