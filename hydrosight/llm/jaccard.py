@@ -57,7 +57,7 @@ WORDS = 5
 COUNTERS = 24  # bits
 PARTS = 256
 #: entries a task holds before it writes them out
-FLUSH = 400_000
+FLUSH = 100_000
 LIGHT_MOST = 64  # largest boundary that is considered
 SHORT = 32  # lists of up to so many sets are paired at once
 LARGE = 65535  # sizes and positions from here on are not told apart by the filters
@@ -285,7 +285,7 @@ def _entries(path: str, light: int, percent: int, ranges: int):
                     none = np.zeros(len(pairs), np.int64)
                     held.append((key, np.concatenate([cls, none]), np.concatenate([pos, none]), d, len(s)))
                     count += len(key)
-                if count >= FLUSH:
+                if count >= max(FLUSH, 512 * ranges):
                     yield flush()
                     held, count = [], 0
         if held:

@@ -33,7 +33,7 @@ import math
 from bisect import bisect_left
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,9 +76,10 @@ def features(text: bytes | None) -> tuple[float, ...]:
 
 def bins(text: Column) -> Column:
     """The bin of each feature, as an array in the order of ``BINS``."""
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [bisect_left(ends, v) for ends, v in zip(BINS.values(), features(t))])
-    return F.pandas_udf(run, "array<int>")(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+    def run(texts: pa.Array) -> pa.Array:
+        found = [[bisect_left(ends, v) for ends, v in zip(BINS.values(), features(t))] for t in texts.to_pylist()]
+        return pa.array(found, pa.list_(pa.int32()))
+    return F.arrow_udf(run, "array<int>")(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
 
 
 def _site(c: Column) -> Column:
