@@ -13,7 +13,7 @@ The score is the classifier's log odds with the path posterior as its prior.
 Features are counted over whole texts by array operations, all else is DataFrame
 expressions. The tables of bins are bounded
 by features x bins; the path posteriors are joined, which Spark broadcasts only under its own
-threshold and otherwise shuffles with skew splitting.
+threshold and otherwise shuffles with skew splitting. Labels are joined by shuffle.
 
 Defined cases
     null or empty text   all shares 0, the bins of an empty text
@@ -116,7 +116,9 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                           _site(F.col(path)).alias("path"), bins(F.col(text_col)).alias("bins")), "quality-bins")
     marked = labels.where(F.col(label_col).isNotNull()).select(
         doc.alias("id"), (F.col(label_col) == 1).cast("int").alias("label"))
-    train = small.where(~F.col("held_out")).join(marked, "id")
+    # labels grow with the corpus: never broadcast
+    train = cut(small.where(~F.col("held_out")).select("id", "bins").join(marked.hint("merge"), "id")
+                .select("label", "bins"), "quality-train")
     n = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = n.get(0, 0), n.get(1, 0)
     own = [c for c in df.columns if c not in ("score", "kept")]
