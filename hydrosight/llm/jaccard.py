@@ -56,6 +56,7 @@ from hydrosight.llm.components import components
 WORDS = 5
 COUNTERS = 24  # bits
 PARTS = 256
+FOLD = 512  # bits
 #: entries a task holds before it writes them out
 FLUSH = 100_000
 LIGHT_MOST = 64  # largest boundary that is considered
@@ -129,6 +130,12 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(s: np.ndarray) -> list[int]:
+    """The parities of ``FOLD`` bits as 64-bit numbers, for expressions."""
+    odd = np.bincount((s & np.uint64(FOLD - 1)).astype(np.int64), minlength=FOLD) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def may_link(x: bytes, m: int, y: bytes, n: int, percent: int) -> bool:
     """False only if the bitmaps show that sets of m and n are too different."""
     a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
@@ -154,13 +161,14 @@ def needed(n, percent: int):
 def _describe(batches):
     counts, seen = np.zeros(1 << COUNTERS, np.uint16), set()
     for batch in batches:
-        ns, sids, maps = [], [], []
+        ns, sids, maps, bits = [], [], [], []
         for text in batch.column(1).to_pylist():
             s = shingles(text)
             d = digest(s)
             ns.append(len(s))
             sids.append(d)
             maps.append(None if d in seen else bitmap(s))
+            bits.append(None if d in seen else folded(s))
             if d not in seen:
                 seen.add(d)
                 at = (s >> np.uint64(64 - COUNTERS)).astype(np.int64)
@@ -168,13 +176,14 @@ def _describe(batches):
         m = len(ns)
         yield pa.RecordBatch.from_arrays(
             [pa.array([0] * m, pa.int32()), batch.column(0), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()),
-             pa.array(maps, pa.binary())], names=["kind", "doc_id", "n", "sid", "map"])
+             pa.array(maps, pa.binary()), pa.array(bits, pa.list_(pa.int64()))],
+            names=["kind", "doc_id", "n", "sid", "map", "bits"])
     rows = [(i, zlib.compress(part.tobytes(), 1)) for i, part in enumerate(counts.reshape(PARTS, -1)) if part.any()]
     if rows:
         yield pa.RecordBatch.from_arrays(
             [pa.array([1] * len(rows), pa.int32()), pa.nulls(len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()),
-             pa.nulls(len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
-            names=["kind", "doc_id", "n", "sid", "map"])
+             pa.nulls(len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
+             pa.nulls(len(rows), pa.list_(pa.int64()))], names=["kind", "doc_id", "n", "sid", "map", "bits"])
 
 
 def _order(least: int):
@@ -471,9 +480,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bound_batches(spark)
     text = F.col(text_col).cast("string").cast("binary")
     described = cut(df.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
-                    .mapInArrow(_describe, "kind int, doc_id bigint, n bigint, sid bigint, map binary"), "shingle-sets", "kind")
+                    .mapInArrow(_describe, "kind int, doc_id bigint, n bigint, sid bigint, map binary, bits array<bigint>"), "shingle-sets", "kind")
     docs = described.where("kind = 0").select("doc_id", "n", "sid")
-    distinct = cut(described.where("kind = 0 and map is not null").select("sid", "n", "map").dropDuplicates(["sid"]),
+    distinct = cut(described.where("kind = 0 and map is not null").select("sid", "n", "map", "bits").dropDuplicates(["sid"]),
                    "shingle-distinct")
     total = distinct.agg(F.sum("n")).first()[0] or 0
     # shingles that stand out of what a counter holds by chance
@@ -535,7 +544,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         most = F.least(m - i, n - j)
         return (F.greatest(m, n) >= LARGE) | (allowed(m, n) & (most * (100 + percent) >= (m + n) * percent))
 
-    long = lists.where("key is not null").select("key", "sid", "n", "pos")
+    def alike(m, x, n, y):
+        """What the folded bitmaps allow, as an expression."""
+        differ = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(FOLD // 64)), F.lit(0))
+        return (F.greatest(m, n) >= LARGE) | ((m + n - differ) * (100 + percent) >= (m + n) * (2 * percent))
+
+    long = lists.where("key is not null").select("key", "sid", "n", "pos").join(
+        distinct.select("sid", "bits"), "sid")
     first = lists.where("key is not null and sid = leader").select("key", "leader", F.col("n").alias("m"),
                                                                    F.col("pos").alias("i"))
     stars = lists.where("key is not null and sid <> leader").join(first, ["key", "leader"]).where(
@@ -549,11 +564,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     labels = components(links)
     for last in (False, True):
         open_ = cut(long.join(labels.select(F.col("id").alias("sid"), "label"), "sid", "left").select(
-            "key", "sid", "n", "pos", F.coalesce("label", "sid").alias("label")), "shingle-open")
+            "key", "sid", "n", "pos", "bits", F.coalesce("label", "sid").alias("label")), "shingle-open")
         # a table of its own: AQE can split a long list in the joins below
         several = cut(open_.groupBy("key").agg(
             F.min("label").alias("lo"), F.max("label").alias("hi"),
-            *(F.min_by(F.struct("sid", "n", "pos", "label"), F.xxhash64("sid", F.lit(k))).alias(f"lead{k}") for k in range(LEADERS)))
+            *(F.min_by(F.struct("sid", "n", "pos", "bits", "label"), F.xxhash64("sid", F.lit(k))).alias(f"lead{k}") for k in range(LEADERS)))
             .where("lo <> hi").drop("lo", "hi"), "shingle-several")
         if several.isEmpty():
             break
@@ -561,7 +576,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             lead = several.select("key", F.explode(F.array(*(f"lead{k}" for k in range(LEADERS)))).alias("lead")).distinct()
             pairs = (open_.join(lead, "key").where((F.col("label") != F.col("lead.label"))
                                                        & overlapping(F.col("n"), F.col("pos"), F.col("lead.n"),
-                                                                     F.col("lead.pos")))
+                                                                     F.col("lead.pos"))
+                                                       & alike(F.col("n"), F.col("bits"), F.col("lead.n"), F.col("lead.bits")))
                      .select(F.col("lead.sid").alias("a"), F.col("sid").alias("b")))
         else:  # all that is left: members outside a list's largest component against the others
             inside = open_.join(several.select("key"), "key")
@@ -575,11 +591,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             before = F.transform(F.filter("mine", lambda x: (x < here) & (x["pos"] < LARGE)), lambda x: x["key"])
             out = inside.where("label <> main").select("key", F.col("sid").alias("a"), F.col("n").alias("an"),
                                                        F.col("pos").alias("ap"), F.col("label").alias("al"),
-                                                       before.alias("before"))
-            inside = inside.select("key", "sid", "n", "pos", "label", "main", F.transform("mine", lambda x: x["key"]).alias("keys"))
+                                                       F.col("bits").alias("abits"), before.alias("before"))
+            inside = inside.select("key", "sid", "n", "pos", "bits", "label", "main", F.transform("mine", lambda x: x["key"]).alias("keys"))
             pairs = (inside.join(out, "key").where(
                 (F.col("label") != F.col("al")) & ((F.col("label") == F.col("main")) | (F.col("a") < F.col("sid")))
                 & overlapping(F.col("n"), F.col("pos"), F.col("an"), F.col("ap"))
+                & alike(F.col("n"), F.col("bits"), F.col("an"), F.col("abits"))
                 & ~F.arrays_overlap("before", "keys")).select("a", F.col("sid").alias("b")))
         more = promising(ordered(pairs).join(near, ["a", "b"], "left_anti"))
         if more.isEmpty():

@@ -112,6 +112,9 @@ def test_bitmaps_never_drop_a_link(x, y, common):
     a, b = mix64(x), mix64(y)
     if 100 * len(x & y) >= 75 * len(x | y):
         assert jaccard.may_link(jaccard.bitmap(a), len(a), jaccard.bitmap(b), len(b), 75)
+        differ = sum((p ^ q).bit_count() if p ^ q >= 0 else ((p ^ q) + (1 << 64)).bit_count()
+                     for p, q in zip(jaccard.folded(a), jaccard.folded(b)))
+        assert (len(a) + len(b) - differ) * 175 >= (len(a) + len(b)) * 150
 
 
 @pytest.mark.parametrize("light", [2, 4, 7, 12, 30, 64])
