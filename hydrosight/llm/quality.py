@@ -10,8 +10,8 @@ each by a weight in documents (``strength``) that the spread between the groups
 of moments), so a site with few documents keeps to the prior above it.
 The score is the classifier's log odds with the path posterior as its prior.
 
-Features are counted over whole texts by array operations, all else is DataFrame
-expressions. The tables of bins are bounded
+Features are counted over whole texts by array operations, characters by their Unicode
+category and words in lower case, all else is DataFrame expressions. The tables of bins are bounded
 by features x bins; the path posteriors are joined, which Spark broadcasts only under its own
 threshold and otherwise shuffles with skew splitting. Labels are joined by shuffle.
 
@@ -30,7 +30,10 @@ Defined cases
 from __future__ import annotations
 
 import math
+import sys
+import unicodedata
 from bisect import bisect_left
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,21 +55,38 @@ BINS = {
 }
 
 
-_OTHER, _LOWER, _UPPER, _DIGIT, _BLANK, _POINT, _LEAD, _NEXT = range(8)
-#: what each byte of UTF-8 counts as; a character of several bytes counts as a letter
+_OTHER, _LOWER, _UPPER, _DIGIT, _NUMBER, _BLANK, _POINT, _WIDE = range(8)
+#: what each byte of ASCII counts as; the bytes of other characters are _WIDE
 _CLASS = np.full(256, _OTHER, np.uint8)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = _LOWER, _UPPER, _DIGIT
 _CLASS[[9, 10, 11, 12, 13, 32]] = _BLANK
 _CLASS[[ord(c) for c in ".,;:'\"()-"]] = _POINT
-_CLASS[128:192], _CLASS[192:] = _NEXT, _LEAD
+_CLASS[128:] = _WIDE
+
+
+@lru_cache(maxsize=1)
+def _code_points() -> np.ndarray:
+    """The class of each code point by its Unicode category: Lu a capital, other L a
+    letter, N a number (neither digit nor symbol), all else outside ASCII a symbol."""
+    kinds = {"Lu": _UPPER, "Ll": _LOWER, "Lt": _LOWER, "Lm": _LOWER, "Lo": _LOWER,
+             "Nd": _NUMBER, "Nl": _NUMBER, "No": _NUMBER}
+    out = np.fromiter((kinds.get(unicodedata.category(chr(i)), _OTHER) for i in range(sys.maxunicode + 1)),
+                      np.uint8, sys.maxunicode + 1)
+    out[:128] = _CLASS[:128]
+    return out
 
 
 def features(text: bytes | None) -> tuple[float, ...]:
     """The features of a whole text, in the order of ``BINS``."""
     text = text or b""
-    n = np.bincount(_CLASS[np.frombuffer(text, np.uint8)], minlength=8)
-    size = max(1, len(text) - int(n[_NEXT]))
-    letters = int(n[_LOWER] + n[_UPPER] + n[_LEAD])
+    n, size = np.bincount(_CLASS[np.frombuffer(text, np.uint8)], minlength=8), len(text)
+    if n[_WIDE]:
+        whole = text.decode("utf-8", "replace")
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        n, size = np.bincount(_code_points()[points], minlength=8), len(points)
+        text = whole.lower().encode()
+    size = max(1, size)
+    letters = int(n[_LOWER] + n[_UPPER])
     words = word_hashes(text)  # A-Z as a-z
     words.sort()
     distinct = int((words[1:] != words[:-1]).sum()) + 1 if len(words) else 0

@@ -1,10 +1,13 @@
 """Language, toxicity and quality: held-out accuracy, parts against brute force, edge rows."""
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from hydrosight.llm.langid import language_id
+from hydrosight.llm.common import WS
+from hydrosight.llm.quality import features as quality_features
 from hydrosight.llm.quality import quality
 from hydrosight.llm.toxicity import Matcher, features, toxicity
 
@@ -123,3 +126,34 @@ def test_quality_shrinks_sparse_sites(spark):
 def test_language_repeated_rows(docs, n):
     rows = [(1, "the cat and the dog", "en")] * (3 * n)
     assert language_id(docs(rows)).count() == 3 * n
+
+
+def test_quality_features_by_unicode_category(spark):
+    rng, old = random.Random(3), unicodedata.ucd_3_2_0
+    kinds = {}  # by category; characters whose category no version has changed
+    for i in range(0x110000):
+        c = chr(i)
+        if old.category(c) == unicodedata.category(c) not in ("Cs", "Cn"):
+            kinds.setdefault(unicodedata.category(c), []).append(c)
+    texts = ["★★★ ▓▒░ the♦♦♦ and●●●", "ПЛОХОЙ ТЕКСТ БЕЗ СЛОВ", "â€™ Ã© â€œ cafÃ©", "Éa éa ÉA \U0001f600 ½ Ⅷ ٣ ǅ", "", "ab C1 $",
+             "ГОД год\u00a0Год", "ΟΔΟΣ οδος", "e\u0301 漢字 𝐀𝐛"]
+    for _ in range(300):
+        picked = rng.sample(sorted(kinds), rng.randint(1, 5)) + ["Ll", "Zs"]
+        texts.append("".join(rng.choice([rng.choice(kinds[rng.choice(picked)]), rng.choice("aZ 7.$\t")])
+                             for _ in range(rng.randint(1, 80))))
+    # the expressions that the array form took the place of
+    t = F.col("text")
+    words = F.filter(F.split(F.lower(t), f"[{WS}]+"), lambda w: w != "")
+    n, size = F.size(words), F.greatest(F.length(t), F.lit(1))
+    letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))
+    want = [F.length(F.regexp_replace(t, rf"[\p{{L}}\p{{N}}{WS}.,;:'\"()\-]+", "")) / size,
+            F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")) / F.greatest(letters, F.lit(1)),
+            F.length(F.regexp_replace(t, r"[^0-9]+", "")) / size, letters / F.greatest(n, F.lit(1)), n.cast("double"),
+            F.size(F.array_distinct(words)) / F.pow(F.greatest(n, F.lit(1)), F.lit(0.8))]
+    for r in spark.createDataFrame([(x,) for x in texts], "text string").select("text", F.array(*want).alias("want")).collect():
+        assert quality_features(r.text.encode()) == pytest.approx(r.want), r.text
+    assert quality_features("★★★ ▓▒░".encode())[0] > 0.8 and quality_features("ПЛОХОЙ".encode())[1] == 1
+
+
+def test_quality_features_of_broken_utf8():
+    assert quality_features(b"ab\xff\xfe cd")[0] == pytest.approx(2 / 7)
