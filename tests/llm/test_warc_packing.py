@@ -114,6 +114,25 @@ def test_pack_round_trip(docs, real, reference):
     assert waste < 0.03 * volume
 
 
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\n" * 2_000_000, " \u00a0\n" * 700_000])
+def test_encoder_takes_long_runs_of_white_space(reference, run):
+    text = "a b" + run + "c 1"
+    assert np.array_equal(encoder(FILE)(text), reference(text))
+
+
+def test_encoder_takes_the_longest_runs_of_its_pattern(reference):
+    for n in (100_000, 100_001):
+        assert np.array_equal(encoder(FILE)("a" + " " * n + "b"), reference("a" + " " * n + "b"))
+
+
+def test_pack_takes_a_long_run_of_white_space(docs, reference):
+    text = "a" + " " * 2_000_000 + "b"
+    out = pack(docs([(1, text), (2, "c")]), FILE, with_ids=True).orderBy("doc_id", "start").collect()
+    ids = np.concatenate([np.frombuffer(r.ids, "<u4") for r in out if r.doc_id == 1])
+    assert np.array_equal(ids, reference(text) + [0])
+    assert [list(np.frombuffer(r.ids, "<u4")) for r in out if r.doc_id == 2] == [reference("c") + [0]]
+
+
 def test_pack_empty_and_clashing(docs):
     assert pack(docs([]), FILE).count() == 0
     df = docs([(1, "a b"), (2, "c")]).withColumn("units", F.lit(1)).withColumn("rank", F.lit("x"))
