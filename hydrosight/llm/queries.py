@@ -73,7 +73,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer or tokenizer_file(), size=1024)
+    return pack(table(spark, sf_dir, "documents"), tokenizer or tokenizer_file(), size=1024, special=True)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from hydrosight.llm.common import scratch
 from hydrosight.llm.packing import cuts, encoder, pack, plan
+from hydrosight.llm.queries import op8_packing
 from hydrosight.llm.warc import parse, read_warc, record, write_warc
 
 
@@ -125,6 +126,26 @@ def test_encoder_takes_the_longest_runs_of_its_pattern(reference):
         assert np.array_equal(encoder(FILE)("a" + " " * n + "b"), reference("a" + " " * n + "b"))
 
 
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", "<|endoftext", "<|endoftext|>" + " " * 150_000 + "b"]
+
+
+def test_special_tokens_equal_the_plain_tokenizers_call(docs):
+    t = Tokenizer.from_file(FILE)
+    want = [t.encode(x, add_special_tokens=False).ids for x in SPECIAL + TEXTS]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [list(encoder(FILE, special=True)(x)) for x in SPECIAL + TEXTS] == want
+    got = {}
+    for r in pack(docs(list(enumerate(SPECIAL))), FILE, with_ids=True, special=True).orderBy("start").collect():
+        got.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4"))
+    assert [got[i] for i in range(len(SPECIAL))] == [w + [0] for w in want[:len(SPECIAL)]]
+
+
+def test_op8_query_gives_special_tokens_their_ids(spark, docs, tmp_path):
+    docs([(1, "a <|endoftext|> b")]).write.parquet(str(tmp_path / "documents.parquet"))
+    (r,) = op8_packing(spark, str(tmp_path)).collect()
+    assert r.ids_crc32 == zlib.crc32(np.array([64, 220, 50256, 275, 0], "<u4").tobytes()) and r.doc_tokens == 5
+
+
 def test_pack_takes_a_long_run_of_white_space(docs, reference):
     text = "a" + " " * 2_000_000 + "b"
     out = pack(docs([(1, text), (2, "c")]), FILE, with_ids=True).orderBy("doc_id", "start").collect()
