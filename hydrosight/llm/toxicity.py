@@ -5,7 +5,8 @@
   far more often than others (``min_log_odds``) and in enough texts.
 * A trie of the lexicon is intersected with Levenshtein automata: a state is
   the set of (trie node, edits so far), made deterministic as words need it. Terms of at least
-  ``fuzzy_from`` letters may differ by one edit; stems take any ending.
+  ``fuzzy_from`` letters may differ by one edit; stems take any ending. Words are runs of letters;
+  one with digits or substitute signs inside (``idi0t``) is matched whole where none of its runs matches.
 * Each match is weighed by its place: inside quotation marks, on a line that quotes (``>``)
   or near a word of reporting it counts as quotation, else as abuse. Counts,
   shares and the densest window of abuse are the features of a
@@ -37,6 +38,9 @@ from pyspark.sql import functions as F
 from hydrosight.llm.common import bound_batches, cut, held_out
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: digits and the usual substitute signs inside a word, and a word that holds some
+_INNER = re.compile(r"(?<=[^\W\d_])[\d@*$!#+|_]++(?=[^\W\d_])")
+_DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[\d@*$!#+|_]++[^\W\d_]++)+")
 _QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“\n]{1,400}“|^>.*$", re.M)
 #: words near which a term is rather reported than used
 REPORTING = frozenset("said says saying called calls quote quoted quotes wrote writes word term phrase".split())
@@ -134,18 +138,31 @@ class Matcher:
         return out
 
 
+def _disguised(low: str, hits: dict[str, int], matcher: Matcher) -> dict[int, tuple[str, int]]:
+    """Words with digits or signs inside that match as a whole while no run of letters in
+    them does: by their start, with their edits."""
+    if not _INNER.search(low):
+        return {}
+    found = [m for m in _DISGUISED.finditer(low) if not any(w in hits for w in _WORD.findall(m.group()))]
+    edits = matcher.hits(m.group() for m in found)
+    return {m.start(): (m.group(), edits[m.group()]) for m in found if m.group() in edits}
+
+
 def features(text: str | None, matcher: Matcher, window: int) -> tuple[float, ...]:
     low = (text or "").lower()
     words = _WORD.findall(low)
     hits = matcher.hits(words)
-    if not hits:
+    disguised = _disguised(low, hits, matcher)
+    if not hits and not disguised:
         return (0.0,) * len(FEATURES)
     spans = [m.span() for m in _QUOTED.finditer(low)]
     exact = fuzzy = quoted = 0
     kinds, places, k = set(), [], 0
     near = [i for i, w in enumerate(words) if w in REPORTING]
     for i, m in enumerate(_WORD.finditer(low)):
-        e = hits.get(m.group())
+        word, e = m.group(), hits.get(m.group())
+        if e is None:
+            word, e = disguised.get(m.start(), (word, None))
         if e is None:
             continue
         while k < len(spans) and spans[k][1] <= m.start():
@@ -157,7 +174,7 @@ def features(text: str | None, matcher: Matcher, window: int) -> tuple[float, ..
             continue
         exact, fuzzy = exact + (e == 0), fuzzy + (e > 0)
         if e == 0:
-            kinds.add(m.group())
+            kinds.add(word)
         places.append(i)
     densest = max((np.searchsorted(places, p + window) - i for i, p in enumerate(places)), default=0)
     return (math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), math.log1p(len(kinds)),

@@ -1,4 +1,5 @@
 """Language, toxicity and quality: held-out accuracy, parts against brute force, edge rows."""
+import math
 import random
 import unicodedata
 
@@ -71,6 +72,21 @@ def test_context_separates_quotation():
     assert features(None, m, 50) == features("", m, 50) == (0.0,) * 6
 
 
+@pytest.mark.parametrize("word", ["idi0t", "id1ot", "i1diot", "st*pid", "stup!d", "m@ron", "mor0n", "stu_pid", "MOR0N"])
+def test_words_with_substitute_signs_match_within_an_edit(word):
+    m = Matcher(["idiot", "stupid", "moron"], [])
+    f = features(f"you are a {word}", m, 50)
+    assert f[0] == 0 and round(math.expm1(f[1])) == 1 and f[2] == 0
+    assert features(f'they said "{word}" then', m, 50)[2] > 0
+
+
+def test_substitute_signs_hide_no_whole_word():
+    m = Matcher(["idiot", "stupid"], ["lowei"])
+    assert features("idiot@home *stupid* idiot1", m, 50) == features("idiot home stupid idiot", m, 50)
+    assert features("m3n r2d2 a@b.org 1d10t i**d**t", m, 50) == (0.0,) * 6
+    assert features("a" * 300_000 + "1" * 300_000 + "b", m, 50) == (0.0,) * 6
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("aeiourstln") for _ in range(rng.randint(2, 7))) for _ in range(300)]
