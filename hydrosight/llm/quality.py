@@ -3,8 +3,9 @@
 Evidence of the text: shares of symbols, capitals and digits, word length,
 distinct words and repeats are cut into bins; from the labelled training rows a
 grouped count gives each bin's log likelihood ratio (naive Bayes). Evidence of
-the site: for each host, and each path in it, the mean of the documents'
-classifier probabilities (labels where there are any to learn from) over all documents.
+the site: for each host, and each path in it, the mean over all documents of the label
+(of the training fold's documents that have one) or else the classifier's probability. ``documents``
+has no URL: the columns ``source`` and ``lang`` stand for host and path.
 Host means shrink to the global rate and path means to their host's posterior,
 each by a weight in documents (``strength``) that the spread between the groups sets (method
 of moments), so a site with few documents keeps to the prior above it.
@@ -135,18 +136,20 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     small = cut(df.select(doc.alias("id"), fold.alias("held_out"), _site(F.col(host)).alias("host"),
                           _site(F.col(path)).alias("path"), bins(F.col(text_col)).alias("bins")), "quality-bins")
     marked = labels.where(F.col(label_col).isNotNull()).select(
-        doc.alias("id"), (F.col(label_col) == 1).cast("int").alias("label"))
+        doc.alias("id"), (F.col(label_col) == 1).cast("int").alias("label")).groupBy("id").agg(
+        F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))
     # labels grow with the corpus: never broadcast
-    train = cut(small.where(~F.col("held_out")).select("id", "bins").join(marked.hint("merge"), "id")
-                .select("label", "bins"), "quality-train")
-    n = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bad, good = n.get(0, 0), n.get(1, 0)
+    train = cut(small.where(~F.col("held_out")).select("id", "host", "path", "bins").join(marked.hint("merge"), "id")
+                .select("host", "path", "good", "n", "bins"), "quality-train")
+    r = train.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
+    good = r["good"] or 0
+    bad = (r["n"] or 0) - good
     own = [c for c in df.columns if c not in ("score", "kept")]
     if not (bad and good):
         return df.select(*own, F.lit(0.5).alias("score"), F.lit(True).alias("kept"))
     counts = {(r["feature"], r["bin"]): (r["good"], r["n"]) for r in
-              train.select("label", F.posexplode("bins").alias("feature", "bin"))
-              .groupBy("feature", "bin").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()}
+              train.select("good", "n", F.posexplode("bins").alias("feature", "bin"))
+              .groupBy("feature", "bin").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect()}
     ratios = []  # by feature: the log likelihood ratio of each bin
     for f, ends in enumerate(BINS.values()):
         k, row = len(ends) + 1, []
@@ -163,8 +166,11 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rate = good / (good + bad)
     prior = math.log(rate) - math.log(1 - rate)
-    soft = small.select("host", "path", sigmoid(evidence(F.col("bins")) + F.lit(prior)).alias("p"))
-    paths = cut(soft.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("total")),
+    p = sigmoid(evidence(F.col("bins")) + F.lit(prior))
+    # a labelled training row puts its label (the mean of several) in the place of its probability
+    soft = small.select("host", "path", F.lit(1).alias("one"), p.alias("p")).unionAll(
+        train.select("host", "path", F.lit(0).alias("one"), (F.col("good") / F.col("n") - p).alias("p")))
+    paths = cut(soft.groupBy("host", "path").agg(F.sum("one").alias("n"), F.greatest(F.sum("p"), F.lit(0.0)).alias("total")),
                 "quality-paths")
     hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "quality-hosts")
     rate = hosts.agg(F.sum("total") / F.sum("n")).first()[0]

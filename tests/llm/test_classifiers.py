@@ -173,3 +173,13 @@ def test_quality_features_by_unicode_category(spark):
 
 def test_quality_features_of_broken_utf8():
     assert quality_features(b"ab\xff\xfe cd")[0] == pytest.approx(2 / 7)
+
+
+def test_quality_sites_learn_from_labels(spark):
+    # one text everywhere: only the labels of a site tell it from another
+    rows = [(i, "the quiet words of a plain text", "en", f"h{i % 2}") for i in range(400)]
+    labels = [(i, 1 - i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    lab = spark.createDataFrame(labels + labels[:100], "doc_id bigint, quality int")
+    low, high = (quality(df, lab).where(F.col("source") == h).agg(F.avg("score")).first()[0] for h in ("h1", "h0"))
+    assert low < 0.3 and high > 0.7
