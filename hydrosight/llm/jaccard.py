@@ -224,7 +224,7 @@ def _keys(s: np.ndarray, frequent: np.ndarray, light: int, percent: int):
     """A set's lists: shingles with their class and position in the order, then
     subsets of two (class and position 0)."""
     n, none = len(s), np.zeros(0, np.uint64)
-    if n <= 2:  # linked with equal sets only
+    if n <= (2 if percent > 66 else 1):  # linked with equal sets only
         return none, none.astype(np.uint8), none.astype(np.int64), none
     o = needed(n, percent)
     cls = frequent[(s >> np.uint64(64 - COUNTERS)).astype(np.int64)]
@@ -475,7 +475,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
                        filter_mb: int = 64) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+    """One row per document: doc_id, n_shingles, component_id. ``percent`` from 51 to 100:
+    linked sets of two shingles and more then share two, a set of one equals its partner."""
+    if not 50 < percent <= 100:
+        raise ValueError(f"percent must be 51 to 100, not {percent}")
     spark = df.sparkSession
     bound_batches(spark)
     text = F.col(text_col).cast("string").cast("binary")

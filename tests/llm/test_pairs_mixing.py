@@ -97,6 +97,21 @@ def test_jaccard_brute_force(docs, seed, short, salted, monkeypatch):
     assert got == brute_jaccard(rows)
 
 
+@pytest.mark.parametrize("percent", [51, 60, 66, 67])
+def test_jaccard_brute_force_of_small_sets(docs, percent):
+    rows = [(i, " ".join("abcdefghijkl"[a:a + n])) for i, (a, n) in
+            enumerate((a, n) for n in (3, 5, 6, 7, 8, 9) for a in (0, 1, 3))]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in
+                  jaccard.jaccard_components(docs(rows), percent=percent).collect()), key=str)
+    assert got == brute_jaccard(rows, percent)
+
+
+@pytest.mark.parametrize("percent", [0, 50, 101])
+def test_jaccard_refuses_percents_that_it_is_not_exact_at(docs, percent):
+    with pytest.raises(ValueError):
+        jaccard.jaccard_components(docs([(1, "a b")]), percent=percent)
+
+
 def test_jaccard_empty_and_clashing(docs):
     assert jaccard.jaccard_components(docs([])).count() == 0
     df = docs([(2, "a b c d e f"), (1, "A b c d e f")]).withColumn("sid", F.lit(1)).withColumn("n", F.lit("n"))
