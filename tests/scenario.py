@@ -1,6 +1,6 @@
 """A small hand-made scenario with hand-computed expectations."""
 
-from conftest import bill, person, read
+from rows import bill, person, read
 
 C = 0.7480519
 

@@ -1,5 +1,5 @@
 import pytest
-from conftest import bill
+from rows import bill
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import read
+from rows import read
 from pyspark.sql import functions as F
 
 from hydrosight.operators import intervals as I

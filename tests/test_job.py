@@ -8,7 +8,7 @@ from hydrosight.sources.testdata import Sources
 
 @pytest.fixture(scope="module")
 def job(spark):
-    from conftest import BILL_SCHEMA, PERSON_SCHEMA, RAW_READ_SCHEMA
+    from rows import BILL_SCHEMA, PERSON_SCHEMA, RAW_READ_SCHEMA
     src = Sources(bills=spark.createDataFrame(S.BILLS, BILL_SCHEMA),
                   person=spark.createDataFrame(S.PEOPLE, PERSON_SCHEMA),
                   reads=spark.createDataFrame(S.READS, RAW_READ_SCHEMA))
