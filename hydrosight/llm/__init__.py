@@ -1,6 +1,6 @@
 """Operators for preparing large text corpora.
 
-Ten operators, one module each, all on Spark DataFrames; ``queries`` holds
+Thirteen operators, one module each, all on Spark DataFrames; ``queries`` holds
 the thin registered queries. Nothing else in the library imports this
 subpackage.
 """

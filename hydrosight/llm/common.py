@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,19 @@ def bound_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, rows)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, megabytes: int = 16):
+    """Bounds the bytes that a task hands to Python at once, for jobs started inside;
+    the session's own value comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(megabytes << 20))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all that the operators of this session wrote in the shared folder;
     results that still read it cannot be read afterwards."""

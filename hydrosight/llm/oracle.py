@@ -140,4 +140,92 @@ SELECT e.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id =
 FROM embeddings e JOIN c ON e.vec_id = c.a LEFT JOIN k ON e.vec_id = k.a
 """
 
-ORACLE_SQL = {"op10_embeddings": OP10, "op5_jaccard": OP5, "op2_mixing": OP2, "op3_warc": OP3, "op7_line_dedup": OP7, "op9_exact_dedup": OP9}
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+w AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, k.term, count(w.r) AS c FROM g JOIN kept k ON g.lang = k.lang
+      LEFT JOIN w ON w.lang = g.lang AND w.source = g.source AND w.term = k.term GROUP BY ALL),
+p AS (SELECT lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER s + 5 * count(*) OVER s)::HUGEINT AS p
+      FROM c WINDOW s AS (PARTITION BY lang, source)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER s + 5 * count(*) OVER s)::HUGEINT AS q
+      FROM kept WINDOW s AS (PARTITION BY lang)),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source),
+term AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p.p - q.q)::BIGINT AS value
+  FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.c > 0 AND p.p > q.q),
+both_parts AS (SELECT * FROM pair UNION ALL SELECT * FROM term)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM both_parts QUALIFY part = 'pair' OR rank <= 50
+"""
+
+OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         {'A': len(ws) < 200, 'B': 100 * len(list_distinct(ws)) < 50 * len(ws),
+          'C': 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t),
+          'D': regexp_matches(t, '[#$%&*|]'), 'E': first < d.doc_id} AS fails
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || e.x || g.x AS filter_order FROM letters a, letters b, letters c, letters e, letters g
+  WHERE len(list_distinct([a.x, b.x, c.x, e.x, g.x])) = 5),
+m AS (
+  SELECT part, good, toxic, (CASE WHEN fails['A'] THEN 'A' ELSE '' END) || (CASE WHEN fails['B'] THEN 'B' ELSE '' END)
+         || (CASE WHEN fails['C'] THEN 'C' ELSE '' END) || (CASE WHEN fails['D'] THEN 'D' ELSE '' END)
+         || (CASE WHEN fails['E'] THEN 'E' ELSE '' END) AS failed, count(*) AS n FROM f GROUP BY ALL),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+r AS (
+  SELECT m.part, s.filter_order, s.step, s.filter_order[s.step] AS x,
+         sum(CASE WHEN translate(failed, filter_order[1:step], '') = failed THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN contains(failed, filter_order[step]) AND translate(failed, left(filter_order, step - 1), '') = failed
+             THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN contains(failed, filter_order[step]) AND translate(failed, left(filter_order, step - 1), '') <> failed
+             THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN failed = filter_order[step] THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN contains(failed, filter_order[step]) AND translate(failed, left(filter_order, step - 1), '') = failed
+             THEN n * good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN contains(failed, filter_order[step]) AND translate(failed, left(filter_order, step - 1), '') = failed
+             THEN n * toxic ELSE 0 END) AS toxic_lost
+  FROM m, s GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+FROM r
+"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, sha256(list_aggregate(ws[i:i + 49], 'string_agg', ' ')) AS h
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
+first AS (SELECT h, min(doc_id) AS lo FROM win GROUP BY h),
+dup AS (SELECT w.doc_id, w.i FROM win w JOIN first f ON w.h = f.h WHERE f.lo < w.doc_id),
+pos AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
+marked AS (
+  SELECT p.doc_id, p.i, p.word, coalesce(p.i - max(dup.i) OVER (PARTITION BY p.doc_id ORDER BY p.i
+           ROWS UNBOUNDED PRECEDING) < 50, false) AS gone
+  FROM pos p LEFT JOIN dup ON p.doc_id = dup.doc_id AND p.i = dup.i),
+kept AS (SELECT doc_id, sum(gone::INT) AS n_removed,
+         string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS t FROM marked GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+ORACLE_SQL = {"op2_mixing": OP2, "op3_warc": OP3, "op5_jaccard": OP5, "op7_line_dedup": OP7, "op9_exact_dedup": OP9,
+              "op10_embeddings": OP10, "op11_source_audit": OP11, "op12_filter_audit": OP12,
+              "op13_substring_dedup": OP13}

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from hydrosight.llm.common import held_out, scratch, table
 from hydrosight.llm.embed_join import near_duplicates
 from hydrosight.llm.exact_dedup import exact_dedup
+from hydrosight.llm.filter_audit import filter_audit
 from hydrosight.llm.jaccard import jaccard_components
 from hydrosight.llm.langid import language_id
 from hydrosight.llm.line_dedup import line_dedup
 from hydrosight.llm.mixing import mix
 from hydrosight.llm.packing import pack
 from hydrosight.llm.quality import quality
+from hydrosight.llm.source_audit import source_audit
+from hydrosight.llm.substring_dedup import substring_dedup
 from hydrosight.llm.toxicity import toxicity
 from hydrosight.llm.warc import read_warc, write_warc
 
@@ -84,4 +87,18 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_warc, op4_language_id, op5_jaccard, op6_quality, op7_line_dedup, op8_packing, op9_exact_dedup, op10_embeddings)}
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit(table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), span=50).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_mixing, op3_warc, op4_language_id, op5_jaccard, op6_quality, op7_line_dedup, op8_packing,
+    op9_exact_dedup, op10_embeddings, op11_source_audit, op12_filter_audit, op13_substring_dedup)}
