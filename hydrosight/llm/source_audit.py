@@ -85,37 +85,51 @@ class Block:
         self.long += sum(len(t) for t in distinct if len(t) > 100)
 
     def runs(self, shards: int):
-        """Chunks (shard, first term, groups, group of each posting, terms, counts, documents)."""
-        parts: list[list] = [[] for _ in range(shards)]
+        """Chunks of the runs, one run a shard, each sorted by term: (shard, terms, postings of each
+        term, names of the chunk's groups, group, count and documents of each posting)."""
         names = list(self.groups)
-        for g, name in enumerate(names):
-            count, docs = self.groups[name]
-            for t, d in docs.items():
-                parts[xxhash.xxh3_64_intdigest(t) % shards].append((t, name[0], name[1], count.get(t, 0), d))
-        for shard, postings in enumerate(parts):
-            postings.sort()
-            for a in range(0, len(postings), CHUNK):
-                yield shard, postings[a:a + CHUNK]
-
-
-_CHUNKS = ("shard int, first binary, langs array<string>, sources array<string>, groups array<int>, "
-           "terms array<binary>, counts array<bigint>, docs array<bigint>")
+        vocabulary = sorted(set().union(*(docs for _, docs in self.groups.values())))
+        rank = {t: i for i, t in enumerate(vocabulary)}
+        shard_of = np.fromiter((xxhash.xxh3_64_intdigest(t) % shards for t in vocabulary), np.int64, len(vocabulary))
+        parts = []
+        for g, (count, docs) in enumerate(self.groups.values()):
+            n = len(docs)
+            parts.append((np.fromiter(map(rank.__getitem__, docs), np.int64, n), np.full(n, g),
+                          np.fromiter(map(count.__getitem__, docs), np.int64, n),
+                          np.fromiter(docs.values(), np.int64, n)))
+        term, group, count, docs = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((group, term, shard_of[term]))
+        term, group, count, docs = (x[order] for x in (term, group, count, docs))
+        begins = np.flatnonzero(np.diff(term, prepend=-1))  # a term's postings stay in one chunk
+        shard = shard_of[term[begins]]
+        sizes = np.diff(begins, append=len(term))
+        a = 0
+        while a < len(begins):
+            z = int(np.searchsorted(begins, begins[a] + CHUNK, "right"))
+            z = max(a + 1, min(z - 1 if z < len(begins) else z, int(np.searchsorted(shard, shard[a], "right"))))
+            i, j = begins[a], begins[z - 1] + sizes[z - 1]
+            used, local = np.unique(group[i:j], return_inverse=True)
+            yield (int(shard[a]), [vocabulary[t] for t in term[begins[a:z]].tolist()], sizes[a:z],
+                   [names[g] for g in used.tolist()], local, count[i:j], docs[i:j])
+            a = z
+
+
+_CHUNKS = ("shard int, first binary, terms array<binary>, sizes array<int>, langs array<string>, "
+           "sources array<string>, groups array<int>, counts array<bigint>, docs array<bigint>")
 
 
 def _chunk_rows(chunks):
-    rows = []
-    for shard, postings in chunks:
-        names = {}
-        at = [names.setdefault((lang, source), len(names)) for _, lang, source, _, _ in postings]
-        rows.append((shard, postings[0][0], [n[0] for n in names], [n[1] for n in names], at,
-                     [p[0] for p in postings], [p[3] for p in postings], [p[4] for p in postings]))
-    cols = list(zip(*rows))
+    shard, terms, sizes, names, groups, counts, docs = zip(*chunks)
+
+    def lists(values, dtype):
+        ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).astype(dtype)))
     return pa.RecordBatch.from_arrays(
-        [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.list_(pa.string())),
-         pa.array(cols[3], pa.list_(pa.string())), pa.array(cols[4], pa.list_(pa.int32())),
-         pa.array(cols[5], pa.list_(pa.binary())), pa.array(cols[6], pa.list_(pa.int64())),
-         pa.array(cols[7], pa.list_(pa.int64()))],
-        names=["shard", "first", "langs", "sources", "groups", "terms", "counts", "docs"])
+        [pa.array(shard, pa.int32()), pa.array([t[0] for t in terms], pa.binary()), pa.array(terms, pa.list_(pa.binary())),
+         lists(sizes, np.int32), pa.array([[x[0] for x in n] for n in names], pa.list_(pa.string())),
+         pa.array([[x[1] for x in n] for n in names], pa.list_(pa.string())), lists(groups, np.int32),
+         lists(counts, np.int64), lists(docs, np.int64)],
+        names=["shard", "first", "terms", "sizes", "langs", "sources", "groups", "counts", "docs"])
 
 
 def _index(shards: int, max_postings: int):
@@ -142,31 +156,82 @@ def _index(shards: int, max_postings: int):
     return run
 
 
-def _postings(chunk):
-    names = list(zip(chunk["langs"], chunk["sources"]))
-    for t, g, n, d in zip(chunk["terms"], chunk["groups"], chunk["counts"], chunk["docs"]):
-        yield t, names[g][0], names[g][1], n, d
+class Names:
+    """Numbers for the groups and languages that a task has met."""
+
+    def __init__(self):
+        self.known: dict[tuple[str, str], int] = {}
+        self.langs: list[str] = []
+        self.sources: list[str] = []
+        self.lang_known: dict[str, int] = {}
+        self.lang_of = np.empty(0, np.int64)
+
+    def numbers(self, langs: list[str], sources: list[str]) -> np.ndarray:
+        for lang, source in zip(langs, sources):
+            if (lang, source) not in self.known:
+                self.known[lang, source] = len(self.known)
+                self.langs.append(lang)
+                self.sources.append(source)
+                self.lang_known.setdefault(lang, len(self.lang_known))
+        if len(self.lang_of) < len(self.langs):
+            new = [self.lang_known[x] for x in self.langs[len(self.lang_of):]]
+            self.lang_of = np.concatenate([self.lang_of, new]).astype(np.int64)
+        return np.array([self.known[k] for k in zip(langs, sources)], np.int64)
+
+
+class Chunk:
+    """Part of a run: terms in order, the end of each one's postings, and its documents in all."""
+
+    def __init__(self, shard, terms, sizes, groups, counts, docs):
+        self.shard, self.terms, self.groups, self.counts, self.docs = shard, terms, groups, counts, docs
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        self.ends, self.held = ends.tolist(), np.add.reduceat(docs, ends[:-1]).tolist()
+
+    def postings(self, at: int):
+        i, j = self.ends[at], self.ends[at + 1]
+        return self.groups[i:j], self.counts[i:j], self.docs[i:j]
+
+
+def chunks_of(batches, names: Names):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            shard, terms, langs, sources = (batch.column(c)[i].as_py() for c in (0, 2, 4, 5))
+            sizes, groups, counts, docs = (batch.column(c)[i].values.to_numpy() for c in (3, 6, 7, 8))
+            # copies, so that an open chunk does not hold its batch
+            yield Chunk(shard, terms, sizes, names.numbers(langs, sources)[groups], counts.copy(), docs.copy())
 
 
 def merged(chunks):
-    """Postings of sorted runs in one order. ``chunks`` come by (shard, first term): a chunk enters
-    the heap when the smallest posting there has reached its first term."""
+    """(term, documents in all, [(chunk, place) of each run]) of sorted runs, in order. ``chunks`` come
+    by (shard, first term): one enters the heap when the smallest term there has reached its first."""
     heap: list[tuple] = []
     waiting = next(chunks, None)
     order = 0
     while heap or waiting is not None:
-        while waiting is not None and (not heap or (waiting["shard"], waiting["first"]) <= heap[0][0][:2]):
-            rest = _postings(waiting)
-            heapq.heappush(heap, ((waiting["shard"], *next(rest)), order, rest))
+        while waiting is not None and (not heap or (waiting.shard, waiting.terms[0]) <= heap[0][:2]):
+            heapq.heappush(heap, (waiting.shard, waiting.terms[0], order, 0, waiting))
             order += 1
             waiting = next(chunks, None)
-        posting, n, rest = heap[0]
-        yield posting[1:]
-        following = next(rest, None)
-        if following is None:
-            heapq.heappop(heap)
-        else:
-            heapq.heapreplace(heap, ((posting[0], *following), n, rest))
+        shard, term = heap[0][:2]
+        found, held = [], 0
+        while heap and heap[0][1] == term and heap[0][0] == shard:
+            _, _, n, at, chunk = heap[0]
+            found.append((chunk, at))
+            held += chunk.held[at]
+            if at + 1 < len(chunk.terms):
+                heapq.heapreplace(heap, (shard, chunk.terms[at + 1], n, at + 1, chunk))
+            else:
+                heapq.heappop(heap)
+        yield term, held, found
+
+
+def added(found):
+    """(groups, counts, documents) of one term, the postings that runs have of a group as one."""
+    groups, counts, docs = (np.concatenate(x) for x in zip(*(chunk.postings(at) for chunk, at in found)))
+    order = np.argsort(groups, kind="stable")
+    groups = groups[order]
+    begins = np.flatnonzero(np.diff(groups, prepend=-1))
+    return groups[begins], np.add.reduceat(counts[order], begins), np.add.reduceat(docs[order], begins)
 
 
 _MERGED = "lang string, source string, term binary, n bigint, n_lang bigint"
@@ -175,51 +240,46 @@ _MERGED = "lang string, source string, term binary, n bigint, n_lang bigint"
 def _merge(min_docs: int):
     """Sorted chunks -> frequencies of kept terms by group (source) and language (source null); the
     empty term stands for the group itself."""
-    def rows(chunks):
-        key, sources = None, []
-
-        def finished():
-            term, lang = key
-            everywhere = sum(s[1] for s in sources)
-            if term == b"":
-                return [(lang, s[0], term, 0, 0) for s in sources]
-            if sum(s[2] for s in sources) < min_docs:
-                return []
-            return [(lang, None, term, everywhere, everywhere)] + [
-                (lang, s[0], term, s[1], everywhere) for s in sources]
-        for term, lang, source, n, docs in merged(chunks):
-            if (term, lang) != key:
-                if key is not None:
-                    yield from finished()
-                key, sources = (term, lang), []
-            if sources and sources[-1][0] == source:
-                sources[-1][1] += n
-                sources[-1][2] += docs
-            else:
-                sources.append([source, n, docs])
-        if key is not None:
-            yield from finished()
-
     def run(batches):
-        chunks = (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows))
-        held = []
-        for row in rows(chunks):
-            held.append(row)
-            if len(held) >= 50_000:
-                yield _merged_rows(held)
-                held = []
+        names = Names()
+        held: list[tuple] = []  # (term, groups, counts, count in the language), a language at a time
+        rows = 0
+
+        def flush():
+            sizes = [len(h[1]) for h in held]
+            groups, counts = (np.concatenate([h[i] for h in held]) for i in (1, 2))
+            langs, sources = pa.array(names.langs, pa.string()), pa.array(names.sources, pa.string())
+            at = np.repeat(np.arange(len(held)), sizes)
+            everywhere = np.array([h[3] for h in held], np.int64)
+            # the language's own row where the term is one
+            own = np.array([i for i, h in enumerate(held) if h[0]], np.int64)
+            own_lang = np.array([h[1][0] for h in held if h[0]], np.int64)
+            terms = pa.array([h[0] for h in held], pa.binary())
+            return pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([langs.take(pa.array(groups)), langs.take(pa.array(own_lang))]),
+                 pa.concat_arrays([sources.take(pa.array(groups)), pa.nulls(len(own), pa.string())]),
+                 pa.concat_arrays([terms.take(pa.array(at)), terms.take(pa.array(own))]),
+                 pa.array(np.concatenate([counts, everywhere[own]])),
+                 pa.array(np.concatenate([everywhere[at], everywhere[own]]))],
+                names=["lang", "source", "term", "n", "n_lang"])
+        for term, everywhere, found in merged(chunks_of(batches, names)):
+            if term and everywhere < min_docs:  # in all languages together
+                continue
+            groups, counts, docs = added(found)
+            langs = names.lang_of[groups]
+            for lang in np.unique(langs).tolist():
+                mine = langs == lang
+                if not term or docs[mine].sum() >= min_docs:
+                    held.append((term, groups[mine], counts[mine], int(counts[mine].sum())))
+                    rows += int(mine.sum()) + 1
+            if rows >= 100_000:
+                yield flush()
+                held, rows = [], 0
         if held:
-            yield _merged_rows(held)
+            yield flush()
     return run
 
 
-def _merged_rows(rows):
-    cols = list(zip(*rows))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary()),
-         pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["lang", "source", "term", "n", "n_lang"])
-
-
 def frequency(n: Column, total: Column, v: Column) -> Column:
     """1 + floor(10^9 (n + 5) / (total + 5 v)) in whole numbers: three steps of a thousand, so
     nothing overflows while total + 5 v is under 9 * 10^15."""
@@ -275,7 +335,7 @@ def source_audit(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """lang, source, part, item, value, rank: part ``pair`` has the distance of every other source of
     the language, part ``term`` the ``top`` terms that the source uses more than its language does."""
     spark = df.sparkSession
-    shards = shards or 4 * parallelism(spark)
+    shards = shards or parallelism(spark)
 
     def known(c):
         return F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -284,7 +344,7 @@ def source_audit(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     with small_batches(spark):
         runs = cut(rows.mapInArrow(_index(shards, max_postings), _CHUNKS), "audit-runs")
     with small_batches(spark, 4):
-        postings = cut(runs.repartition(parallelism(spark), "shard").sortWithinPartitions("shard", "first")
+        postings = cut(runs.repartitionById(shards, "shard").sortWithinPartitions("shard", "first")
                        .mapInArrow(_merge(min_docs), _MERGED), "audit-postings")
     langs = postings.where("source is null").groupBy("lang").agg(F.sum("n").alias("lang_total"),
                                                                  F.count(F.lit(1)).alias("v"))

@@ -66,19 +66,32 @@ def test_sources_do_not_depend_on_blocks(docs, monkeypatch):
     assert got_sources(docs(rows), min_docs=2, max_postings=5, shards=3) == brute_sources(rows, 2, 50)
 
 
-def test_merge_of_runs_holds_begun_chunks_only():
-    rng = random.Random(1)
-    runs, want = [], []
-    for _ in range(9):
-        run = sorted((rng.choice("abcdefgh").encode() * rng.randint(1, 3), "l", rng.choice("xyz"), 1, 1) for _ in range(40))
-        want += run
-        for a in range(0, 40, 7):
-            part = run[a:a + 7]
-            runs.append({"shard": 0, "first": part[0][0], "langs": ["l"] * 3, "sources": ["x", "y", "z"],
-                         "groups": ["xyz".index(p[2]) for p in part], "terms": [p[0] for p in part],
-                         "counts": [p[3] for p in part], "docs": [p[4] for p in part]})
-    runs.sort(key=lambda c: c["first"])
-    assert list(SA.merged(iter(runs))) == sorted(want)
+def test_merge_of_runs(monkeypatch):
+    """Blocks of a few documents, in chunks of a few postings, add up to one count of all."""
+    monkeypatch.setattr(SA, "CHUNK", 4)
+    rows = source_rows(seed=8, n=80)
+    names, chunks, want = SA.Names(), [], Counter()
+    block = SA.Block()
+    for i, (_, t, lang, src) in enumerate(rows):
+        block.add(lang or "", src or "", (t or "").encode())
+        for term in [*SA.terms_of((t or "").encode())]:
+            want[term, lang or "", src or ""] += 1
+        if i % 9 == 8 or i == len(rows) - 1:
+            held = list(block.runs(5))
+            assert all(c[1] == sorted(c[1]) for c in held)
+            chunks += list(SA.chunks_of([SA._chunk_rows(held)], names))
+            block = SA.Block()
+    chunks.sort(key=lambda c: (c.shard, c.terms[0]))
+    got = Counter()
+    terms = []
+    for term, held, found in SA.merged(iter(chunks)):
+        terms.append(term)
+        groups, counts, docs = SA.added(found)
+        assert len(set(groups.tolist())) == len(groups) and docs.min() > 0 and docs.sum() == held
+        for g, n in zip(groups.tolist(), counts.tolist()):
+            got[term, names.langs[g], names.sources[g]] += n
+    assert len(terms) == len(set(terms))
+    assert +got == +want
 
 
 def test_frequency_is_exact_for_large_counts(spark):
