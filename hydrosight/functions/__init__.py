@@ -2,26 +2,26 @@
 
 from hydrosight.functions.columns import (
     WHITESPACE,
-    bad_double,
-    bad_ts,
     days_between,
     parse_double,
     parse_ts,
     report,
     round_half_even,
     strip_ws,
+    try_double,
+    try_ts,
     whole_seconds,
 )
 
 __all__ = [
     "WHITESPACE",
-    "bad_double",
-    "bad_ts",
     "days_between",
     "parse_double",
     "parse_ts",
     "report",
     "round_half_even",
     "strip_ws",
+    "try_double",
+    "try_ts",
     "whole_seconds",
 ]

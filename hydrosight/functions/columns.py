@@ -3,7 +3,7 @@ inside whole-stage codegen; none is a Python UDF."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The Unicode White_Space characters (U+0009..U+000D, U+0020,
@@ -37,13 +37,6 @@ def days_between(end, begin, seconds_per_day: float) -> Column:
     return whole_seconds(end, begin) / F.lit(seconds_per_day)
 
 
-def _ansi() -> bool:
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return True
-    return str(spark.conf.get("spark.sql.ansi.enabled", "true")).lower() == "true"
-
-
 def _fail(raw: Column, what: str, dtype: str) -> Column:
     return F.raise_error(F.concat(F.lit(f"unparseable {what}: "), raw.cast("string"))).cast(dtype)
 
@@ -55,37 +48,31 @@ ISO_TEXT = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?$"
 NUMBER_TEXT = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$|^[+-]?([nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
 
 
-def bad_ts(c, fmt: str | None = None) -> Column:
-    """True for non-null text that ``parse_ts`` refuses."""
+def try_ts(c, fmt: str | None = None) -> Column:
+    """Text -> TIMESTAMP_NTZ, null where it is no such text. ``fmt=None`` reads ``ISO_TEXT``
+    through Spark's cast; a pattern goes to ``to_timestamp_ntz`` (which raises by itself under ANSI)."""
     raw = _c(c)
     if fmt is None:
-        return raw.isNotNull() & ~(raw.rlike(ISO_TEXT) & raw.try_cast("timestamp_ntz").isNotNull())
-    if _ansi():
-        return F.to_timestamp_ntz(raw, F.lit(fmt)).isNull() & raw.isNotNull()  # raises by itself
-    return raw.isNotNull() & F.to_timestamp_ntz(raw, F.lit(fmt)).isNull()
+        return F.when(raw.rlike(ISO_TEXT), raw.try_cast("timestamp_ntz"))
+    return F.to_timestamp_ntz(raw, F.lit(fmt))
 
 
 def parse_ts(c, fmt: str | None = None, what: str = "timestamp") -> Column:
-    """Text -> TIMESTAMP_NTZ, strict: unparseable non-null text fails the job,
-    under ANSI and without it. ``fmt=None`` reads ``ISO_TEXT`` through Spark's cast;
-    a pattern goes to ``to_timestamp_ntz``."""
+    """``try_ts``, strict: unparseable non-null text fails the job, under ANSI and without it."""
     raw = _c(c)
-    parsed = raw.try_cast("timestamp_ntz") if fmt is None else F.to_timestamp_ntz(raw, F.lit(fmt))
-    if fmt is not None and _ansi():
-        return parsed
-    return F.when(bad_ts(raw, fmt), _fail(raw, what, "timestamp_ntz")).otherwise(parsed)
+    return F.coalesce(try_ts(raw, fmt), F.when(raw.isNotNull(), _fail(raw, what, "timestamp_ntz")))
 
 
-def bad_double(c) -> Column:
-    """True for non-null text that ``parse_double`` refuses."""
+def try_double(c) -> Column:
+    """Text -> double, null where it is no number."""
     raw = _c(c).cast("string")
-    return raw.isNotNull() & ~raw.rlike(NUMBER_TEXT)
+    return F.when(raw.rlike(NUMBER_TEXT), raw.try_cast("double"))
 
 
 def parse_double(c, what: str = "number") -> Column:
-    """Text -> double, strict like ``parse_ts``."""
+    """``try_double``, strict like ``parse_ts``."""
     raw = _c(c)
-    return F.when(bad_double(raw), _fail(raw, what, "double")).otherwise(raw.try_cast("double"))
+    return F.coalesce(try_double(raw), F.when(raw.isNotNull(), _fail(raw, what, "double")))
 
 
 def round_half_even(c, digits: int) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hydrosight.functions import days_between, strip_ws
 from hydrosight.operators.dedup import keep_last
 from hydrosight.operators.median import exact_median
-from hydrosight.operators.parse import number, timestamp, where_not_null
+from hydrosight.operators.parse import typed
 from hydrosight.params import DEFAULT, Params
 from hydrosight.sources.schemas import BILL_COLUMNS, ORD
 
@@ -19,10 +19,13 @@ REQUIRED = ["BSEG_ID", "SP_ID", "SA_ID", "ACCT_ID", "SA_TYPE_CD", "FINAL_REG_QTY
             "START_READ_DTTM", "END_READ_DTTM"]
 
 
-def typed_bills(raw: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Project, strip, upper-case and cast strictly (no rows dropped)."""
+TIMESTAMPS, NUMBERS = ["START_READ_DTTM", "END_READ_DTTM"], ["FINAL_REG_QTY"]
+
+
+def typed_bills(raw: DataFrame, p: Params = DEFAULT, required: list[str] | None = None) -> DataFrame:
+    """Project, strip, upper-case and cast strictly; rows with a null in ``required`` go."""
     cols = BILL_COLUMNS + ([ORD] if ORD in raw.columns else [])
-    df = raw.select(*cols)
+    df = typed(raw.select(*cols), TIMESTAMPS, NUMBERS, p, required)
     return df.withColumns({
         "BSEG_ID": strip_ws("BSEG_ID"),
         "SP_ID": strip_ws("SP_ID"),
@@ -32,10 +35,7 @@ def typed_bills(raw: DataFrame, p: Params = DEFAULT) -> DataFrame:
         "CHAR_PREM_ID": strip_ws("CHAR_PREM_ID"),
         "PREM_ID": strip_ws("PREM_ID"),
         "ADDRESS1": strip_ws("ADDRESS1"),
-        "FINAL_REG_QTY": number(df, "FINAL_REG_QTY"),
         "FINAL_UOM_CD": F.upper(strip_ws("FINAL_UOM_CD")),
-        "START_READ_DTTM": timestamp(df, "START_READ_DTTM", p),
-        "END_READ_DTTM": timestamp(df, "END_READ_DTTM", p),
     })
 
 
@@ -43,11 +43,10 @@ def dedup_bills(raw: DataFrame, p: Params = DEFAULT, columns: list[str] | None =
     """Typed bills without null keys (F1: a NaN quantity stays), last copy per
     BSEG_ID in file order. ``columns`` narrows what the de-duplication carries;
     the null test and the parse check still cover every required column."""
-    raw = where_not_null(raw, REQUIRED, ["START_READ_DTTM", "END_READ_DTTM"], ["FINAL_REG_QTY"], p)
-    typed = typed_bills(raw, p)
+    rows = typed_bills(raw, p, REQUIRED)
     if columns is not None:
-        typed = typed.select(*columns, *([ORD] if ORD in typed.columns else []))
-    return keep_last(typed, ["BSEG_ID"])
+        rows = rows.select(*columns, *([ORD] if ORD in rows.columns else []))
+    return keep_last(rows, ["BSEG_ID"])
 
 
 def with_bill_days(df: DataFrame, p: Params = DEFAULT) -> DataFrame:

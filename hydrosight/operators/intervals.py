@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrosight.functions import days_between, strip_ws
-from hydrosight.operators.parse import number, timestamp
+from hydrosight.operators.parse import typed
 from hydrosight.params import DEFAULT, Params
 from hydrosight.sources.schemas import READ_COLUMNS
 
@@ -28,16 +28,11 @@ def annotate_reads(raw: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Typed reads with the D7/D8 outcome as flags instead of filters:
     ``is_supported_unit`` (raw unit CCF/GAL) and ``is_prepared`` (the row
     survives cleaning). Parsing is strict for every row."""
-    df = raw.select(*READ_COLUMNS)
-    uom = F.upper(strip_ws("UOM"))
-    mult = F.coalesce(number(df, "MULTIPLIER"), F.lit(1.0))
+    df = typed(raw.select(*READ_COLUMNS), ["BEGIN_READ_DTTM", "END_READ_DTTM"], ["CONSUMPTION", "MULTIPLIER"], p)
     df = df.withColumns({
         "SP_ID": strip_ws("SP_ID"),
-        "BEGIN_READ_DTTM": timestamp(df, "BEGIN_READ_DTTM", p),
-        "END_READ_DTTM": timestamp(df, "END_READ_DTTM", p),
-        "CONSUMPTION": number(df, "CONSUMPTION"),
-        "UOM": uom,
-        "MULTIPLIER": mult,
+        "UOM": F.upper(strip_ws("UOM")),
+        "MULTIPLIER": F.coalesce("MULTIPLIER", F.lit(1.0)),
     })
     days = days_between("END_READ_DTTM", "BEGIN_READ_DTTM", p.seconds_per_day)
     kgal = (F.when(F.col("UOM").isin(*p.ccf_units),

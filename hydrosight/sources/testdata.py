@@ -33,7 +33,8 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _pad7(c: Column) -> Column:
     """Zero-padded to at least 7 digits; longer numbers stay whole."""
-    return F.format_string("%07d", c.cast("bigint"))
+    n = c.cast("bigint").cast("string")
+    return F.when(F.length(n) < 7, F.lpad(n, 7, "0")).otherwise(n)
 
 
 def _ntz(s: str) -> Column:
