@@ -33,10 +33,12 @@ def parse_args(argv=None) -> argparse.Namespace:
     a.add_argument("--out-weekly", required=True)
     a.add_argument("--format", choices=["csv", "parquet"], default="csv")
     a.add_argument("--encoding", default="ISO-8859-1")
-    a.add_argument("--multiline", action="store_true",
-                   help="fields may hold quoted newlines (files are then not split; without it such a file fails)")
+    a.add_argument("--multiline", choices=["auto", "on", "off"], default="auto",
+                   help="quoted newlines: found by a scan of the bills', people's and parcels' lines (auto; the reads are "
+                        "split, and fail on such a record), allowed everywhere (on: no file is split) or nowhere (off)")
     a.add_argument("--ts-format", action="append", default=[], metavar="[COLUMN=]PATTERN",
-                   help="timestamp pattern, of one column or of all others (default: ISO text)")
+                   help="timestamp pattern, form (such as M/D/Y) or \"infer\", of one column or of all others "
+                        "(default: ISO text)")
     a.add_argument("--single-file", action="store_true", help="one output file each, through one task")
     a.add_argument("--master", default=None)
     return a.parse_args(argv)
@@ -47,15 +49,17 @@ def run(spark: SparkSession, args: argparse.Namespace):
     named = [f.split("=", 1) for f in args.ts_format]
     p = Params(ts_format=next((f[0] for f in named if len(f) == 1), None),
                ts_formats=tuple((f[0].upper(), f[1]) for f in named if len(f) == 2))
-    kw = {"encoding": args.encoding, "multiline": args.multiline}
+    multiline = {"auto": None, "on": True, "off": False}[args.multiline]
+    kw = {"encoding": args.encoding, "multiline": multiline}
     reads = None
     if args.drc:
-        reads = read_optional_csv(spark, args.drc, RAW_READ_SCHEMA, with_order=False, **kw)
+        reads = read_optional_csv(spark, args.drc, RAW_READ_SCHEMA, with_order=False,
+                                  **kw | {"multiline": bool(multiline)})
     src = Sources(
         bills=read_raw_csv(spark, args.consumption, **kw),
         person=read_raw_csv(spark, args.person, **kw),
         reads=reads,
-        parcel=read_parcel_csv(spark, args.parcel, multiline=args.multiline),
+        parcel=read_parcel_csv(spark, args.parcel, multiline=multiline),
     )
     r = build(spark, src, p)
     write_table(r.summary, args.out_summary, fmt=args.format, sort_by=SUMMARY_SORT, single_file=args.single_file)

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hydrosight.functions.formats import TS_FORMS, form_ts
+
 # The Unicode White_Space characters (U+0009..U+000D, U+0020,
 # U+0085, U+00A0, U+1680, U+2000..U+200A, U+2028, U+2029, U+202F, U+205F,
 # U+3000). Stripping removes any of them from both ends of a string.
@@ -50,8 +52,11 @@ NUMBER_TEXT = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$|^[+-]?([nN][aA][nN]|[i
 
 def try_ts(c, fmt: str | None = None) -> Column:
     """Text -> TIMESTAMP_NTZ, null where it is no such text. ``fmt=None`` reads ``ISO_TEXT``
-    through Spark's cast; a pattern goes to ``to_timestamp_ntz`` (which raises by itself under ANSI)."""
+    through Spark's cast, a key of ``TS_FORMS`` that form; any other pattern goes to
+    ``to_timestamp_ntz`` (which raises by itself under ANSI)."""
     raw = _c(c)
+    if fmt in TS_FORMS:
+        return form_ts(raw, fmt)
     if fmt is None:
         return F.when(raw.rlike(ISO_TEXT), raw.try_cast("timestamp_ntz"))
     return F.to_timestamp_ntz(raw, F.lit(fmt))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrosight.functions import parse_double, try_double, try_ts
+from hydrosight.functions.formats import INFER, infer_ts_forms
 from hydrosight.params import Params
 
 
@@ -28,6 +29,9 @@ def typed(df: DataFrame, timestamps: list[str], numbers: list[str], p: Params,
     that go for a null are checked too: unparseable text fails the job whatever the row's keys.
     One condition holds the check and the test, so that neither is decided without the other."""
     types = dict(df.dtypes)
+    unknown = [c for c in timestamps if p.format_of(c) == INFER]
+    if unknown:
+        p = p.with_forms(infer_ts_forms(df, unknown))
     parsed = {c: try_ts(F.col(c), p.format_of(c)) for c in timestamps if types[c] != "timestamp_ntz"}
     parsed |= {c: try_double(F.col(c)) for c in numbers if types[c] == "string"}
     plain = {c: F.col(c).cast("double") for c in numbers if types[c] != "string"}

@@ -7,7 +7,7 @@ in natural order, and every operator takes them from a ``Params`` instance.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -48,7 +48,8 @@ class Params:
     # --- execution knobs (not semantics) ------------------------------------
     # text form of timestamps in the raw files: None = ISO text
     # ('yyyy-MM-dd HH:mm[:ss[.ffffff]]') through Spark's fast cast, else a
-    # datetime pattern for to_timestamp_ntz
+    # a form of functions/formats.py, "infer" (found from all rows of the source, one pass more),
+    # or a datetime pattern for to_timestamp_ntz
     ts_format: str | None = None
     # patterns of single columns, as (column, pattern) pairs; they go first
     ts_formats: tuple[tuple[str, str], ...] = ()
@@ -60,6 +61,11 @@ class Params:
     def format_of(self, column: str) -> str | None:
         return dict(self.ts_formats).get(column, self.ts_format)
 
+    def with_forms(self, forms: dict[str, str]) -> Params:
+        """These parameters with a form for columns that name none."""
+        named = dict(self.ts_formats)
+        return replace(self, ts_formats=self.ts_formats + tuple((c, f) for c, f in forms.items() if c not in named))
+
     @property
     def supported_units(self) -> tuple[str, ...]:
         return self.ccf_units + self.gal_units

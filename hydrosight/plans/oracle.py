@@ -429,6 +429,10 @@ def oracle_sql() -> dict[str, str]:
     out["diagnostics_all_reads"] = PREFIX_ALL_READS + BODIES["diagnostics"]
     for name, same in (("day_reconcile_shuffled", "day_reconcile"), ("csv_clean_bills", "clean_bills"),
                        ("csv_clean_people", "clean_people"), ("csv_clean_intervals", "clean_intervals"),
-                       ("csv_summary", "summary_with_parcel"), ("csv_panel", "weekly_panel")):
+                       ("csv_summary", "summary_with_parcel"), ("csv_panel", "weekly_panel"),
+                       ("panel_absent_reads", "weekly_panel_no_reads"), ("timestamp_inferred", "clean_bills")):
         out[name] = out[same]
+    out["csv_quoted_newlines"] = f"""SELECT ACCT_ID, PER_ID, ENTITY_NAME || ' é' || CASE WHEN PER_ID LIKE '%B'
+        THEN chr(160) || chr(10) || '2nd line' ELSE '' END AS ENTITY_NAME, EMAILID, PHONE_TYPE_CD, PHONE
+        FROM ({out["clean_people"]})"""
     return out

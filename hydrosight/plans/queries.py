@@ -22,18 +22,20 @@ from hydrosight.operators.people import clean_people, phone_type, sp_contacts
 from hydrosight.operators.summary import SUMMARY_SORT
 from hydrosight.params import DEFAULT, Params
 from hydrosight.plans.job import build
-from hydrosight.session import ensure_checkpoint_dir
-from hydrosight.sources.csv import read_parcel_csv, read_raw_csv
+from hydrosight.session import ensure_checkpoint_dir, materialize
+from hydrosight.sources.csv import read_optional_csv, read_parcel_csv, read_raw_csv
 from hydrosight.sources.schemas import (
     BILL_COLUMNS,
     ORD,
     PERSON_COLUMNS,
+    RAW_READ_SCHEMA,
     READ_COLUMNS,
     THRESHOLD_COLUMNS,
     week_columns,
 )
 from hydrosight.sources.sinks import write_table
 from hydrosight.sources.testdata import (
+    Sources,
     raw_bills,
     raw_parcel,
     raw_person,
@@ -129,7 +131,7 @@ def q_summer_threshold(spark, sf):
 def q_season_stats(spark, sf):
     cols = ["summer_mean_normalized_30day_kgal", "summer_median_normalized_30day_kgal",
             "winter_mean_normalized_30day_kgal", "winter_median_normalized_30day_kgal"]
-    usage = _usage(spark, sf, STATS_BILLS)
+    usage = materialize(_usage(spark, sf, STATS_BILLS))  # means and medians read it
     stats = B.season_base(usage).join(B.season_medians(usage), "SP_ID", "left")
     return stats.select("SP_ID", *[round_half_even(F.col(c), 2).alias(c) for c in cols])
 
@@ -280,7 +282,41 @@ def q_csv_clean_people(spark, sf):
 def q_csv_clean_intervals(spark, sf):
     """The optional read files, as text."""
     path = _csv_copy(spark, raw_reads(spark, sf), READ_COLUMNS, "reads")
-    return I.clean_intervals(read_raw_csv(spark, path, with_order=False))
+    return I.clean_intervals(read_optional_csv(spark, path, RAW_READ_SCHEMA, with_order=False))
+
+
+@query("panel_absent_reads")
+def q_panel_absent_reads(spark, sf):
+    """Read and parcel files that are not there."""
+    src = testdata_sources(spark, sf)
+    empty = _folder(spark, "no-reads")
+    reads = read_optional_csv(spark, [empty, f"{empty}/*.csv"], RAW_READ_SCHEMA, with_order=False)
+    return build(spark, Sources(src.bills, src.person, reads, read_parcel_csv(spark, empty))).panel
+
+
+@query("timestamp_inferred")
+def q_timestamp_inferred(spark, sf):
+    """Bills whose columns are written in two other forms, found from the data."""
+    raw = raw_bills(spark, sf)
+    start, end = (F.col(c).cast("timestamp_ntz") for c in ("START_READ_DTTM", "END_READ_DTTM"))
+    raw = raw.withColumns({"START_READ_DTTM": F.date_format(start, "MM/dd/yyyy HH:mm"),
+                           "END_READ_DTTM": F.date_format(end, "dd-MM-yyyy HH:mm:ss")})
+    usage = B.clean_bills(raw, Params(ts_format="infer"))
+    return usage.select(*BILL_COLUMNS, "bill_days", "normalized_30day_kgal", "season")
+
+
+@query("csv_quoted_newlines")
+def q_csv_quoted_newlines(spark, sf):
+    """A folder of Latin-1 files, some with quoted newlines, read without a flag. Names hold
+    a letter above 127 and no-break spaces around, which stripping removes (X1)."""
+    raw = raw_person(spark, sf)
+    name = F.concat(F.lit("\u00a0"), "ENTITY_NAME", F.lit(" \u00e9\u00a0"))
+    path = _folder(spark, "person-mixed")
+    odd = F.substring("PER_ID", -1, 1) == "B"
+    for rows, text in ((raw.where(odd), F.concat(name, F.lit("\n2nd line"))), (raw.where(~odd), name)):
+        out = rows.withColumn("ENTITY_NAME", text).orderBy(ORD).select(*PERSON_COLUMNS)
+        write_table(out, path, fmt="csv", mode="append", encoding="ISO-8859-1")
+    return clean_people(read_raw_csv(spark, path, multiline=None)).select(*PERSON_COLUMNS)
 
 
 def _csv_sources(spark, sf):

@@ -9,11 +9,11 @@ split over tasks.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hydrosight.sources.manifest import files_with_open_quotes, input_files
 from hydrosight.sources.schemas import ORD
 
 
@@ -36,51 +36,63 @@ def _reader(spark: SparkSession, encoding: str, multiline: bool):
             .option("mode", "FAILFAST"))
 
 
+def _load(spark: SparkSession, paths, encoding: str, multiline: bool | None) -> list[DataFrame]:
+    """The files as one frame, or two where only some need the reader that does not split files."""
+    if multiline is not None:
+        return [_reader(spark, encoding, multiline).load(paths)]
+    files = [f for f, size in input_files(spark, paths) if size]
+    if not files:
+        return [_reader(spark, encoding, False).load(paths)]
+    whole = files_with_open_quotes(spark, files, encoding)
+    parts = [(False, sorted(set(files) - set(whole))), (True, whole)]
+    frames = [_reader(spark, encoding, span).load(fs) for span, fs in parts if fs]
+    if any(f.columns != frames[0].columns for f in frames):
+        raise ValueError("the files' headers name other columns or another order")
+    return frames
+
+
+def _with_order(df: DataFrame) -> DataFrame:
+    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"),
+                                   F.col("_metadata.file_block_start").alias("start"),
+                                   F.monotonically_increasing_id().alias("row")).alias(ORD))
+
+
 def read_raw_csv(spark: SparkSession, paths, encoding: str = "ISO-8859-1",
-                 multiline: bool = False, fold_header: bool = True,
+                 multiline: bool | None = False, fold_header: bool = True,
                  with_order: bool = True) -> DataFrame:
     """All-text scan; header names upper-cased; ``_ord`` = file order.
 
-    Files split over tasks unless ``multiline`` is set, which quoted newlines
-    need; without it a record that spans lines fails the read.
+    ``multiline=None`` finds the files with quoted newlines by one scan of their lines: those are
+    read whole, each by one task, all others are split. False splits all files (a record that
+    spans lines then fails the read), True none.
 
     ``with_order=False`` for inputs that are never de-duplicated (reads):
     the row id is non-deterministic, so it would keep filters out of the
     CSV scan."""
-    df = _reader(spark, encoding, multiline).load(paths)
+    frames = _load(spark, paths, encoding, multiline)
     if with_order:
-        df = df.select("*", F.struct(F.col("_metadata.file_path").alias("file"),
-                                     F.col("_metadata.file_block_start").alias("start"),
-                                     F.monotonically_increasing_id().alias("row")).alias(ORD))
+        frames = [_with_order(f) for f in frames]
+    df = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
     if fold_header:
         df = df.toDF(*[c if c == ORD else c.upper() for c in df.columns])
     return df
 
 
 def read_optional_csv(spark: SparkSession, paths, schema: T.StructType, **kw) -> DataFrame | None:
-    """A source that may be absent. Returns None when no file exists."""
-    if paths is None:
+    """A source that may be absent. None when no path is given or no file with data is there."""
+    if paths is None or not any(size for _, size in input_files(spark, paths)):
         return None
-    try:
-        return read_raw_csv(spark, paths, **kw)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            return None
-        raise
+    return read_raw_csv(spark, paths, **kw)
 
 
 def read_parcel_csv(spark: SparkSession, paths, encoding: str = "UTF-8",
-                    multiline: bool = False) -> DataFrame | None:
+                    multiline: bool | None = False) -> DataFrame | None:
     """Two columns of a wide file. Header case is kept: names match
     exactly. None when no path is given or no file exists."""
-    if paths is None:
+    if paths is None or not any(size for _, size in input_files(spark, paths)):
         return None
-    try:
-        df = _reader(spark, encoding, multiline).load(paths)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            return None
-        raise
+    frames = _load(spark, paths, encoding, multiline)
+    df = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
     return df.select(
         F.col("CIS_SP_ID"),
         F.col("LND_SQFOOT"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", sort_by=None,
-                single_file: bool = False, mode: str = "overwrite") -> None:
+                single_file: bool = False, mode: str = "overwrite", encoding: str = "UTF-8") -> None:
     """Write ``df``, sorted by ``sort_by`` where given: the rows are dealt by
     ranges and sorted in each, so the files in the order of their names hold
     the table in order.
@@ -27,7 +27,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", sort_by=None,
          .option("nullValue", "")
          .option("emptyValue", "")
          .option("escape", '"')
-         .option("encoding", "UTF-8")
+         .option("encoding", encoding)
          .csv(path))
     elif fmt == "parquet":
         w.parquet(path)

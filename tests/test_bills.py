@@ -150,6 +150,17 @@ def test_formats_per_column(make):
     assert rows(B.clean_bills(raw, p), "bill_days") == [(30.0,)]
 
 
+def test_formats_are_inferred_and_parsed_once(make):
+    raw = make.bills([bill("x", "SP1", "A1", "WRES", 1, "06/01/2024 00:00", "2024-07-01 00:00"),
+                      bill("y", "SP1", "A1", "WRES", 1, "06/21/2024 00:00", "2024-07-21 00:00")])
+    usage = B.clean_bills(raw, Params(ts_format="infer"))
+    assert rows(usage, "bill_days") == [(30.0,), (30.0,)]
+    wide = usage.join(usage.select("SP_ID").distinct().withColumnRenamed("SP_ID", "k"), F.col("SP_ID") == F.col("k"))
+    plan = B.clean_bills(raw).join(wide.select("k"), F.col("SP_ID") == F.col("k"))._jdf.queryExecution().optimizedPlan().toString()
+    own = plan.split("Generate inline")[1].split("\n")[0]
+    assert own.count("RLIKE") == 3 and "RLIKE" not in plan.split("Generate inline")[0]  # none in the join or the filters
+
+
 def test_premise_list_is_distinct_and_sorted(make):
     raw = make.bills([bill(f"b{i}", "SP1", "A1", "WRES", 1, "2024-06-01 00:00:00", "2024-07-01 00:00:00", prem=p)
                       for i, p in enumerate(["P2", "P10", None, "P2", " P1 "])])

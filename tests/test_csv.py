@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hydrosight.plans.job import build
 from hydrosight.sources.csv import read_optional_csv, read_parcel_csv, read_raw_csv
+from hydrosight.sources.manifest import files_with_open_quotes, input_files
 from hydrosight.sources.schemas import BILL_COLUMNS, PERSON_COLUMNS, RAW_READ_SCHEMA, READ_COLUMNS
 from hydrosight.sources.sinks import write_table
 from hydrosight.sources.testdata import Sources
@@ -144,3 +145,40 @@ def test_command_line_runner(spark, capsys):
                           "--drc", f"{d}/none.csv", "--parcel", f"{d}/no-parcel.csv", "--out-summary", f"{d}/o2/s", "--out-weekly", f"{d}/o2/w"])
     r2 = run(spark, missing)   # absent read file: zeros, like no file at all
     assert r2.diagnostics.first()["raw_drc_rows"] == 0
+
+
+def test_files_with_quoted_newlines_are_found(spark):
+    """Only the files that need it are read whole; order and values are those of one reader."""
+    d = tempfile.mkdtemp(prefix="hydrosight-csv-")
+    rows = [("1", "plain"), ("2", 'a "quoted" word'), ("3", "ünï")]
+    _write(f"{d}/a.csv", ["SP_ID", "ACCT_ID"], rows)
+    _write(f"{d}/b c%20.csv", ["SP_ID", "ACCT_ID"], [("4", "two\nlines"), ("5", "three\n\nlines"), ("6", 'end"\n')])
+    open(f"{d}/empty.csv", "w").close()
+    files = [f for f, size in input_files(spark, d) if size]
+    assert len(files) == 2 and len(input_files(spark, d)) == 3
+    assert [os.path.basename(f) for f in files_with_open_quotes(spark, files, "ISO-8859-1")] == ["b c%20.csv"]
+    got = read_raw_csv(spark, d, multiline=None).orderBy("SP_ID")
+    assert [(r.SP_ID, r.ACCT_ID) for r in got.collect()] == rows + [("4", "two\nlines"), ("5", "three\n\nlines"), ("6", 'end"\n')]
+    assert [r.SP_ID for r in got.orderBy("_ord").collect()] == ["1", "2", "3", "4", "5", "6"]
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        read_raw_csv(spark, d, multiline=False).collect()
+
+
+def test_headers_of_two_orders_fail_also_when_readers_differ(spark):
+    d = tempfile.mkdtemp(prefix="hydrosight-csv-")
+    _write(f"{d}/a.csv", ["SP_ID", "ACCT_ID"], [("1", "A")])
+    _write(f"{d}/b.csv", ["ACCT_ID", "SP_ID"], [("B\nB", "2")])
+    with pytest.raises(ValueError):
+        read_raw_csv(spark, d, multiline=None)
+
+
+def test_absent_and_empty_sources(spark):
+    d = tempfile.mkdtemp(prefix="hydrosight-csv-")
+    for path in (d, f"{d}/missing", f"{d}/*.csv", [f"{d}/x.csv", d]):
+        assert read_optional_csv(spark, path, RAW_READ_SCHEMA) is None
+        assert read_parcel_csv(spark, path) is None
+    open(f"{d}/_SUCCESS", "w").write("x")
+    open(f"{d}/zero.csv", "w").close()
+    assert read_optional_csv(spark, d, RAW_READ_SCHEMA) is None
+    _write(f"{d}/a.csv", READ_COLUMNS, [("SP1", "2024-06-01 00:00", "2024-06-02 00:00", 1, "CCF", 1)])
+    assert read_optional_csv(spark, d, RAW_READ_SCHEMA).count() == 1

@@ -2,6 +2,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from hydrosight.functions.formats import infer_ts_forms
 from hydrosight.functions import parse_double, parse_ts, round_half_even, strip_ws, whole_seconds
 
 
@@ -75,3 +76,30 @@ def test_parse_double_strict_and_nan_kept(spark):
     assert one(spark, F.isnan(parse_double("s")), [("NaN",)]) == [True]
     with pytest.raises(PySparkException):
         spark.createDataFrame([("abc",)], "s string").select(parse_double("s")).collect()
+
+
+def test_timestamp_forms_are_inferred(spark):
+    rows = [("2024-06-30 01:02", "2024/06/30 01:02:03", "06/30/2024 01:02:03.5", "30/06/2024 01:02", "06-13-2024 00:00", "13-06-2024T00:00", None),
+            ("2024-01-02T00:00:00", "2024/01/02 00:00", "01/02/2024 00:00", "02/01/2024 00:00", "01-02-2024 00:00", "02-01-2024 00:00", None),
+            (None,) * 7]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} string" for i in range(7)))
+    forms = infer_ts_forms(df, df.columns)
+    assert list(forms.values()) == ["Y-M-D", "Y/M/D", "M/D/Y", "D/M/Y", "M-D-Y", "D-M-Y", "Y-M-D"]
+    got = df.select(*(parse_ts(c, f).cast("string").alias(c) for c, f in forms.items())).collect()
+    assert got[0][:4] == ("2024-06-30 01:02:00", "2024-06-30 01:02:03", "2024-06-30 01:02:03.5", "2024-06-30 01:02:00")
+    assert got[0][4:] == ("2024-06-13 00:00:00", "2024-06-13 00:00:00", None)
+    assert set(got[1][:6]) == {"2024-01-02 00:00:00"} and set(got[2]) == {None}
+
+
+@pytest.mark.parametrize("texts", [
+    ["01/02/2024 00:00"],                                # month and day cannot be told apart
+    ["2024-06-30 01:02", "06/30/2024 01:02"],            # two forms in one column
+    ["06/31/2024 00:00"], ["30/13/2024 00:00"], ["2024-06-30"], ["2024-06-30 01:02+00:00"], [""]])
+def test_unclear_timestamp_forms_fail(spark, texts):
+    with pytest.raises(ValueError):
+        infer_ts_forms(spark.createDataFrame([(t,) for t in texts], "s string"), ["s"])
+
+
+def test_forms_are_strict(spark, ansi):
+    with pytest.raises(PySparkException):
+        spark.createDataFrame([("31/12/2024 00:00",)], "s string").select(parse_ts("s", "M/D/Y")).collect()
