@@ -74,30 +74,26 @@ _BYTES = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64, endpoint
 _BYTES[65:91] = _BYTES[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((int(_K), pow(int(_K), -1, 1 << 64))):
-            steps = np.full(1 << (n - 1).bit_length(), base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+#: an odd value for each place in a word; longer words are hashed by themselves
+_PLACES = np.random.default_rng(21).integers(0, 1 << 63, 1024, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A hash of each word: sums of byte values times powers, by differences of a
-    running sum over the text, shifted back to the word's start."""
+    """A hash of each word: sums of byte values times independent values of their places. (Powers of one
+    number in their stead collide, modulo 2^64, for words that alternate as Thue-Morse sequences do.)"""
     b = np.frombuffer(text, np.uint8)
     space = np.concatenate([[True], _SPACE[b], [True]])
     edges = np.flatnonzero(space[1:] != space[:-1])
+    if not len(edges):
+        return np.zeros(0, np.uint64)
     start, end = edges[::2], edges[1::2]
-    up, down = _power(len(b) + 1)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTES[b] * up[:len(b)], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
+    place = np.arange(start[0], len(b) + 1) - np.repeat(start, np.diff(start, append=len(b) + 1))
+    values = np.zeros(len(b) + 1, np.uint64)
+    values[start[0]:-1] = _BYTES[b[start[0]:]] * _PLACES[place[:-1] & (len(_PLACES) - 1)]
+    h = np.add.reduceat(values, edges)[::2]
+    for i in np.flatnonzero(end - start > len(_PLACES)):
+        h[i] = xxhash.xxh3_64_intdigest(text[start[i]:end[i]].lower())
+    h *= _M
     return h ^ (h >> np.uint64(32))
 
 
