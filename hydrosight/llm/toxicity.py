@@ -12,13 +12,17 @@
   shares and the densest window of abuse are the features of a
   logistic regression, fitted on the same bounded sample.
 
+Bounds: about ``max_labelled`` labels, and as many of their rows where ids repeat; the ``max_terms``
+strongest entries, of at most four times as many that pass ``min_log_odds`` and that ``min_texts`` texts
+and ``min_share`` of the toxic sample hold; a quotation of over 400 characters counts as use.
+
 Defined cases
     null or empty text   no match: the score of a text without any, which is low
     null label           never learned from
     null doc_id          the fold of the empty text; matches no label
     repeated rows        each is scored; a repeated label row counts each time
     no toxic label       the lexicon is empty and every score 0
-    very long text       read whole
+    very long text       read whole, in time proportional to its length and hits
     empty table          empty result
     clashing columns     only the id, text and label columns are read
 """
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -167,7 +172,7 @@ def features(text: str | None, matcher: Matcher, window: int) -> tuple[float, ..
             continue
         while k < len(spans) and spans[k][1] <= m.start():
             k += 1
-        j = np.searchsorted(near, i) if near else 0
+        j = bisect_left(near, i)
         told = any(abs(near[x] - i) <= 3 for x in (j - 1, j) if 0 <= x < len(near))
         if told or k < len(spans) and spans[k][0] <= m.start():
             quoted += 1
@@ -176,7 +181,8 @@ def features(text: str | None, matcher: Matcher, window: int) -> tuple[float, ..
         if e == 0:
             kinds.add(word)
         places.append(i)
-    densest = max((np.searchsorted(places, p + window) - i for i, p in enumerate(places)), default=0)
+    at = np.array(places, np.int64)
+    densest = int((np.searchsorted(at, at + window) - np.arange(len(at))).max()) if len(at) else 0
     return (math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), math.log1p(len(kinds)),
             math.log1p(1000 * exact / max(1, len(words))), math.log1p(densest))
 
@@ -279,6 +285,9 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         marked = marked.where(draw < max_labelled / n)
     sample = cut(df.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
                  .join(marked.hint("shuffle_hash"), "id").select("text", "label"), "labelled")
+    rows = sample.count()
+    if rows > max_labelled:  # repeated ids: the labels are bounded above, their rows here
+        sample = cut(sample.where(F.rand(29) * rows < max_labelled), "labelled-rows")
     totals = sample.agg(F.count(F.lit(1)).alias("n"),
                         F.coalesce(F.sum(F.col("label").cast("int")), F.lit(0)).alias("t")).first()
     n, toxic = totals["n"], totals["t"]
