@@ -3,7 +3,7 @@
 Texts are lower-cased and all but letters becomes spaces; their UTF-8 byte trigrams
 are hashed to ``DIMS`` counts, damped by the square root, weighted by inverse document frequency over all training texts and
 scaled to unit length. A spherical k-means on a bounded sample of each
-language (``sample_per_lang`` texts on average, chosen by a hash of the id; the only sample)
+language (``sample_per_lang`` texts at most, the first by a hash of id and text; the only sample)
 gives ``clusters`` centroids. A text takes the language of the centroid with the largest
 cosine; it is rejected when that cosine lies below the centroid's reach, the
 mean of its members less ``reach`` standard deviations. The score is the share
@@ -30,7 +30,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrosight.llm.common import bound_batches, held_out
@@ -147,13 +147,15 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
              .groupBy("bin").agg(F.sum("n").alias("n")).collect()}
     n = stats.get(-1, 0)
     idf = np.log((n + 1) / (np.array([stats.get(i, 0) for i in range(DIMS)]) + 1)) + 1.0
-    rows = train.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()
-    sizes = F.create_map(*[F.lit(v) for r in rows for v in (r["lang"], float(r["n"]))]) if rows else None
     langs: list[str] = []
     of, centroids, limits = np.zeros(0, np.int64), np.zeros((0, DIMS), np.float32), np.zeros(0)
-    if rows:
-        draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-        sample = train.where(draw * sizes[lang] < sample_per_lang).select(lang.alias("lang"), text.alias("text"))
+    if n:
+        # by id and text, so that rows of one id (or none) are not in or out together; each task
+        # keeps a language's first rows before languages meet
+        drawn = train.select(lang.alias("lang"), text.alias("text"),
+                             F.xxhash64(F.col(id_col).cast("string"), text, F.lit(17)).alias("draw"))
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+        sample = drawn.withColumn("place", place).where(F.col("place") <= sample_per_lang).select("lang", "text")
         found = (sample.mapInArrow(_sampled(idf), "lang string, v binary").groupBy("lang")
                  .applyInArrow(_kmeans(clusters, 12, reach), "lang string, centroid binary, reach double")
                  .collect())
