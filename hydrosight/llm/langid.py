@@ -150,12 +150,15 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     langs: list[str] = []
     of, centroids, limits = np.zeros(0, np.int64), np.zeros((0, DIMS), np.float32), np.zeros(0)
     if n:
-        # by id and text, so that rows of one id (or none) are not in or out together; each task
-        # keeps a language's first rows before languages meet
-        drawn = train.select(lang.alias("lang"), text.alias("text"),
-                             F.xxhash64(F.col(id_col).cast("string"), text, F.lit(17)).alias("draw"))
-        place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
-        sample = drawn.withColumn("place", place).where(F.col("place") <= sample_per_lang).select("lang", "text")
+        # by id and text, so that rows of one id (or none) are not in or out together; copies count
+        # once, and about three times the bound is drawn before the first ones are ranked
+        draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text, F.lit(17)), F.lit(1 << 40)) / float(1 << 40)
+        drawn = train.select(lang.alias("lang"), text.alias("text"), draw.alias("draw"))
+        sizes = drawn.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()
+        size = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], float(r["n"]))])
+        few = drawn.where(F.col("draw") * size[F.col("lang")] < 3 * sample_per_lang).dropDuplicates(["lang", "draw"])
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+        sample = few.withColumn("place", place).where(F.col("place") <= sample_per_lang).select("lang", "text")
         found = (sample.mapInArrow(_sampled(idf), "lang string, v binary").groupBy("lang")
                  .applyInArrow(_kmeans(clusters, 12, reach), "lang string, centroid binary, reach double")
                  .collect())
