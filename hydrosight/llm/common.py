@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from contextlib import contextmanager
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,41 @@ def cut(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: what Arrow calls the stores that Hadoop names otherwise; a scheme that both name alike stands for itself
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+ARROW_KNOWN = {"file", "s3", "gs", "gcs", "abfs", "abfss", "hdfs", "viewfs"}
+
+
+def arrow_uri(uri: str) -> str:
+    """The Hadoop URI or absolute path ``uri`` as Arrow's file systems take it. Raises where Arrow has no such store."""
+    found = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", uri)
+    if not found:
+        return uri
+    scheme, rest = found[1].lower(), uri[found.end():]
+    if scheme == "dbfs":  # mounted on every node
+        return "file:///dbfs/" + rest.lstrip("/")
+    if scheme in ("wasb", "wasbs"):
+        rest = rest.replace(".blob.core.", ".dfs.core.", 1)
+    scheme = ARROW_SCHEMES.get(scheme, scheme)
+    if scheme not in ARROW_KNOWN:
+        raise ValueError(f"tasks cannot write files to {uri!r}: Arrow has no file system for {found[1]!r}; "
+                         f"name a folder of {', '.join(sorted(ARROW_KNOWN | set(ARROW_SCHEMES) | {'dbfs'}))} "
+                         "in spark.checkpoint.dir")
+    return f"{scheme}:{rest}"
+
+
+def arrow_fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    """(file system, path) of a Hadoop URI, in a task; credentials and regions are those of the task's environment."""
+    return pafs.FileSystem.from_uri(arrow_uri(uri))
+
+
+def scratch_files(spark: SparkSession, name: str) -> str:
+    """``scratch`` for files that tasks write themselves: fails before the first stage where they could not."""
+    path = scratch(spark, name)
+    arrow_uri(path)
+    return path
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the documents whose labels may not be learned from. A null id
     counts as the empty text (remainder 0)."""

@@ -35,11 +35,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrosight.llm.common import cut, parallelism, scratch
+from hydrosight.llm.common import arrow_fs, cut, parallelism, scratch_files
 from hydrosight.llm.components import components
 
 GRID = 4  # leading dimensions whose cells order the vectors
@@ -122,7 +121,7 @@ def _blocks(folder: str, axes: np.ndarray, size: int):
         from pyspark import TaskContext
         ctx = TaskContext.get()
         part = ctx.partitionId()
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = arrow_fs(folder)
         out, place, count, held, n = None, 0, 0, [], 0
         name = f"{folder}/part-{part:06d}-{ctx.taskAttemptId()}.blocks"
 
@@ -197,7 +196,7 @@ def _joined(dim: int, threshold: float):
             if file not in sources:
                 if len(sources) > 8:
                     sources.pop(next(iter(sources))).close()
-                fs, path = pafs.FileSystem.from_uri(file)
+                fs, path = arrow_fs(file)
                 sources[file] = fs.open_input_file(path)
             data = bytes(sources[file].read_at(n * (16 + 8 * dim), place))
             uid, m = np.frombuffer(data, "<i8", n), np.frombuffer(data, "<i8", n, 8 * n)
@@ -288,7 +287,7 @@ def _links(distinct: DataFrame, dim: int, threshold: float, block: int) -> tuple
     # grid order; within a cell by the first principal dimension
     ordered = placed.repartitionByRange(parts, "cells", "p", "key").sortWithinPartitions("cells", "p", "key")
     written = cut(ordered.select("key", "m", "v").mapInArrow(
-        _blocks(scratch(spark, "vector-blocks"), axes, block), BLOCKS), "vector-blocks", "kind")
+        _blocks(scratch_files(spark, "vector-blocks"), axes, block), BLOCKS), "vector-blocks", "kind")
     blocks = written.where("kind = 1")
     pairs = block_pairs(blocks.select("id", "lo", "hi"), parts, epsilon)
     place = blocks.select("id", "file", "place", "n")

@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrosight.llm.common import bound_batches, cut, parallelism, scratch
+from hydrosight.llm.common import arrow_fs, bound_batches, cut, parallelism, scratch_files
 from hydrosight.llm.components import components
 
 WORDS = 5
@@ -386,7 +386,7 @@ def _load(path: str, size: int) -> np.ndarray:
     by each Python worker."""
     if path not in _loaded:
         _loaded.clear()  # one table at a time
-        fs, root = pafs.FileSystem.from_uri(path)
+        fs, root = arrow_fs(path)
         out = np.zeros(size, np.uint8)
         for f in fs.get_file_info(pafs.FileSelector(root)):
             if posixpath.basename(f.path).startswith("part-"):
@@ -486,7 +486,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = distinct.agg(F.sum("n")).first()[0] or 0
     # shingles that stand out of what a counter holds by chance
     mean = total / (1 << COUNTERS)
-    path = scratch(spark, "shingle-order")
+    path = scratch_files(spark, "shingle-order")
     (described.where("kind = 1").select("n", "map").repartition(parallelism(spark), "n")
      .mapInArrow(_order(int(mean + 6 * mean ** 0.5 + 4)), "part bigint, classes binary, mass double").write.parquet(path))
     mass = spark.read.schema("part bigint, classes binary, mass double").parquet(path).agg(F.sum("mass")).first()[0] or 0.0
@@ -526,7 +526,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         n = listed.count()
         if n:
             size = 1 << max(10, min((filter_mb << 20).bit_length() - 1, (2 * n).bit_length()))
-            bloom = scratch(spark, "shingle-filter")
+            bloom = scratch_files(spark, "shingle-filter")
             (listed.mapInArrow(_bloom(size), "at bigint, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits"))
              .write.parquet(bloom))
             sets = df.select(text.alias("text")).mapInArrow(_sets(bloom, size), "sid bigint, items binary")

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hydrosight.llm.common import WS_BYTES, bound_batches, cut, parallelism, scratch
+from hydrosight.llm.common import WS_BYTES, arrow_fs, bound_batches, cut, parallelism, scratch_files
 
 SEGMENTS = 256
 #: hashes a task holds before it writes them out
@@ -122,7 +122,7 @@ def _filter(path: str) -> dict[int, np.ndarray]:
     """The twice-seen filter, read once by each Python worker."""
     if path not in _loaded:
         _loaded.clear()
-        fs, root = pafs.FileSystem.from_uri(path)
+        fs, root = arrow_fs(path)
         parts = [f.path for f in fs.get_file_info(pafs.FileSelector(root))
                  if posixpath.basename(f.path).startswith("part-")]
         segs = {}
@@ -222,7 +222,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     n = hashes.agg(F.sum("n")).first()[0] or 0
     bits = 1 << max(10, int(n * bits_per_key / SEGMENTS).bit_length())  # a segment's bits
     bits = min(bits, 1 << ((max_filter_mb << 23) // SEGMENTS).bit_length() - 1)
-    path = scratch(spark, "line-filter")
+    path = scratch_files(spark, "line-filter")
     (hashes.repartition(parallelism(spark), "segment").select("segment", "seen", "again")
      .mapInArrow(_merge(bits), "segment int, twice binary")
      .write.option("compression", "zstd").parquet(path))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrosight.llm.common import held_out, scratch, table
+from hydrosight.llm.common import held_out, scratch_files, table
 from hydrosight.llm.embed_join import near_duplicates
 from hydrosight.llm.exact_dedup import exact_dedup
 from hydrosight.llm.filter_audit import filter_audit
@@ -50,7 +50,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = write_warc(table(spark, sf_dir, "pages"), scratch(spark, "warc"), min_bytes=0)
+    index = write_warc(table(spark, sf_dir, "pages"), scratch_files(spark, "warc"), min_bytes=0)
     return read_warc(index, with_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

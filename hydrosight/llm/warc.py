@@ -36,11 +36,10 @@ import hashlib
 import zlib
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrosight.llm.common import bound_batches, parallelism
+from hydrosight.llm.common import arrow_fs, arrow_uri, bound_batches, parallelism
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = ("page_id bigint, url string, file string, offset bigint, length bigint, "
@@ -106,7 +105,7 @@ def _writer(folder: str, date: str, level: int):
                 rows = []
                 for r in batch.to_pylist():
                     if out is None:
-                        fs, root = pafs.FileSystem.from_uri(folder)
+                        fs, root = arrow_fs(folder)
                         fs.create_dir(root, recursive=True)
                         out = fs.open_output_stream(f"{root}/{name}", compression=None)
                         info = b"software: hydrosight\r\nformat: WARC File Format 1.1\r\n"
@@ -142,6 +141,7 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     """Write the rows as archives under ``folder`` and return the index, which
     is itself a Parquet table in ``folder``/index."""
     spark = df.sparkSession
+    arrow_uri(folder)  # a store that tasks cannot write to is refused before the first stage
     bound_batches(spark)
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     rows = df.select(F.col(id_col).cast("bigint").alias("page_id"),
@@ -164,7 +164,7 @@ def _reader(max_gap: int, max_read: int, with_payload: bool):
             nonlocal fs, name, source
             if run_[0]["file"] != name:
                 name = run_[0]["file"]
-                fs, path = pafs.FileSystem.from_uri(name)
+                fs, path = arrow_fs(name)
                 if source is not None:
                     source.close()
                 source = fs.open_input_file(path)

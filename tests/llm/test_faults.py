@@ -2,9 +2,13 @@
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from hydrosight.llm import components as C
 from hydrosight.llm import jaccard as J
+from hydrosight.llm.common import arrow_uri, scratch
+from hydrosight.llm.exact_dedup import DigestIndex, exact_dedup
 from hydrosight.llm.jaccard import jaccard_components
 from hydrosight.llm.langid import language_id
 from hydrosight.llm.toxicity import Matcher, features, toxicity
@@ -63,3 +67,52 @@ def test_a_language_without_ids_is_learned(docs):
     rows = [(i, one[i % 2] + f" {i}", "aa") for i in range(60)] + [(None, two[i % 2] + f" {i}", "bb") for i in range(60)]
     got = language_id(docs(rows), sample_per_lang=10).groupBy("lang_pred").count().collect()
     assert {r["lang_pred"]: r["count"] for r in got} == {"aa": 60, "bb": 60}
+
+
+def test_a_chain_of_ascending_ids_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+
+    def cut(df, name, *by):
+        if name == "links":
+            rounds.append(name)
+        return real(df, name, *by)
+    real = C.cut
+    monkeypatch.setattr(C, "cut", cut)
+    links = spark.range(2_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = C.components(links.union(spark.sql("select 5000L a, 4000L b")))
+    assert {r.label: r["count"] for r in got.groupBy("label").count().collect()} == {0: 2_001, 4000: 2}
+    assert len(rounds) - 1 <= 20
+
+
+@pytest.mark.parametrize("uri, want", [
+    ("/shared/x", "/shared/x"), ("file:/shared/x", "file:/shared/x"), ("hdfs://nn:8020/x", "hdfs://nn:8020/x"),
+    ("s3a://bucket/x", "s3://bucket/x"), ("gs://bucket/x", "gs://bucket/x"), ("dbfs:/x/y", "file:///dbfs/x/y"),
+    ("wasbs://c@acc.blob.core.windows.net/x", "abfss://c@acc.dfs.core.windows.net/x"),
+    ("abfss://c@acc.dfs.core.windows.net/x", "abfss://c@acc.dfs.core.windows.net/x")])
+def test_stores_are_named_as_arrow_names_them(uri, want):
+    assert arrow_uri(uri) == want
+
+
+def test_a_store_without_a_file_system_is_refused():
+    with pytest.raises(ValueError, match="oss"):
+        arrow_uri("oss://bucket/x")
+
+
+def test_a_private_index_is_gone_after_use(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert exact_dedup(docs([(1, "a  b"), (2, "a b")])).where("kept").count() == 1
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_a_compacted_index_holds_the_same_digests(spark, docs):
+    name = f"digest_compact_{time.time_ns()}"
+    index = DigestIndex(spark, name, path=scratch(spark, name), buckets=2)
+    for k in range(3):
+        exact_dedup(docs([(10 * k + i, f"text {10 * k + i}") for i in range(10)]), index)
+    files = len(index.read().inputFiles())
+    index.compact()
+    assert len(index.read().inputFiles()) <= 2 < files
+    again = {r.doc_id: r.keep_id for r in exact_dedup(docs([(99, "text 7"), (98, "new")]), index).collect()}
+    assert again == {99: 7, 98: 98} and index.read().count() == 31
+    index.drop()
+    assert not spark.catalog.tableExists(name)
