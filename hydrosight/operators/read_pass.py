@@ -10,7 +10,7 @@ raw read. A read that is not a candidate's overlapping read stays one row
 Shuffles: one exchange by (SP_ID, day) after a partial aggregate (a meter
 holding a third of all reads leaves each map task as at most one row per
 day), then a small one by SP_ID. The candidate table joins by broadcast when
-its counted bytes allow; else the reads of a meter are spread over parts of the join key.
+its counted bytes allow; else the reads of a heavy meter are spread over parts of the join key.
 
 ``read_rows`` -> ``read_days`` -> ``day_rows`` -> ``per_service_point``; the
 named queries read the same steps as the job.
@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hydrosight.functions import strip_ws
 from hydrosight.operators.intervals import (
     annotate_reads,
     clip_to_window,
@@ -49,7 +50,8 @@ def read_rows(raw_reads: DataFrame, thresholds: DataFrame, thresholds_bytes: int
     ``candidates_only`` is off) and ``overlap`` (meets the window), and D17-D21."""
     r = annotate_reads(raw_reads, p)
     t = thresholds.select("SP_ID", *THRESHOLD_COLUMNS).withColumn("has_threshold", F.lit(True))
-    r = join_checked(r, t, "SP_ID", "left", thresholds_bytes, "BEGIN_READ_DTTM", p)
+    r = join_checked(r, t, "SP_ID", "left", thresholds_bytes, "BEGIN_READ_DTTM", p,
+                     keys=raw_reads.select(strip_ws("SP_ID").alias("SP_ID")))
     r = r.withColumn("has_threshold", F.coalesce("has_threshold", F.lit(False)))
     r = r.withColumn("in_scope", F.col("is_prepared") & F.col("has_threshold") if candidates_only
                      else F.col("is_prepared"))

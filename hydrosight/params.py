@@ -55,8 +55,6 @@ class Params:
     ts_formats: tuple[tuple[str, str], ...] = ()
     # a join side is broadcast only when its counted bytes stay below this
     broadcast_max_bytes: int = 64 << 20
-    # beyond it, each key of the large side is spread over so many parts
-    join_parts: int = 16
 
     def format_of(self, column: str) -> str | None:
         return dict(self.ts_formats).get(column, self.ts_format)
