@@ -39,7 +39,7 @@ def parse_args(argv=None) -> argparse.Namespace:
     a.add_argument("--ts-format", action="append", default=[], metavar="[COLUMN=]PATTERN",
                    help="timestamp pattern, form (such as M/D/Y) or \"infer\", of one column or of all others "
                         "(default: ISO text)")
-    a.add_argument("--single-file", action="store_true", help="one output file each, through one task")
+    a.add_argument("--single-file", action="store_true", help="one output file each (CSV: sorted parts joined; Parquet: through one task)")
     a.add_argument("--master", default=None)
     return a.parse_args(argv)
 

@@ -432,6 +432,10 @@ def oracle_sql() -> dict[str, str]:
                        ("csv_summary", "summary_with_parcel"), ("csv_panel", "weekly_panel"),
                        ("panel_absent_reads", "weekly_panel_no_reads"), ("timestamp_inferred", "clean_bills")):
         out[name] = out[same]
+    key = "SP_ID, PER_ID, ACCT_ID"
+    order = ", ".join(f"{c} NULLS FIRST" for c in key.split(", "))
+    out["csv_summary_order"] = f"SELECT {key}, row_number() OVER (ORDER BY {order}) AS row_no FROM ({out['summary']})"
+    out["csv_panel_order"] = f"SELECT SP_ID, row_number() OVER (ORDER BY SP_ID NULLS FIRST) AS row_no FROM ({out['weekly_panel']})"
     out["csv_quoted_newlines"] = f"""SELECT ACCT_ID, PER_ID, ENTITY_NAME || ' é' || CASE WHEN PER_ID LIKE '%B'
         THEN chr(160) || chr(10) || '2nd line' ELSE '' END AS ENTITY_NAME, EMAILID, PHONE_TYPE_CD, PHONE
         FROM ({out["clean_people"]})"""

@@ -23,7 +23,7 @@ from hydrosight.operators.summary import SUMMARY_SORT
 from hydrosight.params import DEFAULT, Params
 from hydrosight.plans.job import build
 from hydrosight.session import ensure_checkpoint_dir, materialize
-from hydrosight.sources.csv import read_optional_csv, read_parcel_csv, read_raw_csv
+from hydrosight.sources.csv import numbered, read_optional_csv, read_parcel_csv, read_raw_csv
 from hydrosight.sources.schemas import (
     BILL_COLUMNS,
     ORD,
@@ -349,6 +349,22 @@ def q_csv_panel(spark, sf):
     return back.select("SP_ID", *[F.col(c).cast("double") for c in panel.columns[1:]])
 
 
+@query("csv_summary_order")
+def q_csv_summary_order(spark, sf):
+    """O1: the place of each row in the sorted files, read in the order of their names."""
+    path = _folder(spark, "summary-order")
+    write_table(build(spark, _csv_sources(spark, sf)).summary, path, fmt="csv", sort_by=SUMMARY_SORT)
+    return numbered(read_raw_csv(spark, path, encoding="UTF-8")).select(*SUMMARY_SORT, "row_no")
+
+
+@query("csv_panel_order")
+def q_csv_panel_order(spark, sf):
+    """The place of each row in the one file that sorted parts were joined to."""
+    path = _folder(spark, "panel-order")
+    write_table(_job(spark, sf).panel, path, fmt="csv", sort_by=["SP_ID"], single_file=True)
+    return numbered(read_raw_csv(spark, path, encoding="UTF-8")).select("SP_ID", "row_no")
+
+
 # ------------------------------------------------------------ job-level --
 def _job(spark, sf, reads=True, parcel=False, p: Params = DEFAULT, candidates_only=True):
     return build(spark, testdata_sources(spark, sf, with_reads=reads, with_parcel=parcel), p, candidates_only)

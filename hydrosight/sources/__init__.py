@@ -1,6 +1,6 @@
 """Sources and sinks: raw CSV inputs, the supplied test tables, outputs."""
 
-from hydrosight.sources.csv import read_parcel_csv, read_raw_csv, read_optional_csv
+from hydrosight.sources.csv import numbered, read_optional_csv, read_parcel_csv, read_raw_csv
 from hydrosight.sources.sinks import write_table
 from hydrosight.sources.testdata import (
     Sources,
@@ -13,6 +13,7 @@ from hydrosight.sources.testdata import (
 
 __all__ = [
     "Sources",
+    "numbered",
     "raw_bills",
     "raw_parcel",
     "raw_person",

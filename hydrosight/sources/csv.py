@@ -9,7 +9,7 @@ split over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,3 +100,17 @@ def read_parcel_csv(spark: SparkSession, paths, encoding: str = "UTF-8",
                  F.col("_metadata.file_block_start").alias("start"),
                  F.monotonically_increasing_id().alias("row")).alias(ORD),
     )
+
+
+def numbered(df: DataFrame, name: str = "row_no") -> DataFrame:
+    """``df`` of ``read_raw_csv`` with the place of each row, from 1, in the files in the order of their names.
+
+    A count a split of the files and a running sum over those (a row a split in one task) give each
+    split's first place; rows are only joined with that."""
+    at = df.select("*", F.col(f"{ORD}.file").alias("_file"), F.col(f"{ORD}.start").alias("_start"),
+                   F.col(f"{ORD}.row").alias("_row"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (at.groupBy("_file", "_start").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+              .select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    place = F.col("_row") - F.col("_first") + F.col("_before") + 1
+    return at.join(splits, ["_file", "_start"]).select(*df.columns, place.alias(name))

@@ -10,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from hydrosight.plans.job import build
-from hydrosight.sources.csv import read_optional_csv, read_parcel_csv, read_raw_csv
+from hydrosight.sources.csv import numbered, read_optional_csv, read_parcel_csv, read_raw_csv
 from hydrosight.sources.manifest import files_with_open_quotes, input_files
 from hydrosight.sources.schemas import BILL_COLUMNS, PERSON_COLUMNS, RAW_READ_SCHEMA, READ_COLUMNS
 from hydrosight.sources.sinks import write_table
@@ -182,3 +182,49 @@ def test_absent_and_empty_sources(spark):
     assert read_optional_csv(spark, d, RAW_READ_SCHEMA) is None
     _write(f"{d}/a.csv", READ_COLUMNS, [("SP1", "2024-06-01 00:00", "2024-06-02 00:00", 1, "CCF", 1)])
     assert read_optional_csv(spark, d, RAW_READ_SCHEMA).count() == 1
+
+
+def _one_file(folder):
+    names = [x for x in os.listdir(folder) if x.startswith("part-")]
+    assert len(names) == 1
+    with open(os.path.join(folder, names[0]), "rb") as f:
+        return f.read()
+
+
+def test_single_file_joins_sorted_parts_under_one_header(spark, tmp_path):
+    df = spark.range(5_000).select(((F.col("id") * 7919) % 5_000).alias("k"), F.lit('a "b"\u00e9, c').alias('odd,"name'))
+    path = str(tmp_path / "one")
+    for _ in range(2):  # the second replaces the first
+        write_table(df.repartition(6), path, fmt="csv", sort_by=["k"], single_file=True, encoding="ISO-8859-1")
+    lines = _one_file(path).decode("latin-1").splitlines()
+    assert lines[0] == 'k,"odd,""name"' and [int(x.split(",")[0]) for x in lines[1:]] == list(range(5_000))
+    assert sorted(os.listdir(tmp_path)) == ["one"]  # no parts are left
+    back = read_raw_csv(spark, path, fold_header=False)
+    assert back.where(F.col('`odd,"name`') == 'a "b"\u00e9, c').count() == 5_000
+
+
+def test_single_file_of_an_empty_table_is_its_header(spark, tmp_path):
+    path = str(tmp_path / "none")
+    write_table(spark.createDataFrame([], "a int, b string"), path, fmt="csv", sort_by=["a"], single_file=True)
+    assert _one_file(path) == b"a,b\n"
+
+
+def test_single_file_keeps_the_old_one_when_the_rows_fail(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    write_table(spark.range(3), path, fmt="csv", sort_by=["id"], single_file=True)
+    with pytest.raises(Exception):
+        write_table(spark.range(3).select(F.raise_error(F.lit("bad")).alias("id")), path, fmt="csv", single_file=True)
+    assert _one_file(path) == b"id\n0\n1\n2\n" and sorted(os.listdir(tmp_path)) == ["kept"]
+    with pytest.raises(ValueError, match="overwrite"):
+        write_table(spark.range(3), path, fmt="csv", single_file=True, mode="append")
+
+
+def test_rows_are_numbered_over_files_and_splits(spark, tmp_path):
+    path = str(tmp_path / "many")
+    write_table(spark.range(4_000).withColumn("t", F.lit("x" * 40)).repartition(5), path, fmt="csv", sort_by=["id"])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+    try:
+        got = numbered(read_raw_csv(spark, path)).select(F.col("ID").cast("bigint"), "row_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r[0]: r[1] for r in got} == {i: i + 1 for i in range(4_000)}
