@@ -2,13 +2,17 @@
 
 Every column is read as text: ids keep their leading zeros whatever the
 header case, and the cleaning step casts strictly. ``_ord`` records file
-order as (file path, split start, position in the split); keep-first and
+order as (file, split start, position in the split); keep-first and
 keep-last follow it, so de-duplication does not depend on how the files are
-split over tasks.
+split over tasks. The file is its number by path, so that sorts and shuffles carry
+20 bytes a row in place of a path; the table of numbers is broadcast up to
+``FILE_TABLE_BYTES`` of paths, and beyond them the path itself stands there.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +20,9 @@ from pyspark.sql import types as T
 from hydrosight.sources.manifest import files_with_open_quotes, input_files
 from hydrosight.sources.schemas import ORD
 
+#: paths that are numbered through a broadcast table
+FILE_TABLE_BYTES = 32 << 20
+
 
 def _reader(spark: SparkSession, encoding: str, multiline: bool):
     return (spark.read.format("csv")
@@ -51,10 +58,26 @@ def _load(spark: SparkSession, paths, encoding: str, multiline: bool | None) ->
     return frames
 
 
-def _with_order(df: DataFrame) -> DataFrame:
-    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"),
-                                   F.col("_metadata.file_block_start").alias("start"),
-                                   F.monotonically_increasing_id().alias("row")).alias(ORD))
+def _with_order(frames: list[DataFrame]) -> list[DataFrame]:
+    """The frames of one source, with ``_ord`` over the files of all of them."""
+    files = sorted({f for frame in frames for f in frame.inputFiles()})
+    numbers = None
+    if sum(map(len, files)) <= FILE_TABLE_BYTES:
+        # a place without an authority is written ``file:/x`` or ``file:///x``: both spellings stand there
+        spelt = {(n, re.sub("^([^:/]+):/(?://)?(?=[^/])", rf"\1:{bar}", f)) for n, f in enumerate(files) for bar in ("/", "///")}
+        numbers = F.broadcast(frames[0].sparkSession.createDataFrame(sorted(spelt), f"{ORD}_file int, {ORD}_path string"))
+    out = []
+    for frame in frames:
+        rows = frame.select("*", F.col("_metadata.file_path").alias(f"{ORD}_at"),
+                            F.col("_metadata.file_block_start").alias(f"{ORD}_start"),
+                            F.monotonically_increasing_id().alias(f"{ORD}_row"))
+        file = F.col(f"{ORD}_at")
+        if numbers is not None:
+            rows = rows.join(numbers, rows[f"{ORD}_at"] == numbers[f"{ORD}_path"], "left")
+            file = F.coalesce(f"{ORD}_file", F.raise_error(F.concat(F.lit("not a listed file: "), file)).cast("int"))
+        out.append(rows.select(*frame.columns, F.struct(
+            file.alias("file"), F.col(f"{ORD}_start").alias("start"), F.col(f"{ORD}_row").alias("row")).alias(ORD)))
+    return out
 
 
 def read_raw_csv(spark: SparkSession, paths, encoding: str = "ISO-8859-1",
@@ -71,7 +94,7 @@ def read_raw_csv(spark: SparkSession, paths, encoding: str = "ISO-8859-1",
     CSV scan."""
     frames = _load(spark, paths, encoding, multiline)
     if with_order:
-        frames = [_with_order(f) for f in frames]
+        frames = _with_order(frames)
     df = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
     if fold_header:
         df = df.toDF(*[c if c == ORD else c.upper() for c in df.columns])
@@ -91,15 +114,8 @@ def read_parcel_csv(spark: SparkSession, paths, encoding: str = "UTF-8",
     exactly. None when no path is given or no file exists."""
     if paths is None or not any(size for _, size in input_files(spark, paths)):
         return None
-    frames = _load(spark, paths, encoding, multiline)
-    df = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
-    return df.select(
-        F.col("CIS_SP_ID"),
-        F.col("LND_SQFOOT"),
-        F.struct(F.col("_metadata.file_path").alias("file"),
-                 F.col("_metadata.file_block_start").alias("start"),
-                 F.monotonically_increasing_id().alias("row")).alias(ORD),
-    )
+    frames = [f.select("CIS_SP_ID", "LND_SQFOOT", ORD) for f in _with_order(_load(spark, paths, encoding, multiline))]
+    return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
 
 
 def numbered(df: DataFrame, name: str = "row_no") -> DataFrame:

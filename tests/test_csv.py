@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+from urllib.parse import quote
 
 import pytest
 import scenario as S
@@ -9,7 +10,9 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from hydrosight.operators.dedup import keep_first, keep_last
 from hydrosight.plans.job import build
+from hydrosight.sources import csv
 from hydrosight.sources.csv import numbered, read_optional_csv, read_parcel_csv, read_raw_csv
 from hydrosight.sources.manifest import files_with_open_quotes, input_files
 from hydrosight.sources.schemas import BILL_COLUMNS, PERSON_COLUMNS, RAW_READ_SCHEMA, READ_COLUMNS
@@ -104,6 +107,24 @@ def test_keep_last_follows_file_order_across_files(spark):
     assert got == {"SP1": 3.0, "SP2": 2.0}
 
 
+@pytest.mark.parametrize("table", [32 << 20, 0])
+def test_order_of_files_by_number_and_by_path(spark, tmp_path, monkeypatch, table):
+    """Files are numbered by path where their paths fit the broadcast table; beyond it the path orders."""
+    monkeypatch.setattr(csv, "FILE_TABLE_BYTES", table)
+    names = ["a b.csv", "a.csv", "b+%41.csv", "é.csv", "z.csv"]
+    for i, name in enumerate(names):
+        rows = [("K", f"{name} {j}") for j in range(3)] + [(f"own {i}", 'two\nlines' if i == 4 else "x")]
+        _write(f"{tmp_path}/{name}", ["BSEG_ID", "V"], rows)
+    df = read_raw_csv(spark, str(tmp_path), multiline=None)
+    assert df.schema["_ord"].dataType["file"].dataType.simpleString() == ("int" if table else "string")
+    in_order = sorted(names, key=lambda n: "é.csv" if n == "é.csv" else quote(n, safe="+"))  # as the reader escapes them
+    assert [r.V for r in df.where("BSEG_ID = 'K'").orderBy("_ord").collect()] == [
+        f"{n} {j}" for n in in_order for j in range(3)]
+    assert {r.BSEG_ID: r.V for r in keep_last(df, ["BSEG_ID"]).collect()}["K"] == f"{in_order[-1]} 2"
+    assert {r.BSEG_ID: r.V for r in keep_first(df, ["BSEG_ID"]).collect()}["K"] == f"{in_order[0]} 0"
+    assert numbered(df).agg(F.min("row_no"), F.max("row_no"), F.count_distinct("row_no")).first()[:] == (1, 20, 20)
+
+
 def test_job_csv_to_csv(spark):
     d = tempfile.mkdtemp(prefix="hydrosight-e2e-")
     # bills split over two files: the order of files then rows decides keep-last
