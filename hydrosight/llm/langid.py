@@ -16,6 +16,7 @@ Defined cases
     null lang              never learned from
     null doc_id            the fold of the empty text
     rejected texts         keep the nearest language unless ``reject_as_und``
+    ties                   the first language by name
     nothing to learn from  ``und`` for all, score 0, rejected
     repeated rows          each row is learned from and predicted
     very long text         taken whole, a block at a time

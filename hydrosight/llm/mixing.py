@@ -25,6 +25,7 @@ Defined cases
     null node            a node named by the empty text
     null doc_id          hashed as the empty text
     weight of 0, missing weight   never chosen; 1
+    very long text       counted whole; its first tokens where a prefix ends in it
     empty texts          go with whole epochs and with prefixes that pass them
     leaf without tokens  nothing is chosen from it
     repeated rows        each counts; rows of one id share a place in the order,

@@ -18,6 +18,7 @@ threshold and otherwise shuffles with skew splitting. Labels are joined by shuff
 
 Defined cases
     null or empty text   all shares 0, the bins of an empty text
+    very long text       counted whole
     null host or path    a site of its own (the empty name)
     null label           not learned from
     null doc_id          the fold of the empty text; matches no label

@@ -21,6 +21,7 @@ Defined cases
     null label           never learned from
     null doc_id          the fold of the empty text; matches no label
     repeated rows        each is scored; a repeated label row counts each time
+    ties                 entries of equal strength go by name
     no toxic label       the lexicon is empty and every score 0
     very long text       read whole, in time proportional to its length and hits
     empty table          empty result

@@ -18,6 +18,7 @@ Files are reached by URI through Arrow's file systems, in the folder given
 
 Defined cases
     null payload         the empty payload
+    very long payload    one record, written and read whole
     payloads < min_bytes all responses, never revisited
     null id              read back as null; a digest held by null ids only has
                          responses only
