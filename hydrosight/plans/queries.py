@@ -37,6 +37,7 @@ from hydrosight.sources.sinks import write_table
 from hydrosight.sources.testdata import (
     Sources,
     raw_bills,
+    raw_bills_in_order,
     raw_parcel,
     raw_person,
     raw_reads,
@@ -255,18 +256,23 @@ def _folder(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/hydrosight-files/{name}-{uuid.uuid4().hex}"
 
 
+#: rows in a compressed file, which one task reads: some 30 MB of text
+FILE_ROWS = 300_000
+
+
 def _csv_copy(spark, raw: DataFrame, columns: list[str], name: str, header=str) -> str:
-    """The raw table as CSV files whose order is ``_ord``, with folded header."""
+    """The raw table as gzipped CSV files whose order is ``_ord`` (without that column: its own), with folded header."""
     path = _folder(spark, name)
     out = raw.orderBy(ORD) if ORD in raw.columns else raw
-    write_table(out.select(*[F.col(c).alias(header(c)) for c in columns]), path, fmt="csv")
+    write_table(out.select(*[F.col(c).alias(header(c)) for c in columns]), path, fmt="csv",
+                compression="gzip", max_rows=FILE_ROWS)
     return path
 
 
 @query("csv_clean_bills")
 def q_csv_clean_bills(spark, sf):
     """Bills through CSV files with a lower-case header; file order decides keep-last."""
-    path = _csv_copy(spark, raw_bills(spark, sf), BILL_COLUMNS, "bills", str.lower)
+    path = _csv_copy(spark, raw_bills_in_order(spark, sf), BILL_COLUMNS, "bills", str.lower)
     # an empty address is an empty field, which reads as null (S3)
     return B.clean_bills(read_raw_csv(spark, path)).withColumn("ADDRESS1", F.coalesce("ADDRESS1", F.lit(""))).select(
         *BILL_COLUMNS, "bill_days", "normalized_30day_kgal", "season")

@@ -12,14 +12,20 @@ COPY_BYTES = 4 << 20
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", sort_by=None,
-                single_file: bool = False, mode: str = "overwrite", encoding: str = "UTF-8") -> None:
+                single_file: bool = False, mode: str = "overwrite", encoding: str = "UTF-8",
+                compression: str | None = None, max_rows: int = 0) -> None:
     """Write ``df``, sorted by ``sort_by`` where given: the rows are dealt by
     ranges and sorted in each, so the files in the order of their names hold
     the table in order.
 
     ``single_file`` makes one file of it, on request only: for CSV by joining those files
     (``write_single_csv``), for Parquet in one task, which must sort and write the whole table.
+
+    ``compression`` names a codec of the format. Most compressed CSV files are read by one task each:
+    ``max_rows`` limits a file's rows, and a task that has more goes on in its next file.
     """
+    if single_file and (compression or max_rows):
+        raise ValueError("a single file takes no compression or limit of rows")
     if single_file and fmt == "csv":
         if mode != "overwrite":
             raise ValueError("a single file is written in mode overwrite only")
@@ -29,11 +35,16 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", sort_by=None,
         out = out.sortWithinPartitions(*sort_by) if sort_by else out
     else:
         out = df.orderBy(*sort_by) if sort_by else df
-    _write(out, path, fmt, mode, encoding, header=True)
+    _write(out, path, fmt, mode, encoding, True, compression, max_rows)
 
 
-def _write(out: DataFrame, path: str, fmt: str, mode: str, encoding: str, header: bool) -> None:
+def _write(out: DataFrame, path: str, fmt: str, mode: str, encoding: str, header: bool,
+           compression: str | None = None, max_rows: int = 0) -> None:
     w = out.write.mode(mode)
+    if compression:
+        w = w.option("compression", compression)
+    if max_rows:
+        w = w.option("maxRecordsPerFile", max_rows)
     if fmt == "csv":
         (w.option("header", header)
          .option("ignoreLeadingWhiteSpace", False)

@@ -174,3 +174,10 @@ def test_ids_are_padded_never_cut(spark):
     got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i bigint").select(_pad7(F.col("i"))).collect()]
     assert got == ["0000001", "1234567", "12345678", "123456789012"]
     assert [duckdb.sql(f"SELECT printf('%07d', {i}::BIGINT)").fetchall()[0][0] for i in ids] == got
+
+
+def test_copies_that_the_filters_drop_travel_without_their_fields(make):
+    raw = make.bills([bill("a", "SP1", "A1", "ERES", 1, "2024-06-01 00:00:00", "2024-07-01 00:00:00")])
+    df = B.clean_bills(raw)
+    assert "max_by(CASE WHEN" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.count() == 0

@@ -1,5 +1,6 @@
 """CSV edges (S1-S9) and the whole job from CSV files to CSV files."""
 
+import datetime as dt
 import os
 import tempfile
 from urllib.parse import quote
@@ -11,13 +12,14 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from hydrosight.operators.dedup import keep_first, keep_last
+from hydrosight.plans import queries
 from hydrosight.plans.job import build
 from hydrosight.sources import csv
 from hydrosight.sources.csv import numbered, read_optional_csv, read_parcel_csv, read_raw_csv
 from hydrosight.sources.manifest import files_with_open_quotes, input_files
 from hydrosight.sources.schemas import BILL_COLUMNS, PERSON_COLUMNS, RAW_READ_SCHEMA, READ_COLUMNS
 from hydrosight.sources.sinks import write_table
-from hydrosight.sources.testdata import Sources
+from hydrosight.sources.testdata import Sources, raw_bills, raw_bills_in_order
 
 
 def _field(v):
@@ -249,3 +251,42 @@ def test_rows_are_numbered_over_files_and_splits(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert {r[0]: r[1] for r in got} == {i: i + 1 for i in range(4_000)}
+
+
+def _write_bill_tables(spark, folder):
+    """300 rows, some of a key that comes again, some with nulls; ``_ord`` differs in its last fields only."""
+    days = [dt.datetime(1992, 1, 1) + dt.timedelta(days=37 * i % 11) for i in range(300)]
+    rows = [(i % 40, i % 3, i % 2, None if i % 53 == 0 else i % 4, float(i % 5), 10.0, 0.1, i / 1000,
+             None if i % 17 == 0 else "ANR"[i % 3], "FO"[i % 2], None if i % 29 == 0 else days[i]) for i in range(300)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                          "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                          "l_shipdate timestamp_ntz").repartition(3).write.parquet(f"{folder}/lineitem.parquet")
+    orders = [(i, 7 * i) for i in range(35)]  # five orders are missing
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint").write.parquet(f"{folder}/orders.parquet")
+
+
+def test_sorted_bills_are_the_raw_bills_and_only_their_numbers_are_sorted(spark, tmp_path):
+    _write_bill_tables(spark, tmp_path)
+    got, want = raw_bills_in_order(spark, str(tmp_path)), raw_bills(spark, str(tmp_path)).orderBy("_ord").drop("_ord")
+    assert got.columns == BILL_COLUMNS
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+    above, sort, below = got._jdf.queryExecution().optimizedPlan().toString().partition("Sort [")
+    assert sort and "BSEG_ID" in above and "BSEG_ID" not in below and "concat" not in below.replace("concat(l_returnflag", "")
+
+
+def test_bill_files_hold_all_bills_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "FILE_ROWS", 20)
+    _write_bill_tables(spark, tmp_path)
+    want = [tuple(r) for r in raw_bills_in_order(spark, str(tmp_path)).collect()]
+    path = queries._csv_copy(spark, raw_bills_in_order(spark, str(tmp_path)), BILL_COLUMNS, "bills", str.lower)
+    back = numbered(read_raw_csv(spark, path)).orderBy("row_no")
+    assert [tuple(v or "" for v in r) for r in back.select(*BILL_COLUMNS).collect()] == [
+        tuple(v or "" for v in r) for r in want]
+    sizes = back.groupBy("_ord.file").count().collect()
+    assert len(sizes) >= len(want) / 20 and max(r["count"] for r in sizes) <= 20
+    assert all(f.endswith(".csv.gz") for f, size in input_files(spark, path) if size)
+
+
+def test_single_file_takes_no_limit_of_rows(spark, tmp_path):
+    with pytest.raises(ValueError, match="single file"):
+        write_table(spark.range(3), str(tmp_path / "x"), fmt="csv", single_file=True, max_rows=2)

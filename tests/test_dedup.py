@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from hydrosight.operators.dedup import keep_first, keep_last, union_keep_first
 
 
@@ -27,3 +29,17 @@ def test_dedup_unchanged_by_partitioning(spark):
     a = sorted(tuple(r) for r in keep_last(df, ["k"]).collect())
     b = sorted(tuple(r) for r in keep_last(df.repartition(7), ["k"]).collect())
     assert a == b and len(a) == 37
+
+
+def test_condition_filters_picked_rows_not_their_rivals(spark):
+    rows = [("a", "x", 1), ("a", "bad", 2), ("b", "bad", 1), ("b", "y", 2), ("c", None, 1), ("c", None, 2),
+            ("d", "z", 1), ("d", None, 2), (None, "n", 1)]
+    df = spark.createDataFrame(rows, "k string, v string, _ord int").repartition(3)
+    ok = F.col("v") != "bad"  # null on a null: such a row goes too, as in where()
+    got = keep_last(df, ["k"], where=ok)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == [("b", "y"), (None, "n")]
+    assert got.columns == ["k", "v"]
+    plain = keep_last(df, ["k"]).where(ok)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    keys = keep_last(df.select("k", "_ord"), ["k"], where=F.col("_ord") == 2)
+    assert sorted(r.k for r in keys.collect()) == ["a", "b", "c", "d"]
